@@ -10,6 +10,8 @@ query runs over the whole tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -140,12 +142,35 @@ def with_clause(*names: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" if parts else ""
 
 
+# (session, application) -> (data folder, names registered from it)
+_REGISTERED: dict[tuple[int, str], tuple[str, set[str]]] = {}
+
+
+def _base_tables(view: str) -> list[str]:
+    sql = VIEWS[view][0]
+    return [t for t in BASE_TABLES if re.search(rf"\b{t}\b", sql)]
+
+
 def register(spark: SparkSession, sf_dir: str, names=None) -> None:
-    """Register driver tables and the fixture views (all, or ``names`` and deps)."""
-    for t in BASE_TABLES:
-        spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(t)
-    for n in _closure(names or list(VIEWS)):
-        spark.sql(VIEWS[n][0]).createOrReplaceTempView(n)
+    """Register the named fixture views (default all), their inputs and driver tables.
+
+    Registration is remembered per session and data folder, so repeated plans
+    do not list files and read parquet footers again.
+    """
+    sf_dir = sf_dir.rstrip("/")
+    key = (id(spark), spark.sparkContext.applicationId)
+    folder, done = _REGISTERED.get(key, (None, set()))
+    if folder != sf_dir:
+        done = set()
+        _REGISTERED[key] = (sf_dir, done)
+    views = _closure(names or list(VIEWS))
+    for t in sorted({t for v in views for t in _base_tables(v)} - done):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        done.add(t)
+    for n in views:
+        if n not in done:
+            spark.sql(VIEWS[n][0]).createOrReplaceTempView(n)
+            done.add(n)
 
 
 def load(spark: SparkSession, sf_dir: str, *names: str):

@@ -9,6 +9,8 @@ from Java regex: ``[^\\n]`` instead of ``.``, explicit whitespace classes for
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,31 +42,43 @@ def norm_ws(c) -> Column:
 
 
 def normalise_breaks(c) -> Column:
-    """Every ``str.splitlines`` boundary becomes ``\\n``."""
-    return F.regexp_replace(_c(c), P.PY_LINE_BREAK, "\n")
+    """Every ``str.splitlines`` boundary becomes ``\\n`` (CRLF first, as one break)."""
+    c = _c(c)
+    singles = P.PY_LINE_BREAK_CHARS
+    # byte searches first: most texts hold only "\n", and translate is the slow part
+    found = reduce(lambda a, b: a | b, [c.contains(ch) for ch in singles])
+    fixed = F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), singles, "\n" * len(singles))
+    return F.when(found, fixed).otherwise(c)
 
 
 def universal_newlines(c) -> Column:
     """Text-mode read: ``\\r\\n`` and ``\\r`` become ``\\n``."""
-    return F.regexp_replace(_c(c), "\\r\\n?", "\n")
+    c = _c(c)
+    return F.when(c.contains("\r"), F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\r", "\n")) \
+        .otherwise(c)
 
 
 def strip_bom(c) -> Column:
     """``utf-8-sig`` decoding: one leading byte-order mark is dropped."""
-    return F.regexp_replace(_c(c), "\\A\\uFEFF", "")
+    c = _c(c)
+    return F.when(c.startswith("\ufeff"), F.substring(c, 2, 2147483647)).otherwise(c)
 
 
 def trim_final_break(c) -> Column:
     """Drop one final ``\\n`` (``splitlines`` yields no empty last piece)."""
-    return F.regexp_replace(_c(c), "\\n\\z", "")
+    c = _c(c)
+    return F.when(c.endswith("\n"), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c)
 
 
 # --- I1..I5: script cleanup -------------------------------------------------
 
 def strip_comments(c) -> Column:
     """``--`` to end of line first, then ``/* ... */`` across lines."""
-    no_line = F.regexp_replace(_c(c), "--[^\\n]*", "")
-    return F.regexp_replace(no_line, "(?s)/\\*.*?\\*/", "")
+    c = _c(c)
+    # the byte searches skip the regex for texts without any comment opener
+    no_line = F.when(c.contains("--"), F.regexp_replace(c, "--[^\\n]*", "")).otherwise(c)
+    return F.when(no_line.contains("/*"), F.regexp_replace(no_line, "(?s)/\\*.*?\\*/", "")) \
+        .otherwise(no_line)
 
 
 def rename_schema(c, source: str, target: str, quote: bool = False) -> Column:
@@ -75,7 +89,7 @@ def rename_schema(c, source: str, target: str, quote: bool = False) -> Column:
 
 def strip_dollar(c) -> Column:
     """Remove every ``$$``."""
-    return F.regexp_replace(_c(c), "\\$\\$", "")
+    return F.replace(_c(c), F.lit("$$"), F.lit(""))
 
 
 def _drop_marked_pattern(marker: str) -> str:
@@ -105,8 +119,8 @@ def drop_marked(c, marker: str = P.MARKER) -> Column:
     """
     text = trim_final_break(normalise_breaks(c))
     units = F.concat(F.lit("\n"), text)
-    kept = F.regexp_replace(units, _drop_marked_pattern(marker), "$1")
-    return F.substring(kept, 2, 2147483647)
+    kept = F.substring(F.regexp_replace(units, _drop_marked_pattern(marker), "$1"), 2, 2147483647)
+    return F.when(text.contains(marker), kept).otherwise(text)
 
 
 def clean_script(c, source_schema: str, target_schema: str) -> Column:
