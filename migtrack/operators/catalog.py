@@ -93,14 +93,17 @@ def combine(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def stage(existing: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFrame:
+def stage(existing: DataFrame | None, batch: DataFrame, seq: str = "seq") -> DataFrame:
     """Batch rows whose 4-part key is not staged yet, first by ``seq`` per key.
 
-    Keys compare NULL-safe (the stage is a set of Python tuples).
+    Keys compare NULL-safe (the stage is a set of Python tuples). ``existing``
+    None is an empty stage.
     """
     keys = list(STAGE_KEYS)
-    staged_keys = existing.select(*keys).distinct()
-    fresh = batch.join(staged_keys, null_safe_on(batch, staged_keys, keys), "left_anti")
+    fresh = batch
+    if existing is not None:
+        staged_keys = existing.select(*keys).distinct()
+        fresh = batch.join(staged_keys, null_safe_on(batch, staged_keys, keys), "left_anti")
     return first_by(fresh, keys, seq)
 
 

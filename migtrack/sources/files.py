@@ -50,7 +50,7 @@ def read_scripts(spark: SparkSession, folder: str, glob: str = "*.sql") -> DataF
 
     Invalid UTF-8 is replaced rather than failing the job.
     """
-    raw = (spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder)
+    raw = (spark.read.text(folder, wholetext=True, pathGlobFilter=glob)
            .select(F.col("_metadata.file_name").alias("file_name"),
                    F.make_valid_utf8("value").alias("text")))
     return normalise_script_text(raw)
