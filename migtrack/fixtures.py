@@ -104,6 +104,16 @@ FROM tracking""", ("tracking",)),
     "script_edits": ("""
 SELECT doc_id AS seq, file_name, '-- edited' || chr(10) || text AS text FROM scripts WHERE source = 'src3'""",
                      ("scripts",)),
+    # Raw outcomes of test runs: the error text, NULL when the run raised nothing.
+    "raw_outcomes": ("""
+SELECT event_id,
+  CASE WHEN event_type IN ('view', 'click') THEN 'test_create_procedure' ELSE 'test_procedure_execution' END AS test_case_name,
+  'usp_' || CAST(user_id AS STRING) AS procedure_name,
+  CASE WHEN event_type IN ('error', 'click') THEN 'compile error ' || props END AS error
+FROM events""", ()),
+    # Uploaded script files arriving after the catalogue batch (seq continues after it).
+    "upload_files": ("""
+SELECT doc_id + 1000000000000 AS seq, file_name AS path, text FROM scripts""", ("scripts",)),
     # Processed scripts that exist on disk for publishing (some never written).
     "scripts_partial": ("""
 SELECT * FROM scripts WHERE doc_id % 4 <> 0""", ("scripts",)),

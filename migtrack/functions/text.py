@@ -247,14 +247,37 @@ def report_metrics(c) -> list[Column]:
     return [report_metric(c, pat).alias(name) for name, pat in P.REPORT_METRICS]
 
 
+def ntz_from_parts(year, month, day, hour, minute, second) -> Column:
+    """A ``timestamp_ntz`` from text or number parts, NULL when not a valid time.
+
+    Built without any time-zone conversion, so the session zone does not
+    matter. Minute and second must be below 60 and the year at least 1, as for
+    Python ``datetime``.
+    """
+    y, mo, d, h, mi, sec = [_c(x).cast("int") if i < 5 else _c(x).cast("decimal(16,6)")
+                            for i, x in enumerate((year, month, day, hour, minute, second))]
+    ok = (mi < 60) & (sec < 60) & (y >= 1)
+    return F.when(ok, F.try_make_timestamp_ntz(years=y, months=mo, days=d, hours=h, mins=mi, secs=sec))
+
+
+_DATE_PARTS = "(?U)^(\\d+)/(\\d+)/(\\d+)\\s+(\\d+):(\\d+):(\\d+)$"
+
+
+def _expiry_time(x: Column) -> Column:
+    parts = [F.regexp_extract(x, _DATE_PARTS, i) for i in range(1, 7)]
+    ascii_digits = ~x.rlike("(?U)[^0-9/:\\s]")  # strptime reads ASCII digits only
+    return F.when(ascii_digits, ntz_from_parts(parts[2], parts[0], parts[1], parts[3], parts[4], parts[5]))
+
+
 def expiries(c) -> Column:
-    """Every parsable expiry date in a text, as ``timestamp_ntz``; bad dates skipped."""
+    """Every parsable expiry date in a text, as ``timestamp_ntz``; bad dates skipped.
+
+    Each match of the licence pattern is read as month/day/year hour:minute:second
+    (``%m/%d/%Y %H:%M:%S``); impossible dates (month 13, 31 April, hour 24) give NULL
+    and are left out.
+    """
     found = F.regexp_extract_all(_c(c), F.lit("(?U)" + P.LICENCE_EXPIRY), F.lit(1))
-    parsed = F.transform(
-        found,
-        lambda x: F.try_to_timestamp(F.regexp_replace(x, "(?U)\\s+", " "),
-                                     F.lit(P.LICENCE_DATE_FORMAT)).cast("timestamp_ntz"))
-    return F.filter(parsed, lambda t: t.isNotNull())
+    return F.filter(F.transform(found, _expiry_time), lambda t: t.isNotNull())
 
 
 def any_after(dates, now) -> Column:
@@ -264,8 +287,13 @@ def any_after(dates, now) -> Column:
 
 
 def utc_ms(c) -> Column:
-    """Timestamp cut (not rounded) to milliseconds, as ``timestamp_ntz`` (UTC session)."""
-    return F.date_trunc("MILLISECOND", _c(c)).cast("timestamp_ntz")
+    """Timestamp cut (not rounded) to milliseconds, as ``timestamp_ntz``.
+
+    Plain interval arithmetic on the value, no time-zone conversion.
+    """
+    c = _c(c).cast("timestamp_ntz")
+    sub_ms = (F.date_part(F.lit("SECOND"), c) * 1000000 % 1000) / 1000000
+    return c - F.make_dt_interval(secs=sub_ms)
 
 
 def qualify(db, schema, proc) -> Column:

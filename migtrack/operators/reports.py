@@ -46,10 +46,14 @@ def parse_log(lines: DataFrame, line_col: str = "line") -> DataFrame:
     pat = "(?s)" + P.LOG_LINE
     line = F.col(line_col)
     ok = line.rlike(pat)
-    stamp = F.try_to_timestamp(F.regexp_extract(line, pat, 1), F.lit(P.LOG_TIME_FORMAT))
+    stamp = F.regexp_extract(line, pat, 1)
+    # yyyy-MM-dd HH:mm:ss,SSS read by position (the pattern fixes every width)
+    part = lambda a, n: F.substring(stamp, a, n)
+    seconds = part(18, 2).cast("decimal(16,6)") + part(21, 3).cast("decimal(16,6)") / 1000
+    when = T.ntz_from_parts(part(1, 4), part(6, 2), part(9, 2), part(12, 2), part(15, 2), seconds)
     return lines.select(
         *[c for c in lines.columns if c != line_col],
-        F.when(ok, stamp.cast("timestamp_ntz")).alias("log_time"),
+        F.when(ok, when).alias("log_time"),
         F.when(ok, F.regexp_extract(line, pat, 2)).alias("level"),
         F.when(ok, F.regexp_extract(line, pat, 3)).otherwise(line).alias("message"))
 

@@ -85,9 +85,14 @@ _CHANGED_SQL = f"""SELECT split_part(n.full_name, '.', 1) AS dbname, split_part(
   WHERE n.new_flag <> c.cur_flag"""
 _TRACKING_COLS = ("source, dbname, schema_name, procedure_name, procedure_definition, conversion_flag, "
                   "load_timestamp, target_dbname, target_schema_name, parameters, is_deployed, errors")
-_STAGE_SQL = """SELECT seq, source, dbname, schema_name, procedure_name, procedure_definition, parameters FROM (
+_UPLOADS_SQL = f"""SELECT seq, 'File Upload' AS source, 'UPLOAD_DB' AS dbname, 'dbo' AS schema_name,
+    regexp_replace(path, '^(.*[^.].*)\\.[^.]*$', '\\1') AS procedure_name, text AS procedure_definition,
+    {_PARAM_BLOCK_SQL} AS parameters FROM upload_files"""
+_STAGE_SQL = f"""SELECT seq, source, dbname, schema_name, procedure_name, procedure_definition, parameters FROM (
   SELECT b.*, row_number() OVER (PARTITION BY source, dbname, schema_name, procedure_name ORDER BY seq) AS rn
-  FROM batch b WHERE NOT EXISTS (
+  FROM (SELECT seq, source, dbname, schema_name, procedure_name, procedure_definition, parameters FROM batch
+        UNION ALL {_UPLOADS_SQL}) b
+  WHERE NOT EXISTS (
     SELECT 1 FROM routines e WHERE e.routine_type = 'PROCEDURE'
       AND 'SQLServer' IS NOT DISTINCT FROM b.source AND e.dbname IS NOT DISTINCT FROM b.dbname
       AND e.schema_name IS NOT DISTINCT FROM b.schema_name AND e.procedure_name IS NOT DISTINCT FROM b.procedure_name))
@@ -229,6 +234,16 @@ def facet_filter(spark, sf_dir):
     return Q.facet_filter(_load(spark, sf_dir, "test_log"), FACET_PICK)
 
 
+@query("outcome_rows", ("raw_outcomes",), """
+SELECT event_id, test_case_name, procedure_name,
+  CASE WHEN error IS NULL THEN '✅ Success' ELSE '❌ Failed' END AS status, coalesce(error, '-') AS errors
+FROM raw_outcomes""")
+def outcome_rows(spark, sf_dir):
+    raw = _load(spark, sf_dir, "raw_outcomes")
+    return raw.select("event_id", "test_case_name", "procedure_name",
+                      T.outcome_status("error").alias("status"), T.outcome_reason("error").alias("errors"))
+
+
 @query("passed_filter", ("test_log",), """
 SELECT * FROM test_log WHERE status = '✅ Success' AND test_case_name = 'test_procedure_execution'""")
 def passed_filter(spark, sf_dir):
@@ -396,10 +411,17 @@ def publish_missing(spark, sf_dir):
     return Q.publish_missing(log, s)
 
 
-@query("stage_dedup", ("routines", "batch"), _STAGE_SQL)
-def stage_dedup(spark, sf_dir):
+def _staged(spark, sf_dir) -> DataFrame:
     existing = _procedures(spark, sf_dir).withColumn("source", F.lit(P.SOURCE_CATALOGUE))
-    return C.stage(existing, _load(spark, sf_dir, "batch"))
+    batch, up = _load(spark, sf_dir, "batch", "upload_files")
+    files = up.select("seq", "path", F.col("text").cast("binary").alias("content"))
+    uploads = SF.parse_uploads(files, "UPLOAD_DB", "dbo", carry=["seq"])
+    return C.stage(existing, C.combine(batch, uploads))
+
+
+@query("stage_dedup", ("routines", "batch", "upload_files"), _STAGE_SQL)
+def stage_dedup(spark, sf_dir):
+    return _staged(spark, sf_dir)
 
 
 @query("call_build", ("routines", "params"), f"""
@@ -482,7 +504,8 @@ def active_expiry(spark, sf_dir):
     return out.withColumn("n_dates", F.col("n_dates").cast("bigint"))
 
 
-@query("step_counts", ("routines", "batch", "tracking", "flag_proposals", "test_log", "scripts", "objects"),
+@query("step_counts", ("routines", "batch", "upload_files", "tracking", "flag_proposals", "test_log",
+                      "scripts", "objects"),
        f"""
 SELECT 'staged' AS step, count(*) AS n_rows FROM ({_STAGE_SQL})
 UNION ALL SELECT 'flags_changed', count(*) FROM ({_CHANGED_SQL})
@@ -492,8 +515,7 @@ UNION ALL SELECT 'objects_listed', count(*) FROM objects WHERE starts_with(path,
 def step_counts(spark, sf_dir):
     t, p, b, log, s, o = _load(spark, sf_dir, "tracking", "flag_proposals", "batch", "test_log",
                                "scripts", "objects")
-    existing = _procedures(spark, sf_dir).withColumn("source", F.lit(P.SOURCE_CATALOGUE))
-    return R.step_counts(staged=C.stage(existing, b), flags_changed=C.changed_flags(t, p),
+    return R.step_counts(staged=_staged(spark, sf_dir), flags_changed=C.changed_flags(t, p),
                          exported=C.export_rows(t), published=Q.publish_found(log, s),
                          objects_listed=R.list_objects(o, FX.OBJECT_PREFIX))
 

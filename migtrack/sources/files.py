@@ -10,17 +10,17 @@ from ..functions import text as T
 
 
 def parse_uploads(files: DataFrame, dbname: str, schema_name: str,
-                  path_col: str = "path", content_col: str = "content") -> DataFrame:
+                  path_col: str = "path", content_col: str = "content", carry=()) -> DataFrame:
     """A3: uploaded files -> catalogue rows.
 
     Name = file stem, body = UTF-8 text (BOM kept, no newline translation),
     parameters from the CREATE/ALTER header. A file that is not valid UTF-8 is
-    left out (see ``upload_rejects``).
+    left out (see ``upload_rejects``). ``carry`` columns are passed through.
     """
     text = F.try_validate_utf8(F.col(content_col).cast("string"))
-    decoded = files.select(F.col(path_col).alias("_path"), text.alias("_text")) \
+    decoded = files.select(*carry, F.col(path_col).alias("_path"), text.alias("_text")) \
         .where(F.col("_text").isNotNull())
-    return decoded.select(
+    return decoded.select(*carry,
         F.lit(P.SOURCE_UPLOAD).alias("source"), F.lit(dbname).alias("dbname"),
         F.lit(schema_name).alias("schema_name"),
         T.stem(T.base_name("_path")).alias("procedure_name"),

@@ -213,3 +213,19 @@ def test_qualify_split(spark):
     rows = df.select(T.qualify("d", "s", "p").alias("f")).select("f", T.unqualify("f").alias("u")).collect()
     assert [r.f for r in rows] == ["a.b.s.p", "None.s.p.q"]
     assert [r.u for r in rows] == [["a", "b", "s.p"], ["None", "s", "p.q"]]
+
+
+def test_time_functions_ignore_session_zone(spark):
+    from migtrack.operators import reports as R
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # 2024-03-10 02:30 does not exist in New York (clocks jump from 2:00 to 3:00)
+        df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 2, 30, 0, 999999),)], "t timestamp_ntz")
+        assert df.select(T.utc_ms("t")).collect()[0][0] == dt.datetime(2024, 3, 10, 2, 30, 0, 999000)
+        txt = one_col(spark, ["Expiration date: 3/10/2024 2:30:00"])
+        assert txt.select(T.expiries("text")).collect()[0][0] == [dt.datetime(2024, 3, 10, 2, 30)]
+        lines = spark.createDataFrame([(1, "2024-03-10 02:30:00,250 - INFO - x")], "line_no long, line string")
+        assert R.parse_log(lines).collect()[0].log_time == dt.datetime(2024, 3, 10, 2, 30, 0, 250000)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
