@@ -159,18 +159,24 @@ def lookup_params(tests: DataFrame, meta: DataFrame) -> DataFrame:
                          T.call_text("procedure_name", params).alias("call_text"))
 
 
-def assign_ids(df: DataFrame, order_cols, id_col: str = "test_case_id", start: int = 1) -> DataFrame:
+def assign_ids(df: DataFrame, order_cols, id_col: str = "test_case_id", start: int = 1,
+               split_ties: bool = True) -> DataFrame:
     """Running id 1, 2, 3 ... (as text) in the order of ``order_cols``.
 
     Range-partitioned and sorted by the order, then written once to the
     checkpoint folder so partition layout and row order are fixed. Each row
     carries (partition, position); the per-partition counts (one row per
     partition, so a known small table) give prefix offsets. No global
-    single-partition window over the data.
+    single-partition window over the data. ``split_ties`` adds the scan
+    position as a last sort key, so a value shared by a third of the rows
+    still spreads over many range partitions (rows equal in every order
+    column are numbered in scan order).
     """
     checkpoint_dir(df.sparkSession)
     order_cols = list(order_cols)
-    tagged = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    keys = order_cols + (["_scan"] if split_ties else [])
+    src = df.withColumn("_scan", F.monotonically_increasing_id()) if split_ties else df
+    tagged = (src.repartitionByRange(*keys).sortWithinPartitions(*keys)
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
     part = F.shiftright(F.col("_mid"), 33)

@@ -1,0 +1,84 @@
+"""A key holding a third of all rows: results stay whole and right, keyed steps pre-aggregate."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from migtrack.functions import patterns as P
+from migtrack.operators import catalog as C
+from migtrack.operators import results as Q
+from migtrack.operators import upsert as U
+from migtrack.schemas import TEST_LOG_SCHEMA, TRACKING_SCHEMA
+
+N = 30000
+
+
+def skewed_log(spark):
+    ids = spark.range(N).repartition(8)
+    proc = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("p"), (F.col("id") % 997).cast("string")))
+    return ids.select(
+        F.col("id").alias("event_id"), F.col("id").cast("string").alias("test_case_id"),
+        F.when(F.col("id") % 2 == 0, F.lit(P.TEST_CREATE)).otherwise(F.lit(P.TEST_EXECUTION)).alias("test_case_name"),
+        proc.alias("procedure_name"),
+        F.when(F.col("id") % 101 == 0, F.lit(None)).otherwise(
+            F.timestamp_seconds(F.col("id") % 5000).cast("timestamp_ntz")).alias("test_timestamp"),
+        F.when(F.col("id") % 5 == 0, F.lit(P.STATUS_FAILED)).otherwise(F.lit(P.STATUS_SUCCESS)).alias("status"),
+        F.lit("-").alias("errors")).select(*[f.name for f in TEST_LOG_SCHEMA.fields])
+
+
+def test_latest_status_hot_key(spark):
+    log = skewed_log(spark)
+    rows = log.collect()
+    best = {}
+    for r in rows:
+        k = (r.test_timestamp is None, r.test_timestamp or dt.datetime.min, r.event_id)
+        if r.procedure_name not in best or k > best[r.procedure_name][0]:
+            best[r.procedure_name] = (k, r.status)
+    got = {r.procedure_name: r.status for r in Q.latest_status(log).collect()}
+    assert got == {k: v[1] for k, v in best.items()}
+    plan = Q.latest_status(log)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan  # reduced in every task before the shuffle
+
+
+def test_upsert_hot_key_counts(spark):
+    src = spark.range(N).select(
+        F.col("id").alias("seq"), F.lit("SQLServer").alias("source"), F.lit("db").alias("dbname"),
+        F.lit("dbo").alias("schema_name"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("p"), F.col("id").cast("string")))
+        .alias("procedure_name"),
+        F.concat(F.lit("v"), F.col("id").cast("string")).alias("procedure_definition"),
+        F.lit("").alias("parameters"))
+    empty = spark.createDataFrame([], TRACKING_SCHEMA)
+    tgt = U.upsert_tracking(empty, src.where("seq < 10"), now=dt.datetime(2026, 1, 1))
+    out = U.upsert_tracking(tgt, src, now=dt.datetime(2026, 1, 1))
+    hot = out.where("procedure_name = 'hot'").collect()
+    assert len(hot) == 1 and hot[0].procedure_definition == f"v{max(i for i in range(N) if i % 3 == 0)}"
+    c = U.upsert_counts(tgt, src).collect()[0]
+    n_new_keys = len({i for i in range(10, N) if i % 3 != 0})
+    assert c.rows_inserted == n_new_keys and c.rows_inserted + c.rows_updated == N
+    assert out.count() == tgt.count() + n_new_keys
+
+
+def test_param_list_hot_name_repeated_signature(spark):
+    p = spark.range(N).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("p"), (F.col("id") % 50).cast("string")))
+        .alias("procedure_name"),
+        F.lit("IN").alias("mode"), F.concat(F.lit("@a"), (F.col("id") % 4).cast("string")).alias("name"),
+        F.lit("int").alias("data_type"), F.lit(None).cast("int").alias("char_length"),
+        (F.col("id") % 4).cast("int").alias("ordinal_position"))
+    got = {r.procedure_name: r.parameters for r in C.param_list(p).collect()}
+    rows = sorted((r.procedure_name, r.ordinal_position, f"{r.mode} {r.name} {r.data_type}") for r in p.collect())
+    want = {}
+    for name, _, d in rows:
+        want.setdefault(name, []).append(d)
+    assert got == {k: ", ".join(v) for k, v in want.items()}
+
+
+def test_assign_ids_with_shared_order_value(spark):
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise(
+        F.format_string("k%05d", F.col("id"))).alias("f"))
+    out = Q.assign_ids(df, ["f"]).collect()
+    ids = sorted(int(r.test_case_id) for r in out)
+    assert ids == list(range(1, 9001))
+    by_id = sorted(out, key=lambda r: int(r.test_case_id))
+    assert [r.f for r in by_id] == sorted(r.f for r in out)
