@@ -118,8 +118,8 @@ def schema_groups(tracking: DataFrame) -> DataFrame:
 
 
 def tracking_view(tracking: DataFrame) -> DataFrame:
-    """A5: the tracking table ordered by db, schema, name."""
-    return tracking.orderBy("dbname", "schema_name", "procedure_name")
+    """A5: the tracking table ordered by db, schema, name (NULLs last, as the source database)."""
+    return tracking.orderBy(*[F.col(c).asc_nulls_last() for c in ("dbname", "schema_name", "procedure_name")])
 
 
 def flagged(tracking: DataFrame) -> DataFrame:
@@ -127,6 +127,11 @@ def flagged(tracking: DataFrame) -> DataFrame:
     return tracking.where(F.col("conversion_flag")).select("procedure_name", "procedure_definition")
 
 
+def log_view(log: DataFrame) -> DataFrame:
+    """The test log newest first (rows without a time first, as the source database)."""
+    return log.orderBy(F.col("test_timestamp").desc_nulls_first())
+
+
 def search(df: DataFrame, term: str, col: str = "procedure_name") -> DataFrame:
     """Case-insensitive substring match, literal (no wildcards); '' keeps all."""
     out = df if not term else df.where(F.lower(F.col(col)).contains(term.lower()))

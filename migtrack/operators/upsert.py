@@ -23,7 +23,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import patterns as P
 from ..functions import text as T
 from ..schemas import TEST_LOG_COLUMNS, TRACKING_COLUMNS
 

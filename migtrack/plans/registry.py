@@ -153,15 +153,15 @@ def script_scan(spark, sf_dir):
 
 
 @query("tracking_view", ("tracking",), f"""
-SELECT {_TRACKING_COLS} FROM tracking ORDER BY dbname, schema_name, procedure_name""")
+SELECT {_TRACKING_COLS} FROM tracking ORDER BY dbname NULLS LAST, schema_name NULLS LAST, procedure_name NULLS LAST""")
 def tracking_view(spark, sf_dir):
     return C.tracking_view(_load(spark, sf_dir, "tracking"))
 
 
 @query("test_log_view", ("test_log",), """
-SELECT * FROM test_log ORDER BY test_timestamp DESC""")
+SELECT * FROM test_log ORDER BY test_timestamp DESC NULLS FIRST""")
 def test_log_view(spark, sf_dir):
-    return _load(spark, sf_dir, "test_log").orderBy(F.col("test_timestamp").desc())
+    return C.log_view(_load(spark, sf_dir, "test_log"))
 
 
 @query("object_listing", ("objects",), f"""
