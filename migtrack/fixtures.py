@@ -2,10 +2,10 @@
 
 Each view is plain SQL over the driver tables (or earlier views) that Spark
 and DuckDB answer equally. Spark registers them as temp views; the oracle SQL
-puts the same text in a ``WITH`` clause. Row selections such as
-``o_orderkey % 3 <> 0`` model *which* routines already exist in the target
-and which arrive later; they are part of the scenario, not a sample: every
-query runs over the whole tables.
+puts the same text in a ``WITH`` clause. The few row selections (order
+priority, routine type, document language) model *which* routines already
+exist in the target and which scripts were written; they are part of the
+scenario, not a sample: every query runs over the whole tables.
 """
 
 from __future__ import annotations
@@ -36,19 +36,20 @@ SELECT 'usp_' || CAST(l_orderkey AS STRING) AS procedure_name,
   CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS INT) END AS char_length,
   l_linenumber AS ordinal_position
 FROM lineitem""", ()),
-    # F1t: tracking table before the load: two thirds of the routines, flag TRUE/FALSE/NULL.
+    # F1t: tracking table before the load: the routines of four of the five order
+    # priorities were loaded earlier; flag TRUE/FALSE/NULL.
     "tracking": ("""
 SELECT source, dbname, schema_name, procedure_name, procedure_definition,
   CASE o_orderstatus WHEN 'F' THEN TRUE WHEN 'O' THEN FALSE END AS conversion_flag,
   o_orderdate AS load_timestamp, 'TGT' AS target_dbname, 'PUBLIC' AS target_schema_name,
   '' AS parameters, FALSE AS is_deployed, '' AS errors
-FROM routines JOIN orders ON o_orderkey = seq WHERE o_orderkey % 3 <> 0""", ("routines",)),
-    # A load batch with duplicate keys; seq gives the order.
+FROM routines JOIN orders ON o_orderkey = seq WHERE o_orderpriority <> '5-LOW'""", ("routines",)),
+    # A load batch of all procedures with duplicate keys (two routines per name); seq gives the order.
     "batch": ("""
 SELECT seq, source, dbname, schema_name,
   'usp_' || CAST(seq - seq % 2 AS STRING) AS procedure_name,
   'v2 ' || procedure_definition AS procedure_definition, '@a int' AS parameters
-FROM routines WHERE seq % 7 <> 0""", ("routines",)),
+FROM routines WHERE routine_type = 'PROCEDURE'""", ("routines",)),
     # converted-script corpus with headers, comments, markers, schema words, $$.
     "scripts": ("""
 SELECT doc_id, 'processed_usp_' || CAST(doc_id AS STRING) || '.sql' AS file_name, source,
@@ -114,9 +115,9 @@ FROM events""", ()),
     # Uploaded script files arriving after the catalogue batch (seq continues after it).
     "upload_files": ("""
 SELECT doc_id + 1000000000000 AS seq, file_name AS path, text FROM scripts""", ("scripts",)),
-    # Processed scripts that exist on disk for publishing (some never written).
+    # Processed scripts that exist on disk for publishing (the German ones were never written).
     "scripts_partial": ("""
-SELECT * FROM scripts WHERE doc_id % 4 <> 0""", ("scripts",)),
+SELECT s.* FROM scripts s JOIN documents d ON d.doc_id = s.doc_id WHERE d.lang <> 'de'""", ("scripts",)),
 }
 
 # Fixed scenario parameters shared by the Spark plans and the oracle SQL.
