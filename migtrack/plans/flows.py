@@ -72,9 +72,9 @@ def save_flags(spark: SparkSession, store: Store, proposed: DataFrame) -> dict:
     """Step 2: write only changed flags; returns the number of changed rows."""
     tracking = store.read_tracking(spark)
     changes = C.changed_flags(tracking, proposed).checkpoint(eager=True)
-    n = changes.count()
-    if n == 0:
+    if changes.isEmpty():
         return {"version": None, "changed": 0}
+    n = changes.count()
     v = store.next_version(spark, store.tracking)
     SK.write_snapshot(C.update_flags(tracking, changes), store.tracking, v)
     return {"version": v, "changed": n}
@@ -83,6 +83,8 @@ def save_flags(spark: SparkSession, store: Store, proposed: DataFrame) -> dict:
 def extract(spark: SparkSession, store: Store, folder: str) -> dict:
     """Step 3: one file per flagged procedure; returns rows written and rows skipped."""
     tracking = store.read_tracking(spark)
+    if C.flagged(tracking).isEmpty():  # limit(1): stops at the first flagged row
+        return {"exported": 0, "skipped": 0}
     obs = Observation("export")
     rows = C.export_rows(tracking).observe(obs, F.count(F.lit(1)).alias("n"))
     SK.export_scripts(rows, folder)  # the count is taken while writing, no second pass
@@ -109,7 +111,7 @@ def record_results(spark: SparkSession, store: Store, outcomes: DataFrame) -> di
 def publish_passed(spark: SparkSession, store: Store, processed: DataFrame, folder: str) -> dict:
     """Step 6: write every passed procedure's processed script; report the missing ones."""
     log = store.read_log(spark)
-    if log is None:
+    if log is None or Q.passed(log).isEmpty():
         return {"published": 0, "missing": 0}
     obs = Observation("publish")
     found = Q.publish_found(log, processed).observe(obs, F.count(F.lit(1)).alias("n"))
