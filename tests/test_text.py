@@ -15,16 +15,13 @@ MARK = P.MARKER
 
 
 def py_drop_marked(s: str) -> str:
-    """Brute force: walk the lines, remember whether the last non-blank line held the marker."""
-    kept, armed = [], False
-    for line in s.splitlines():
-        if MARK in line:
-            armed = True
-        elif armed and line.strip():
-            armed = False
-        else:
-            kept.append(line)
-    return "\n".join(kept)
+    """Brute force over the line list: a line goes when it holds the marker, or when it is
+    non-blank and the previous non-blank line holds it."""
+    lines = s.splitlines()
+    solid = [i for i, line in enumerate(lines) if line.strip()]
+    gone = {i for k, i in enumerate(solid)
+            if MARK in lines[i] or (k > 0 and MARK in lines[solid[k - 1]])}
+    return "\n".join(line for i, line in enumerate(lines) if i not in gone)
 
 
 def py_clean(s: str, src: str, dst: str) -> str:
