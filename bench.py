@@ -1,7 +1,7 @@
 """Benchmark the headline queries; prints one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEAT (default 2; the best run of each query is reported).
+BENCH_REPEAT (default 3; the best run of each query is reported).
 Each query runs to completion through the ``noop`` sink (every row computed,
 nothing collected to the driver).
 """
@@ -26,7 +26,7 @@ HEADLINE = ("clean_script", "drop_marked", "param_list", "metadata_upsert", "lat
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=cpus,
                         extra={"spark.driver.memory": "16g",
                                "spark.checkpoint.dir": tempfile.mkdtemp(prefix="migtrack-bench-")})

@@ -154,11 +154,13 @@ def with_clause(*names: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" if parts else ""
 
 
-# A driver table file this large that holds fewer row groups than the session
-# has cores would be read by a few tasks only (a row group is never split), so
-# it is spread once with a round-robin repartition. Tables laid out for a
-# cluster (many row groups or files) are read as they are.
+# A driver table file that holds large texts (wide rows) in fewer row groups
+# than the session has cores would be read by a few tasks only (a row group is
+# never split), while the per-row regex work dominates; such a file is spread
+# once with a round-robin repartition. Narrow tables are scan-bound and read as
+# they are, and so are tables laid out for a cluster (many row groups or files).
 SPREAD_MIN_BYTES = 4 << 20
+SPREAD_MIN_ROW_BYTES = 512
 
 
 def _read_table(spark: SparkSession, path: str):
@@ -168,10 +170,11 @@ def _read_table(spark: SparkSession, path: str):
     cores = spark.sparkContext.defaultParallelism
     try:
         import pyarrow.parquet as pq
-        groups = pq.ParquetFile(path).metadata.num_row_groups
+        meta = pq.ParquetFile(path).metadata
     except Exception:  # noqa: BLE001 - unreadable footer: leave the layout alone
         return df
-    return df.repartition(cores) if groups < cores else df
+    wide = os.path.getsize(path) / max(meta.num_rows, 1) >= SPREAD_MIN_ROW_BYTES
+    return df.repartition(cores) if wide and meta.num_row_groups < cores else df
 
 
 # (session, application) -> (data folder, names registered from it)

@@ -39,8 +39,13 @@ def merge_newest(target: DataFrame | None, batch: DataFrame, seq: str = "event_i
 
 
 def start_log_stream(spark: SparkSession, in_dir: str, log_dir: str, checkpoint: str,
-                     files_per_batch: int = 1, available_now: bool = True):
-    """Start the stream from ``in_dir`` (parquet outcome files) into versioned ``log_dir``."""
+                     files_per_batch: int | None = None, available_now: bool = True):
+    """Start the stream from ``in_dir`` (parquet outcome files) into versioned ``log_dir``.
+
+    Each micro-batch writes one new log version, so its cost is one pass over
+    the log (one row per (test, procedure), not the outcome history) plus the
+    batch; by default a trigger takes every new file to keep versions few.
+    """
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
         # version k is always built from version k-1, so a replayed batch id
@@ -50,8 +55,10 @@ def start_log_stream(spark: SparkSession, in_dir: str, log_dir: str, checkpoint:
             prev = SK.read_snapshot(spark, log_dir, TEST_LOG_SCHEMA, version=batch_id - 1)
         SK.write_snapshot(merge_newest(prev, batch), log_dir, batch_id)
 
-    stream = (spark.readStream.schema(TEST_LOG_SCHEMA)
-              .option("maxFilesPerTrigger", files_per_batch).parquet(in_dir))
+    reader = spark.readStream.schema(TEST_LOG_SCHEMA)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.parquet(in_dir)
     writer = stream.writeStream.foreachBatch(upsert_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
@@ -63,7 +70,7 @@ def replay_log_stream(spark: SparkSession, outcomes: DataFrame, n_batches: int =
     in_dir, log_dir, ckpt = f"{base}/in", f"{base}/log", f"{base}/checkpoint"
     (outcomes.select(*TEST_LOG_COLUMNS).repartitionByRange(n_batches, "event_id")
      .write.mode("overwrite").parquet(in_dir))
-    q = start_log_stream(spark, in_dir, log_dir, ckpt)
+    q = start_log_stream(spark, in_dir, log_dir, ckpt, files_per_batch=1)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
