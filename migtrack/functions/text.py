@@ -97,8 +97,8 @@ def _drop_marked_pattern(marker: str) -> str:
     # after it (kept, captured as $1), then the next non-blank line, which is
     # dropped unless it holds a marker itself (then it starts the next match).
     m = java_quote(marker)
-    blank_or_nl = P.PY_BLANK[:-1] + "\\n]"
-    non_blank = "[^" + P.PY_BLANK[1:-1] + "\\n]"
+    blank_or_nl = f"[{P.PY_BLANK_CHARS}\\n]"
+    non_blank = f"[^{P.PY_BLANK_CHARS}\\n]"
     return (
         f"\\n[^\\n]*{m}[^\\n]*"
         f"((?:\\n{blank_or_nl}*)?)"

@@ -117,6 +117,18 @@ def schema_groups(tracking: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_procs")))
 
 
+def schema_members(tracking: DataFrame) -> DataFrame:
+    """The members behind each group, one row per distinct qualified name, sorted.
+
+    Rows, not a collected list, so a schema holding most procedures stays spread.
+    """
+    parts = (tracking.select(T.qualify("dbname", "schema_name", "procedure_name").alias("full_name"))
+             .distinct().select(T.unqualify("full_name").alias("p")))
+    return (parts.select(F.col("p")[0].alias("dbname"), F.col("p")[1].alias("schema_name"),
+                         F.col("p")[2].alias("procedure_name"))
+            .orderBy("dbname", "schema_name", "procedure_name"))
+
+
 def tracking_view(tracking: DataFrame) -> DataFrame:
     """A5: the tracking table ordered by db, schema, name (NULLs last, as the source database)."""
     return tracking.orderBy(*[F.col(c).asc_nulls_last() for c in ("dbname", "schema_name", "procedure_name")])

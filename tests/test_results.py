@@ -135,3 +135,16 @@ def test_any_object(spark):
     assert R.any_object(df, "a/").collect()[0].any_object is True
     assert R.any_object(df, "zz").collect()[0].any_object is False
     assert [r.name for r in R.list_objects(df, "a/").collect()] == ["c.sql"]
+
+
+def test_schema_groups_and_members_split_at_first_two_dots(spark):
+    t = spark.createDataFrame([dict(source="s", dbname=d, schema_name=sch, procedure_name=n,
+                                    procedure_definition="x", conversion_flag=None, load_timestamp=T1,
+                                    target_dbname="T", target_schema_name="P", parameters="",
+                                    is_deployed=False, errors="")
+                               for d, sch, n in [("db", "dbo", "a"), ("db", "dbo", "a"), ("db", "dbo", "b"),
+                                                 ("db.x", "dbo", "c"), (None, "hr", "d")]], TRACKING_SCHEMA)
+    groups = {(r.dbname, r.schema_name): r.n_procs for r in C.schema_groups(t).collect()}
+    assert groups == {("db", "dbo"): 2, ("db", "x"): 1, ("None", "hr"): 1}
+    members = [(r.dbname, r.schema_name, r.procedure_name) for r in C.schema_members(t).collect()]
+    assert members == [("None", "hr", "d"), ("db", "dbo", "a"), ("db", "dbo", "b"), ("db", "x", "dbo.c")]
