@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import catalog as C
 from ..operators import results as Q
@@ -92,8 +93,9 @@ def extract(spark: SparkSession, store: Store, folder: str) -> dict:
 
 
 def process(scripts: DataFrame, source_schema: str, target_schema: str) -> DataFrame:
-    """Step 4: cleaned script text for every converted script (one projection)."""
-    return scripts.select("file_name", T.clean_script("text", source_schema, target_schema).alias("text"))
+    """Step 4: cleaned text of every converted script, named ``processed_<file>`` (one projection)."""
+    return scripts.select(F.concat(F.lit(P.PROCESSED_PREFIX), F.col("file_name")).alias("file_name"),
+                          T.clean_script("text", source_schema, target_schema).alias("text"))
 
 
 def record_results(spark: SparkSession, store: Store, outcomes: DataFrame) -> dict:

@@ -78,10 +78,13 @@ def export_scripts(rows: DataFrame, folder: str, name_col: str = "file_name",
      .repartition("file_name").write.mode("overwrite").partitionBy("file_name").text(folder))
 
 
-def write_processed(scripts: DataFrame, folder: str) -> None:
-    """Cleaned scripts as ``processed_<name>`` (text sink: one final newline added)."""
-    named = scripts.select(F.concat(F.lit(P.PROCESSED_PREFIX), F.col("file_name")).alias("file_name"),
-                           F.col("text").alias("value"))
+def write_processed(scripts: DataFrame, folder: str, prefix: bool = True) -> None:
+    """Cleaned scripts as ``processed_<name>`` (text sink: one final newline added).
+
+    ``prefix=False`` when the names already carry it (output of ``flows.process``).
+    """
+    name = F.concat(F.lit(P.PROCESSED_PREFIX), F.col("file_name")) if prefix else F.col("file_name")
+    named = scripts.select(name.alias("file_name"), F.col("text").alias("value"))
     named.repartition("file_name").write.mode("overwrite").partitionBy("file_name").text(folder)
 
 

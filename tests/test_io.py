@@ -82,7 +82,8 @@ def test_flows_end_to_end(spark, tmp_dir):
     ex = flows.extract(spark, store, tmp_dir + "/extracted")
     assert ex["exported"] == n_proc and ex["skipped"] == 0
     scripts = FX.load(spark, SF_SMALL, "scripts")
-    cleaned = flows.process(scripts.select("file_name", "text"), "dbo", "PUBLIC")
+    converted = scripts.select(F.regexp_replace("file_name", "^processed_", "").alias("file_name"), "text")
+    cleaned = flows.process(converted, "dbo", "PUBLIC")
     SK.write_corpus(cleaned, tmp_dir + "/processed")
     outcomes = FX.load(spark, SF_SMALL, "test_log")
     flows.record_results(spark, store, outcomes)
