@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from ..functions import patterns as P
+from ..functions.text import trim_final_break
 from ..operators.catalog import first_by
 
 
@@ -73,7 +74,7 @@ def export_scripts(rows: DataFrame, folder: str, name_col: str = "file_name",
     ``body`` already ends with a newline and the text sink adds one per row,
     so one is dropped here. Rows sharing a name land in the same file.
     """
-    body = F.regexp_replace(F.col(body_col), "\\n\\z", "")
+    body = trim_final_break(body_col)
     (rows.select(F.col(name_col).alias("file_name"), body.alias("value"))
      .repartition("file_name").write.mode("overwrite").partitionBy("file_name").text(folder))
 
