@@ -226,3 +226,22 @@ def test_time_functions_ignore_session_zone(spark):
         assert R.parse_log(lines).collect()[0].log_time == dt.datetime(2024, 3, 10, 2, 30, 0, 250000)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+pieces = st.sampled_from(["--", "/*", "*/", "\n", "\r\n", "\r", " ", "\t", "dbo", "DBO", "xdbo", "dbo_x", "é", "$$",
+                          "$", MARK, "a", "b c", "'--'", " ", "\x0c", "ß"])
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(pieces, max_size=25).map("".join), min_size=1, max_size=15))
+def test_clean_script_random(spark, values):
+    assert run(spark, lambda c: T.clean_script(c, "dbo", "PUBLIC"), values) == \
+        [py_clean(v, "dbo", "PUBLIC") for v in values]
+
+
+def test_search_is_literal_and_case_insensitive(spark):
+    from migtrack.operators import catalog as C
+    df = spark.createDataFrame([("usp_%a",), ("USP_XA",), ("uspxa",)], "procedure_name string")
+    assert [r[0] for r in C.search(df, "P_%").collect()] == ["usp_%a"]
+    assert [r[0] for r in C.search(df, "p_x").collect()] == ["USP_XA"]
+    assert C.search(df, "").count() == 3
