@@ -30,16 +30,34 @@ from ..sources import sinks as SK
 
 @dataclass
 class Store:
-    """Where the two tracked tables keep their versions."""
+    """Where the two tracked tables keep their versions.
+
+    ``buckets``: write every version bucketed by its upsert key (tracking on
+    (schema, name), log on (test, procedure)), so an upsert into a large table
+    shuffles only the incoming batch. None writes plain parquet.
+    """
     tracking: str
     test_log: str
+    buckets: int | None = None
+
+    def _tracking_buckets(self):
+        return dict(bucket_by=U.TRACKING_KEYS, buckets=self.buckets) if self.buckets else {}
+
+    def _log_buckets(self):
+        return dict(bucket_by=U.RESULT_KEYS, buckets=self.buckets) if self.buckets else {}
 
     def read_tracking(self, spark: SparkSession) -> DataFrame:
-        df = SK.read_snapshot(spark, self.tracking, TRACKING_SCHEMA)
+        df = SK.read_snapshot(spark, self.tracking, TRACKING_SCHEMA, **self._tracking_buckets())
         return df if df is not None else spark.createDataFrame([], TRACKING_SCHEMA)
 
     def read_log(self, spark: SparkSession) -> DataFrame | None:
-        return SK.read_snapshot(spark, self.test_log, TEST_LOG_SCHEMA)
+        return SK.read_snapshot(spark, self.test_log, TEST_LOG_SCHEMA, **self._log_buckets())
+
+    def write_tracking(self, df: DataFrame, version: int) -> None:
+        SK.write_snapshot(df, self.tracking, version, **self._tracking_buckets())
+
+    def write_log(self, df: DataFrame, version: int) -> None:
+        SK.write_snapshot(df, self.test_log, version, **self._log_buckets())
 
     def next_version(self, spark: SparkSession, base: str) -> int:
         v = SK.latest_version(spark, base)
@@ -64,8 +82,8 @@ def load_catalogue(spark: SparkSession, store: Store, routines: DataFrame, param
     tracking = store.read_tracking(spark)
     counts = U.upsert_counts(tracking, staged).collect()[0]
     v = store.next_version(spark, store.tracking)
-    SK.write_snapshot(U.upsert_tracking(tracking, staged, now=now, target_dbname=target_dbname,
-                                        target_schema_name=target_schema_name), store.tracking, v)
+    store.write_tracking(U.upsert_tracking(tracking, staged, now=now, target_dbname=target_dbname,
+                                           target_schema_name=target_schema_name), v)
     return {"version": v, "inserted": counts.rows_inserted, "updated": counts.rows_updated}
 
 
@@ -77,7 +95,7 @@ def save_flags(spark: SparkSession, store: Store, proposed: DataFrame) -> dict:
         return {"version": None, "changed": 0}
     n = changes.count()
     v = store.next_version(spark, store.tracking)
-    SK.write_snapshot(C.update_flags(tracking, changes), store.tracking, v)
+    store.write_tracking(C.update_flags(tracking, changes), v)
     return {"version": v, "changed": n}
 
 
@@ -103,10 +121,10 @@ def record_results(spark: SparkSession, store: Store, outcomes: DataFrame) -> di
     log = store.read_log(spark)
     new_log = U.upsert_results(log, outcomes)
     v_log = store.next_version(spark, store.test_log)
-    SK.write_snapshot(new_log, store.test_log, v_log)
+    store.write_log(new_log, v_log)
     tracking = store.read_tracking(spark)
     v_t = store.next_version(spark, store.tracking)
-    SK.write_snapshot(Q.mark_deployed(tracking, outcomes), store.tracking, v_t)
+    store.write_tracking(Q.mark_deployed(tracking, outcomes), v_t)
     return {"log_version": v_log, "tracking_version": v_t}
 
 

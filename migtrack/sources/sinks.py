@@ -50,19 +50,59 @@ def latest_version(spark: SparkSession, base: str) -> int | None:
     return best
 
 
-def write_snapshot(df: DataFrame, base: str, version: int) -> str:
-    """Write ``df`` as version ``version`` (overwrite makes a replayed write idempotent)."""
+def _table_name(base: str, version: int) -> str:
+    import hashlib
+    return f"migtrack_{hashlib.sha1(base.rstrip('/').encode()).hexdigest()[:12]}_v{int(version)}"
+
+
+def write_snapshot(df: DataFrame, base: str, version: int, bucket_by=None,
+                   buckets: int | None = None) -> str:
+    """Write ``df`` as version ``version`` (overwrite makes a replayed write idempotent).
+
+    With ``bucket_by`` the version is a bucketed table (one file per bucket,
+    sorted by the key): a later join or anti join on that key reads it without
+    a shuffle, and only the other side is shuffled to match the buckets.
+    """
     path = snapshot_path(base, version)
-    df.write.mode("overwrite").parquet(path)
+    if not bucket_by:
+        df.write.mode("overwrite").parquet(path)
+        return path
+    spark = df.sparkSession
+    keys = list(bucket_by)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = _table_name(base, version)
+    if path_exists(spark, path) and not spark.catalog.tableExists(name):
+        _declare(spark, name, path, df.schema, keys, n)  # a replay from a new application
+    (df.repartition(n, *keys).write.mode("overwrite").format("parquet")
+     .bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name))
     return path
 
 
+def _declare(spark: SparkSession, name: str, path: str, schema: T_.StructType, keys, n: int) -> None:
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    k = ", ".join(f"`{c}`" for c in keys)
+    spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet CLUSTERED BY ({k}) "
+              f"SORTED BY ({k}) INTO {n} BUCKETS LOCATION '{path}'")
+
+
 def read_snapshot(spark: SparkSession, base: str, schema: T_.StructType,
-                  version: int | None = None) -> DataFrame | None:
+                  version: int | None = None, bucket_by=None, buckets: int | None = None) -> DataFrame | None:
+    """Read a version (default the latest complete one); None when there is none.
+
+    A bucketed version is declared over its folder once per session, so a new
+    application reads it bucket-aware as well.
+    """
     v = latest_version(spark, base) if version is None else version
     if v is None:
         return None
-    return spark.read.schema(schema).parquet(snapshot_path(base, v))
+    path = snapshot_path(base, v)
+    if not bucket_by:
+        return spark.read.schema(schema).parquet(path)
+    name = _table_name(base, v)
+    if not spark.catalog.tableExists(name):
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        _declare(spark, name, path, schema, list(bucket_by), n)
+    return spark.table(name)
 
 
 # --- file exports ------------------------------------------------------------------------

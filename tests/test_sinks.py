@@ -69,3 +69,34 @@ def test_list_object_files_without_reading_content(spark, tmp_dir):
     assert names == ["a.sql", "b.sql"]
     assert R.any_object(paths.withColumn("path", F.col("path")), "file:" + tmp_dir + "/o/user2") \
         .collect()[0].any_object is False
+
+
+def test_bucketed_tracking_upsert_does_not_shuffle_target(spark, tmp_dir):
+    from conftest import SF_SMALL
+    from migtrack import fixtures as FX
+    from migtrack.operators import catalog as C
+    from migtrack.operators import upsert as U
+    from migtrack.plans import flows
+    routines, params = FX.load(spark, SF_SMALL, "routines", "params")
+    procs = C.routines_from(routines)
+    plain = flows.Store(tracking=tmp_dir + "/plain", test_log=tmp_dir + "/plog")
+    bucketed = flows.Store(tracking=tmp_dir + "/bucketed", test_log=tmp_dir + "/blog", buckets=8)
+    for store in (plain, bucketed):
+        flows.load_catalogue(spark, store, procs, params, now=FX.LOAD_NOW)
+    batch = C.attach_params(procs, params).withColumn("seq", F.lit(1).cast("long"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = {}
+        for key, store in (("plain", plain), ("bucketed", bucketed)):
+            df = U.upsert_tracking(store.read_tracking(spark), batch, now=FX.LOAD_NOW)
+            df.write.format("noop").mode("overwrite").save()
+            plans[key] = df._jdf.queryExecution().executedPlan().toString()
+            assert df.count() == store.read_tracking(spark).count()
+        assert "Bucketed: true" in plans["bucketed"]
+        # the target scan feeds the join and the anti join without its own exchange
+        assert plans["bucketed"].count("Exchange hashpartitioning") < plans["plain"].count("Exchange hashpartitioning")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    r = flows.load_catalogue(spark, bucketed, procs, params, now=FX.LOAD_NOW)
+    assert r["inserted"] == 0 and r["version"] == 1
