@@ -57,7 +57,7 @@ SELECT doc_id, 'processed_usp_' || CAST(doc_id AS STRING) || '.sql' AS file_name
   'CREATE OR REPLACE PROCEDURE dbo.' || CASE WHEN doc_id % 10 = 0 THEN 'GetLast' ELSE 'Fetch' END || CAST(doc_id AS STRING)
   || ' (@a VARCHAR(' || CAST(n_chars AS STRING) || '),' || chr(10) || '   @b INT)' || chr(10) || 'AS BEGIN $$' || chr(10)
   || '-- from ' || source || chr(10)
-  || CASE WHEN doc_id % 2 = 0 THEN '!!!RESOLVE EWI!!! /*** SSC-EWI-0040 ***/!!!' || chr(10) || chr(10) || '  ' || chr(10) || 'bad stmt' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 2 = 0 THEN '!!!RESOLVE EWI!!! /*** EWI-0040 ***/!!!' || chr(10) || chr(10) || '  ' || chr(10) || 'bad stmt' || chr(10) ELSE '' END
   || CASE WHEN doc_id % 3 = 0 THEN 'x !!!RESOLVE EWI!!!' || chr(10) || chr(10) || '!!!RESOLVE EWI!!!' || chr(10) || 'bad two' || chr(10) || 'good' || chr(10) ELSE '' END
   || '/* block' || chr(10) || 'over lines */' || chr(10) || 'SELECT * FROM DBO.t_dbo;' || chr(10) || text || chr(10) || '$$' AS text
 FROM documents""", ()),
