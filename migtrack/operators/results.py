@@ -12,9 +12,11 @@ from ..functions import text as T
 from ..session import checkpoint_dir
 
 FACETS = ("procedure_name", "status", "test_case_id", "test_case_name")
-# A facet list longer than this is joined as a broadcast table instead of an
-# IN list; the list lives on the driver, so its size is known before the plan.
+# A facet list longer than ISIN_LIMIT is joined as a table instead of an IN
+# list; the list lives on the driver, so its size is known before the plan and
+# it is broadcast only up to BROADCAST_LIMIT values (else a shuffled semi join).
 ISIN_LIMIT = 1000
+BROADCAST_LIMIT = 200_000
 
 
 def facet_filter(df: DataFrame, facets: dict) -> DataFrame:
@@ -29,7 +31,9 @@ def facet_filter(df: DataFrame, facets: dict) -> DataFrame:
             out = out.where(F.col(col).cast("string").isin(values))
         else:
             table = spark.createDataFrame([(v,) for v in values], f"`{col}` string").distinct()
-            out = out.join(F.broadcast(table), out[col].cast("string") == table[col], "left_semi")
+            if len(values) <= BROADCAST_LIMIT:
+                table = F.broadcast(table)
+            out = out.join(table, out[col].cast("string") == table[col], "left_semi")
     return out
 
 
