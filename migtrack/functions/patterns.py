@@ -57,6 +57,10 @@ PY_SPACE = f"[{PY_SPACE_CHARS}]"
 # isspace() characters that are not line breaks (blank-line test).
 PY_BLANK_CHARS = "\\t\\x1f \\xa0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000"
 PY_BLANK = f"[{PY_BLANK_CHARS}]"
+# Python's \w for str (isalnum() or "_") and the word boundary built on it; Java's
+# own \b differs at combining marks and at numerals such as superscripts.
+PY_WORD = "[\\p{L}\\p{N}_]"
+PY_BOUNDARY = f"(?:(?<={PY_WORD})(?!{PY_WORD})|(?<!{PY_WORD})(?={PY_WORD}))"
 # str.splitlines() boundaries other than "\n" (CRLF first, as one break).
 PY_LINE_BREAK = "\\r\\n|[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 PY_LINE_BREAK_CHARS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"

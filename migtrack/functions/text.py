@@ -84,7 +84,8 @@ def strip_comments(c) -> Column:
 def rename_schema(c, source: str, target: str, quote: bool = False) -> Column:
     """Whole-word, case-insensitive rename. ``source`` is a regex unless ``quote``."""
     src = java_quote(source) if quote else source
-    return F.regexp_replace(_c(c), f"(?iU)\\b{src}\\b", java_replacement(target))
+    b = P.PY_BOUNDARY  # joined as text, like the original: "a|b" means (\ba)|(b\b)
+    return F.regexp_replace(_c(c), f"(?iu){b}{src}{b}", java_replacement(target))
 
 
 def strip_dollar(c) -> Column:

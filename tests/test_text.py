@@ -245,3 +245,12 @@ def test_search_is_literal_and_case_insensitive(spark):
     assert [r[0] for r in C.search(df, "P_%").collect()] == ["usp_%a"]
     assert [r[0] for r in C.search(df, "p_x").collect()] == ["USP_XA"]
     assert C.search(df, "").count() == 3
+
+
+def test_rename_schema_word_boundary_like_python(spark):
+    values = ["x²dbo y", "édbo y", "a‿dbo", "Ⅻdbo", "_dbo", "DBO.t", "(dbo)", "dbo", "ſdbo", "dbos"]
+    got = run(spark, lambda c: T.rename_schema(c, "dbo", "NEW"), values)
+    assert got == [re.sub(r"\bdbo\b", "NEW", v, flags=re.I) for v in values]
+    alts = ["dbo.hr x", "hrdbo", "dbox", "xhr", "xdbo hrx"]
+    alt = run(spark, lambda c: T.rename_schema(c, "dbo|hr", "NEW"), alts)
+    assert alt == [re.sub(r"\bdbo|hr\b", "NEW", v, flags=re.I) for v in alts]
