@@ -1,8 +1,10 @@
 """Catalogue sources over JDBC (routine and parameter catalogues).
 
 The filter and projection are sent inside the JDBC query, so the source
-database does them; ``partition_column``/``num_partitions`` split the read
-into parallel range queries for large catalogues.
+database does them. For a large catalogue pass Spark's ``partitionColumn``,
+``lowerBound``, ``upperBound`` and ``numPartitions`` options (for parameters,
+``ordinal_position`` works): the query is then sent as a sub-select and read
+as that many parallel range queries.
 """
 
 from __future__ import annotations
@@ -20,9 +22,19 @@ SELECT SPECIFIC_NAME AS procedure_name, PARAMETER_MODE AS mode, PARAMETER_NAME A
 FROM INFORMATION_SCHEMA.PARAMETERS"""
 
 
+def jdbc_reader_options(query: str, options: dict) -> dict:
+    """Reader options: ``query`` for one read, a ``dbtable`` sub-select for a partitioned read."""
+    out = dict(options)
+    if "partitionColumn" in out:
+        out["dbtable"] = f"({query.strip()}) catalogue_rows"
+    else:
+        out["query"] = query
+    return out
+
+
 def _jdbc(spark: SparkSession, query: str, options: dict) -> DataFrame:
-    reader = spark.read.format("jdbc").option("query", query)
-    for k, v in options.items():
+    reader = spark.read.format("jdbc")
+    for k, v in jdbc_reader_options(query, options).items():
         reader = reader.option(k, v)
     return reader.load()
 

@@ -100,3 +100,14 @@ def test_bucketed_tracking_upsert_does_not_shuffle_target(spark, tmp_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     r = flows.load_catalogue(spark, bucketed, procs, params, now=FX.LOAD_NOW)
     assert r["inserted"] == 0 and r["version"] == 1
+
+
+def test_jdbc_options_for_partitioned_reads():
+    from migtrack.sources import catalog
+    one = catalog.jdbc_reader_options(catalog.PARAMS_QUERY, {"url": "jdbc:x"})
+    assert one["query"] == catalog.PARAMS_QUERY and "dbtable" not in one
+    many = catalog.jdbc_reader_options(catalog.PARAMS_QUERY, {
+        "url": "jdbc:x", "partitionColumn": "ordinal_position", "lowerBound": "1", "upperBound": "100",
+        "numPartitions": "8"})
+    assert "query" not in many and many["dbtable"].startswith("(") and many["dbtable"].endswith("catalogue_rows")
+    assert "WHERE ROUTINE_TYPE = 'PROCEDURE'" in catalog.ROUTINES_QUERY
