@@ -79,6 +79,8 @@ def load_catalogue(spark: SparkSession, store: Store, routines: DataFrame, param
     batch = batch.withColumn("seq", F.monotonically_increasing_id())
     staged = C.stage(None, batch)
     staged = staged.checkpoint(eager=True)  # fixes seq for both uses below
+    if staged.isEmpty():
+        return {"version": None, "inserted": 0, "updated": 0}
     tracking = store.read_tracking(spark)
     counts = U.upsert_counts(tracking, staged).collect()[0]
     v = store.next_version(spark, store.tracking)

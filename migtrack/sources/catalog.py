@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# fixed values: the standard INFORMATION_SCHEMA views and columns the catalogue is read from
 ROUTINES_QUERY = """
 SELECT SPECIFIC_CATALOG AS dbname, SPECIFIC_SCHEMA AS schema_name, SPECIFIC_NAME AS procedure_name,
        ROUTINE_DEFINITION AS procedure_definition

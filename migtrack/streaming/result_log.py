@@ -42,6 +42,9 @@ def start_log_stream(spark: SparkSession, in_dir: str, log_dir: str, checkpoint:
                      files_per_batch: int | None = None, available_now: bool = True):
     """Start the stream from ``in_dir`` (parquet outcome files) into versioned ``log_dir``.
 
+    ``log_dir`` belongs to this stream's ``checkpoint`` (as a file sink's output
+    folder belongs to its checkpoint): version ``k`` is the log after batch ``k``.
+
     Each micro-batch writes one new log version, so its cost is one pass over
     the log (one row per (test, procedure), not the outcome history) plus the
     batch; by default a trigger takes every new file to keep versions few.

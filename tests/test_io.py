@@ -128,3 +128,11 @@ def test_cleanup_projection_has_no_shuffle(spark):
 def test_text_helpers_used_by_sinks(spark):
     df = spark.createDataFrame([("a\n",), ("b",)], "t string")
     assert [r[0] for r in df.select(T.trim_final_break("t")).collect()] == ["a", "b"]
+
+
+def test_load_catalogue_empty_batch_writes_nothing(spark, tmp_dir):
+    store = flows.Store(tracking=tmp_dir + "/t", test_log=tmp_dir + "/l")
+    routines, params = FX.load(spark, SF_SMALL, "routines", "params")
+    none = C.routines_from(routines).where("false")
+    assert flows.load_catalogue(spark, store, none, params)["version"] is None
+    assert SK.latest_version(spark, store.tracking) is None
