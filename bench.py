@@ -23,12 +23,21 @@ HEADLINE = ("clean_script", "drop_marked", "param_list", "metadata_upsert", "lat
             "attach_params", "result_upsert", "stage_dedup", "script_status", "call_build")
 
 
+def driver_memory() -> str:
+    """60 % of physical memory, at least 1 GB and at most 16 GB (local mode runs in the driver)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(16, int(total * 0.6 / 2**30)))}g"
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=cpus,
-                        extra={"spark.driver.memory": "16g",
+                        extra={"spark.driver.memory": driver_memory(),
                                "spark.checkpoint.dir": tempfile.mkdtemp(prefix="migtrack-bench-")})
     spark.sparkContext.setLogLevel("ERROR")
     qs = registry.queries()
