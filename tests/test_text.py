@@ -254,3 +254,12 @@ def test_rename_schema_word_boundary_like_python(spark):
     alts = ["dbo.hr x", "hrdbo", "dbox", "xhr", "xdbo hrx"]
     alt = run(spark, lambda c: T.rename_schema(c, "dbo|hr", "NEW"), alts)
     assert alt == [re.sub(r"\bdbo|hr\b", "NEW", v, flags=re.I) for v in alts]
+
+
+def test_clean_script_long_texts(spark):
+    # long scripts: many lines, a huge block comment, a long blank run after a marker
+    lines = [MARK if i % 50 == 0 else ("" if i % 50 in (1, 2) else f"SELECT {i} FROM dbo.t -- c")
+             for i in range(60000)]
+    values = ["\n".join(lines), "/*" + "x\n" * 100000 + "*/ dbo\n" + MARK + "\n" * 30000 + "after"]
+    assert run(spark, lambda c: T.clean_script(c, "dbo", "PUBLIC"), values) == \
+        [py_clean(v, "dbo", "PUBLIC") for v in values]
