@@ -17,18 +17,34 @@ from migtrack.session import get_session  # noqa: E402
 import __spark_entry__ as E  # noqa: E402
 
 NOTES = {
-    "clean_script": "one projection, no Python; the only exchange is the fixture layer spreading the "
-                    "single-row-group test file (no exchange on a cluster layout)",
-    "drop_marked": "one projection; the round-robin exchange is the fixture spread of the test file",
-    "param_list": "count pre-aggregate (map-side combine) then ordered listagg per name",
-    "metadata_upsert": "source collapsed per key with partial max_by/min_by; target left join (AQE may broadcast the "
-                       "collapsed side) + anti join on the target's two key columns",
-    "latest_status": "partial max_by per procedure before the only exchange",
-    "attach_params": "param list aggregated, joined by name; AQE broadcasts it only when measured small",
-    "result_upsert": "two log upserts; every keyed step pre-aggregates",
-    "stage_dedup": "uploads parsed in a projection, union, null-safe anti join, partial min_by per key",
-    "script_status": "latest status (partial max_by) joined to scripts",
-    "call_build": "parameter list, routine join, partial min_by per name, call text",
+    "clean_script": "One projection, no Python. The only exchange is the fixture layer spreading the "
+                    "single-row-group test file; on a cluster layout the plan is scan -> project, so "
+                    "1000x the corpus is 1000x the tasks with no shuffle at all.",
+    "drop_marked": "One projection (one linear regex per text, skipped by a byte search when a text "
+                   "holds no marker); the round-robin exchange is the fixture spread of the test file.",
+    "param_list": "Two exchanges. The first moves (name, ordinal, descriptor, count) after a map-side "
+                  "count, so a name repeated across many schemas arrives pre-collapsed; the second "
+                  "moves one chunk per distinct entry. A hot name's final group holds its distinct "
+                  "entries, which is also the size of its one output value.",
+    "metadata_upsert": "The batch is collapsed per key with partial max_by/min_by (a hot key leaves "
+                       "each task as one row). The target is read twice: whole for the left join "
+                       "(AQE broadcasts the collapsed batch when it measures it small, else "
+                       "sort-merge; a skewed target key is split because the join is left outer) and "
+                       "as two key columns for the anti join. With Store(buckets=N) neither read of "
+                       "the target is shuffled.",
+    "latest_status": "One exchange after a partial max_by: each task sends one row per procedure, "
+                     "whatever the size of a procedure's history.",
+    "attach_params": "param_list, then a left join on name; the list side is broadcast only when AQE "
+                     "measures it below the threshold, otherwise both sides shuffle by name and a "
+                     "skewed routine name is split by AQE.",
+    "result_upsert": "Two log upserts (the first builds the target from the first half of the "
+                     "outcomes); every keyed step pre-aggregates; in a real flow the target is a "
+                     "stored snapshot, read once whole and once as its key columns.",
+    "stage_dedup": "Uploads parsed in a projection, union with the batch, null-safe anti join against "
+                   "the staged keys (pruned to four columns), partial min_by per key.",
+    "script_status": "latest_status (partial max_by) joined to the scripts; the status side is one "
+                     "row per procedure and broadcast only when measured small.",
+    "call_build": "param_list, routine join, partial min_by per name, call text in a projection.",
 }
 
 
