@@ -102,7 +102,7 @@ def stage(existing: DataFrame | None, batch: DataFrame, seq: str = "seq") -> Dat
     keys = list(STAGE_KEYS)
     fresh = batch
     if existing is not None:
-        staged_keys = existing.select(*keys).distinct()
+        staged_keys = existing.select(*keys)  # an anti join ignores duplicates on this side
         fresh = batch.join(staged_keys, null_safe_on(batch, staged_keys, keys), "left_anti")
     return first_by(fresh, keys, seq)
 

@@ -96,7 +96,7 @@ def test_runs(procs: DataFrame, name_col: str = "procedure_name") -> DataFrame:
 def pending_tests(candidates: DataFrame, log: DataFrame) -> DataFrame:
     """Candidate (test, procedure) runs that have not already succeeded."""
     keys = ["test_case_name", "procedure_name"]
-    done = log.where(F.col("status") == P.STATUS_SUCCESS).select(*keys).distinct()
+    done = log.where(F.col("status") == P.STATUS_SUCCESS).select(*keys)  # anti join: duplicates harmless
     return candidates.join(done, keys, "left_anti")
 
 
