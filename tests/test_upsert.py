@@ -133,3 +133,21 @@ def test_insert_absent(spark):
                                  stage_row(5, None, "b", "z")], STAGE_SCHEMA)
     out = U.insert_absent(target, src, ("schema_name", "procedure_name"))
     assert {r.seq: r.accepted for r in out.collect()} == {1: False, 2: True, 3: False, 4: True, 5: True}
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["t1", "t2", None]), st.sampled_from(["p", "q"]),
+                          st.sampled_from(["✅ Success", "❌ Failed"])), min_size=1, max_size=12),
+       st.randoms(use_true_random=False))
+def test_stream_merge_is_order_free(spark, rows, rnd):
+    from migtrack.streaming.result_log import merge_newest
+    events = [log_row(i, t, p, s) for i, (t, p, s) in enumerate(rows)]
+    chunks = [events[i::3] for i in range(3)]
+    rnd.shuffle(chunks)
+    state = None
+    for chunk in chunks:
+        if chunk:
+            state = merge_newest(state, spark.createDataFrame(chunk, TEST_LOG_SCHEMA))
+    batch = U.upsert_results(None, spark.createDataFrame(events, TEST_LOG_SCHEMA))
+    key = lambda r: r.event_id
+    assert sorted(state.collect(), key=key) == sorted(batch.collect(), key=key)
