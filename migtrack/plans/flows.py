@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import catalog as C
+from ..operators import reports as R
 from ..operators import results as Q
 from ..operators import upsert as U
 from ..schemas import TEST_LOG_SCHEMA, TRACKING_SCHEMA
+from ..sources import files
 from ..sources import sinks as SK
 
 
@@ -149,5 +151,39 @@ def dashboard(log: DataFrame, facets: dict | None = None) -> dict[str, DataFrame
             "facets": Q.facet_values(log)}
 
 
+def comparison_view(processed: DataFrame, extracted_rows: DataFrame, extracted_dir: str,
+                    log: DataFrame) -> dict[str, DataFrame]:
+    """Script viewer data: original next to converted, status labels, numbered lines."""
+    return {"pairs": Q.pair_scripts(processed, extracted_rows, extracted_dir),
+            "labels": Q.script_status(processed, log).orderBy("file_name"),
+            "lines": Q.numbered_lines(processed, "file_name")}
+
+
+def activity_log(spark: SparkSession, path: str, n: int = 25) -> dict[str, DataFrame]:
+    """Application log: every line parsed, and the last ``n`` lines for display."""
+    lines = files.read_log_lines(spark, path)
+    return {"parsed": R.parse_log(lines), "tail": R.tail(lines, n)}
+
+
+def assessment(reports: DataFrame, key: str) -> DataFrame:
+    """Converter assessment reports: the six metrics per report."""
+    return R.report_table(reports, key)
+
+
+def licence_status(listings: DataFrame, key: str, now=None) -> DataFrame:
+    """Licence listings: parsable expiry dates and whether one is still ahead of ``now``."""
+    if now is None:
+        now = F.current_timestamp().cast("timestamp_ntz")
+    return R.active_expiry(listings, key, now)
+
+
+def converted_cache(spark: SparkSession, root: str, prefix: str) -> dict:
+    """Converter output cache: objects under ``prefix`` (names) and whether any exists."""
+    objects = files.list_object_files(spark, root)
+    return {"objects": R.list_objects(objects, prefix),
+            "exists": not R.list_objects(objects, prefix).isEmpty()}
+
+
 __all__ = ["Store", "load_catalogue", "save_flags", "extract", "process", "record_results",
-           "publish_passed", "dashboard"]
+           "publish_passed", "dashboard", "comparison_view", "activity_log", "assessment",
+           "licence_status", "converted_cache"]

@@ -136,3 +136,22 @@ def test_load_catalogue_empty_batch_writes_nothing(spark, tmp_dir):
     none = C.routines_from(routines).where("false")
     assert flows.load_catalogue(spark, store, none, params)["version"] is None
     assert SK.latest_version(spark, store.tracking) is None
+
+
+def test_viewer_log_and_cache_views(spark, tmp_dir):
+    scripts, log = FX.load(spark, SF_SMALL, "scripts", "test_log")
+    tracking = FX.load(spark, SF_SMALL, "tracking")
+    views = flows.comparison_view(scripts.select("file_name", "text"), C.export_rows(tracking), "/ex", log)
+    assert views["pairs"].count() == scripts.count() and views["labels"].count() == scripts.count()
+    assert views["lines"].where("line_no = 1").count() == scripts.count()
+    write_files(tmp_dir + "/logs", {"app.log": b"2024-01-01 10:00:00,000 - INFO - a\ncontinued\n\n"})
+    act = flows.activity_log(spark, tmp_dir + "/logs")
+    assert [r.line for r in act["tail"].collect()] == ["2024-01-01 10:00:00,000 - INFO - a", "continued"]
+    assert act["parsed"].where("level = 'INFO'").count() == 1
+    write_files(tmp_dir + "/cache/u1", {"a.sql": b"x"})
+    assert flows.converted_cache(spark, tmp_dir + "/cache", "file:" + tmp_dir + "/cache/u1")["exists"]
+    assert not flows.converted_cache(spark, tmp_dir + "/cache", "file:" + tmp_dir + "/cache/u2")["exists"]
+    rep = spark.createDataFrame([(1, "- Files: 3")], "k long, text string")
+    assert flows.assessment(rep, "k").collect()[0].files == "3"
+    lic = spark.createDataFrame([(1, "Expiration date: 1/1/2999 0:00:00")], "k long, text string")
+    assert flows.licence_status(lic, "k").collect()[0].has_active is True
