@@ -167,7 +167,10 @@ def _read_table(spark: SparkSession, path: str):
     df = spark.read.parquet(path)
     if not os.path.isfile(path) or os.path.getsize(path) < SPREAD_MIN_BYTES:
         return df
-    cores = spark.sparkContext.defaultParallelism
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - a session without a local context (Spark Connect)
+        cores = os.cpu_count() or 1
     try:
         import pyarrow.parquet as pq
         meta = pq.ParquetFile(path).metadata
@@ -193,7 +196,10 @@ def register(spark: SparkSession, sf_dir: str, names=None) -> None:
     do not list files and read parquet footers again.
     """
     sf_dir = sf_dir.rstrip("/")
-    key = (id(spark), spark.sparkContext.applicationId)
+    try:
+        key = (id(spark), spark.sparkContext.applicationId)
+    except Exception:  # noqa: BLE001 - Spark Connect: no local context
+        key = (id(spark), "")
     folder, done = _REGISTERED.get(key, (None, set()))
     if folder != sf_dir:
         done = set()
