@@ -49,6 +49,7 @@ NOTES = {
 
 
 def shape(plan: str) -> str:
+    plan = plan.split("== Initial Plan ==")[0]  # an executed adaptive plan prints both trees
     out = []
     for i, line in enumerate(plan.splitlines()):
         # tree lines only: the root, or a child marked "+- " / ":- " (literals in
@@ -77,13 +78,15 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from bench import HEADLINE
     parts = ["# Physical plans of the headline queries\n",
-             f"Final adaptive plans at `{sf_dir}` on `local[8]` (operators only; generated by "
-             "`tools/plans.py`). `Exchange` is a shuffle, `BroadcastExchange` a broadcast that AQE "
-             "chose from measured sizes.\n"]
+             f"Final adaptive plans (after AQE re-planned with measured sizes) at `{sf_dir}` on "
+             "`local[8]`, operators only, generated by `tools/plans.py`. `Exchange` is a shuffle, "
+             "`ShuffleQueryStage`/`AQEShuffleRead` its materialised stage and coalesced read, "
+             "`BroadcastExchange` a broadcast chosen from a measured size.\n"]
     for name in HEADLINE:
         df = E.queries()[name](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        plan_exec = df._jdf.queryExecution().executedPlan()
+        plan_exec.execute().count()  # run this plan object, so AQE finalises it
+        plan = plan_exec.toString()
         parts.append(f"## `{name}`\n\n{NOTES.get(name, '')}\n\n```\n{shape(plan)}\n```\n")
     with open(os.path.join(ROOT, "PLANS.md"), "w") as f:
         f.write("\n".join(parts))
