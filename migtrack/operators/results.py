@@ -112,9 +112,12 @@ def script_status(scripts: DataFrame, log: DataFrame) -> DataFrame:
 
 def pair_scripts(processed: DataFrame, extracted: DataFrame, extracted_dir: str) -> DataFrame:
     """Each processed script next to its original; a missing original becomes a note."""
+    # both sides as the viewer reads a file: BOM dropped, universal newlines
     originals = (extracted.groupBy("file_name")
-                 .agg(F.max_by("body", "procedure_name").alias("_original")))
-    named = processed.select(F.col("file_name"), F.col("text").alias("converted"),
+                 .agg(F.max_by("body", "procedure_name").alias("_original"))
+                 .withColumn("_original", T.universal_newlines(T.strip_bom("_original"))))
+    named = processed.select(F.col("file_name"),
+                             T.universal_newlines(T.strip_bom("text")).alias("converted"),
                              T.strip_processed("file_name").alias("original_file"))
     joined = named.join(originals, named["original_file"] == originals["file_name"], "left") \
         .drop(originals["file_name"])

@@ -386,9 +386,10 @@ def status_label(spark, sf_dir):
 @query("script_pairs", ("scripts", "tracking"), f"""
 SELECT s.file_name,
   CASE WHEN starts_with(s.file_name, 'processed_') THEN substr(s.file_name, 11) END AS original_file,
-  CASE WHEN starts_with(s.file_name, 'processed_') THEN coalesce(e.body,
+  CASE WHEN starts_with(s.file_name, 'processed_') THEN coalesce(
+    regexp_replace(regexp_replace(e.body, '^\\x{{FEFF}}', ''), '\\r\\n?', chr(10), 'g'),
     '--- FILE NOT FOUND ---' || chr(10) || 'Path: {FX.EXTRACTED_DIR}/' || substr(s.file_name, 11)) END AS original,
-  s.text AS converted
+  regexp_replace(regexp_replace(s.text, '^\\x{{FEFF}}', ''), '\\r\\n?', chr(10), 'g') AS converted
 FROM scripts s LEFT JOIN (
   SELECT file_name, body FROM (
     SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY procedure_name DESC) AS rn FROM ({_EXPORT_SQL}))

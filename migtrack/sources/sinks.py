@@ -120,12 +120,15 @@ def export_scripts(rows: DataFrame, folder: str, name_col: str = "file_name",
 
 
 def write_processed(scripts: DataFrame, folder: str, prefix: bool = True) -> None:
-    """Cleaned scripts as ``processed_<name>`` (text sink: one final newline added).
+    """Cleaned scripts as ``processed_<name>``.
+
+    The text sink ends every file with a newline; one final newline of the text
+    is dropped first, so only a text without one gains it.
 
     ``prefix=False`` when the names already carry it (output of ``flows.process``).
     """
     name = F.concat(F.lit(P.PROCESSED_PREFIX), F.col("file_name")) if prefix else F.col("file_name")
-    named = scripts.select(name.alias("file_name"), F.col("text").alias("value"))
+    named = scripts.select(name.alias("file_name"), trim_final_break("text").alias("value"))
     named.repartition("file_name").write.mode("overwrite").partitionBy("file_name").text(folder)
 
 
@@ -135,8 +138,12 @@ def write_corpus(scripts: DataFrame, path: str) -> None:
 
 
 def publish(found: DataFrame, folder: str) -> None:
-    """Wipe the target and write ``deployed_<proc>.sql`` for every found script."""
-    (found.select(F.col("target_file").alias("file_name"), F.col("text").alias("value"))
+    """Wipe the target and write ``deployed_<proc>.sql`` for every found script.
+
+    A script read from a file that ends with a newline is written back byte for
+    byte (the text sink adds the newline that is dropped here).
+    """
+    (found.select(F.col("target_file").alias("file_name"), trim_final_break("text").alias("value"))
      .repartition("file_name").write.mode("overwrite").partitionBy("file_name").text(folder))
 
 

@@ -111,3 +111,18 @@ def test_jdbc_options_for_partitioned_reads():
         "numPartitions": "8"})
     assert "query" not in many and many["dbtable"].startswith("(") and many["dbtable"].endswith("catalogue_rows")
     assert "WHERE ROUTINE_TYPE = 'PROCEDURE'" in catalog.ROUTINES_QUERY
+
+
+def test_publish_round_trip_is_byte_exact(spark, tmp_dir):
+    from migtrack.operators import results as Q
+    from migtrack.schemas import TEST_LOG_SCHEMA as S
+    import datetime as dt
+    os.makedirs(tmp_dir + "/processed")
+    with open(tmp_dir + "/processed/processed_p.sql", "w") as f:
+        f.write("line 1\nline 2\n")
+    scripts = SF.read_scripts(spark, tmp_dir + "/processed")
+    log = spark.createDataFrame([(1, "1", "test_procedure_execution", "p", dt.datetime(2024, 1, 1),
+                                  "✅ Success", "-")], S)
+    SK.publish(Q.publish_found(log, scripts), tmp_dir + "/pub")
+    out = spark.read.text(tmp_dir + "/pub", wholetext=True).collect()
+    assert [r.value for r in out] == ["line 1\nline 2\n"]
