@@ -399,6 +399,13 @@ def script_pairs(spark, sf_dir):
     return Q.pair_scripts(s, C.export_rows(t), FX.EXTRACTED_DIR)
 
 
+@query("passed_names", ("test_log",), """
+SELECT DISTINCT procedure_name FROM test_log
+WHERE status = '✅ Success' AND test_case_name = 'test_procedure_execution'""")
+def passed_names(spark, sf_dir):
+    return Q.passed_names(_load(spark, sf_dir, "test_log"))
+
+
 @query("publish_found", ("test_log", "scripts"), _PUBLISH_FOUND_SQL.format(scripts="scripts"))
 def publish_found(spark, sf_dir):
     log, s = _load(spark, sf_dir, "test_log", "scripts")
