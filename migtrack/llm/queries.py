@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules, source_mix, token_counts, vector_topk
+from . import bin_packing, exact_dedup, quality_rules, source_mix, token_counts, vector_topk
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op4_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return vector_topk.search(vectors, vectors.filter("vec_id % 100 = 0"))
@@ -34,6 +38,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_source_mix": op3_source_mix,
+    "op4_bin_packing": op4_bin_packing,
     "op5_vector_topk": op5_vector_topk,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
