@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_packing, exact_dedup, quality_rules, source_mix, token_counts, vector_topk
+from . import bin_packing, exact_dedup, quality_rules, secret_scan, source_mix, token_counts, vector_topk
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.findings(table(spark, sf_dir, "documents")))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.taken_words(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_secret_scan": op2_secret_scan,
     "op3_source_mix": op3_source_mix,
     "op4_bin_packing": op4_bin_packing,
     "op5_vector_topk": op5_vector_topk,
