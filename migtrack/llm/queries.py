@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_packing, exact_dedup, near_dedup, pii, quality_rules, secret_scan, source_mix, token_counts, vector_topk
+from . import bin_packing, exact_dedup, near_dedup, pii, quality_rules, secret_scan, source_mix, substring_dedup, token_counts, vector_topk
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op5_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_topk.search(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicated(table(spark, sf_dir, "documents"), texts=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.findings(table(spark, sf_dir, "documents")))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_bin_packing": op4_bin_packing,
     "op5_vector_topk": op5_vector_topk,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_pii": op7_pii,
     "op8_near_dedup": op8_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
