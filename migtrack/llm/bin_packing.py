@@ -33,7 +33,8 @@ from .common import running_total, whole_text, written
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CLOSING_ID = 1
 CAPACITY = 4096
-CACHED_WORDS = 300_000   # bound of a Python worker's cache
+CACHED_WORDS = 900_000   # bound of a Python worker's cache, about 200 MB
+JOINED = 100
 GROUP_CHARS = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -50,23 +51,79 @@ def tokenizer(path: str):
 
 
 @lru_cache(maxsize=2)
-def _cache(path: str) -> dict[str, bytes]:
+def known_words(path: str) -> dict[str, bytes]:
+    """Ids of the words met by this Python worker."""
     return {"": b""}
 
 
+@lru_cache(maxsize=2)
+def odd_words(path: str) -> set[str]:
+    """Words of letters that the normaliser takes apart; what follows may join their last part."""
+    return set()
+
+
+@lru_cache(maxsize=2)
+def word_ends(path: str) -> np.ndarray:
+    """By id: whether it ends a word."""
+    vocabulary = tokenizer(path).get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    return ends
+
+
+def learn(words: list[str], path: str) -> None:
+    """Encode words of letters only, many in a call, and note each one's ids.
+
+    Such a word is one word to the tokenizer too, so the ids fall into words at
+    the ids that end one. Where that gives another number of words, the odd
+    ones are found by encoding one by one.
+    """
+    t, known, ends, odd = tokenizer(path), known_words(path), word_ends(path), odd_words(path)
+    groups = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+    for group, e in zip(groups, t.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, np.uint32)
+        stops = (np.flatnonzero(ends[ids]) + 1) * 4
+        if len(stops) != len(group):
+            for word, alone in zip(group, t.encode_batch_fast(group, add_special_tokens=False), strict=True):
+                known[word] = array("I", alone.ids).tobytes()
+                if ends[alone.ids].sum() != 1:
+                    odd.add(word)
+            continue
+        data, start = ids.tobytes(), 0
+        for word, stop in zip(group, stops.tolist(), strict=True):
+            known[word] = data[start:stop]
+            start = stop
+
+
 def encoded(texts: list[str], path: str = TOKENIZER) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never merges across it, so a text's ids
-    are its words' ids in a row. Words are encoded in batches, once per cache.
+    are its words' ids in a row. Words are encoded in batches, once per cache:
+    letters apart from a full stop or comma behind them, which is a word of its
+    own to the tokenizer, and ASCII letters in the lower case it gives them.
     """
-    t, known = tokenizer(path), _cache(path)
+    t, known, odd = tokenizer(path), known_words(path), odd_words(path)
     if len(known) > CACHED_WORDS:
         known.clear()
+        odd.clear()
         known[""] = b""
     split = [text.replace("\n", " ").split(" ") for text in texts]
-    new = list(set().union(*split).difference(known))
-    for word, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False), strict=True):
+    cores, others = {}, []
+    for word in set().union(*split).difference(known):
+        tail = word[-1] if word[-1] in ".," else ""
+        core = word[:len(word) - len(tail)]
+        if core.isalpha():
+            cores[word] = (core.lower() if core.isascii() else core, tail)
+        else:
+            others.append(word)
+    learn(list({core for core, _ in cores.values()}.union(".,").difference(known)), path)
+    for word, (core, tail) in cores.items():
+        if core in odd:
+            others.append(word)
+        else:
+            known[word] = known[core] + known[tail]
+    for word, e in zip(others, t.encode_batch_fast(others, add_special_tokens=False), strict=True):
         known[word] = array("I", e.ids).tobytes()
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
