@@ -112,8 +112,9 @@ def base_spans(scan: DataFrame) -> DataFrame:
 
 def context_terms(base: DataFrame) -> DataFrame:
     """row, value, term, start, end: the whole words near each base span."""
-    left = F.regexp_replace("left", r"^\S*", "")    # the first word may be cut
-    right = F.regexp_replace("right", r"\S*$", "")
+    # a context of full length may begin or end inside a word
+    left = F.when(F.length("left") < CONTEXT, F.col("left")).otherwise(F.regexp_replace("left", r"^\S*", ""))
+    right = F.when(F.length("right") < CONTEXT, F.col("right")).otherwise(F.regexp_replace("right", r"\S*$", ""))
     sides = base.select("row", "value", F.explode(F.array(
         F.struct(left.alias("text"), (F.col("start") - F.length(left)).alias("at")),
         F.struct(right.alias("text"), F.col("end").alias("at")))).alias("s")).select("row", "value", "s.*")

@@ -1,0 +1,88 @@
+import math
+import random
+import zlib
+
+import numpy as np
+from helpers import awkward, docs
+
+from migtrack.llm import bin_packing as B
+
+
+def ids_of(texts):
+    t = B.tokenizer(B.TOKENIZER)
+    return [e.ids + [B.CLOSING_ID] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def check(rows, whole, capacity):
+    by_doc, by_bin = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_bin.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for doc, ids in whole.items():
+        pieces = sorted(by_doc[doc], key=lambda r: r["piece"])
+        want = [(k, k * capacity, len(ids[k * capacity:(k + 1) * capacity]),
+                 zlib.crc32(np.array(ids[k * capacity:(k + 1) * capacity], "<u4").tobytes()))
+                for k in range(math.ceil(len(ids) / capacity))]
+        assert [(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in pieces] == want
+    for placed in by_bin.values():
+        end = 0
+        for offset, length in sorted(placed):
+            assert offset == end
+            end += length
+        assert end <= capacity
+    return len(by_bin)
+
+
+def test_pieces_and_bins(spark):
+    texts = awkward() + ["<|endoftext|> İ. a,b ΑΣ"] + [f"word{i} " * (i % 50) for i in range(200)]
+    rows = [r.asDict() for r in B.pack(docs(spark, texts)).collect()]
+    whole = dict(enumerate(ids_of(texts)))
+    assert check(rows, whole, B.CAPACITY) == math.ceil(sum(map(len, whole.values())) / B.CAPACITY)
+
+
+def test_small_capacity_and_repeated_rows(spark):
+    texts = ["a b c"] * 30 + ["one two three four five six seven"] * 5 + [None] * 3
+    rows = [r.asDict() for r in B.pack(docs(spark, texts, ids=[None] * 38), capacity=7).collect()]
+    assert len(rows) == 30 + 5 * 2 + 3
+    seen = {}
+    for r in rows:
+        seen.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for placed in seen.values():
+        placed.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(placed, placed[1:])) and sum(n for _, n in placed) <= 7
+
+
+def test_encoding_by_words_equals_encoding_whole_texts():
+    t, rng = B.tokenizer(B.TOKENIZER), random.Random(5)
+    letters = "aAbBéÉİǅΣς́̇.,'1<|>ª한각יִŉſ🙂ñ_- \n\t\x0b"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in B.encoded(texts)] == want
+
+
+def test_fullest_is_the_best_subset_sum():
+    rng = random.Random(6)
+    for _ in range(300):
+        counts = {rng.randint(1, 20): rng.randint(1, 3) for _ in range(5)}
+        room = rng.randint(0, 40)
+        sums = {0}
+        for n, c in counts.items():
+            sums = {s + n * k for s in sums for k in range(c + 1) if s + n * k <= room}
+        chosen = B.fullest(counts, room)
+        assert sum(n * k for n, k in chosen.items()) == max(sums)
+        assert all(k <= counts[n] for n, k in chosen.items())
+
+
+def test_plan_uses_every_piece_once():
+    rng = random.Random(7)
+    histogram = {rng.randint(1, 4096): rng.randint(1, 40) for _ in range(500)}
+    used = {}
+    for chosen, times in B.bins(histogram):
+        assert sum(n * k for n, k in chosen.items()) <= 4096
+        for n, k in chosen.items():
+            used[n] = used.get(n, 0) + k * times
+    assert used == histogram
+
+
+def test_empty_table(spark):
+    assert B.pack(docs(spark, [])).count() == 0

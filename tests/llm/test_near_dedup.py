@@ -1,0 +1,102 @@
+import random
+
+import numpy as np
+from helpers import CLASHING, PROSE, awkward, docs, rows_of
+
+from migtrack.llm import components as G
+from migtrack.llm import near_dedup as N
+from migtrack.llm import shingles as H
+
+
+def shingle_set(text):
+    w = tuple((text or "").encode().split())
+    return frozenset(w[i:i + 5] for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([w])
+
+
+def brute(texts, ids):
+    """Smallest id of each class: components of all pairs with similarity 0.8 or more."""
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(texts)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                label[max(find(i), find(j))] = min(find(i), find(j))
+    low, size = {}, {}
+    for i, d in enumerate(ids):
+        r = find(i)
+        low[r] = min(low.get(r, 10**18), 10**18 if d is None else d)
+        size[r] = size.get(r, 0) + 1
+    return [(d, None if low[find(i)] == 10**18 else low[find(i)], size[find(i)]) for i, d in enumerate(ids)]
+
+
+def near_texts(n, seed):
+    rng = random.Random(seed)
+    roots = [[f"w{rng.randint(0, 400)}" for _ in range(rng.randint(3, 120))] for _ in range(n // 5)]
+    out = []
+    for _ in range(n):
+        words = list(rng.choice(roots))
+        for _ in range(rng.choice([0, 1, 2, 3, 5])):
+            words[rng.randrange(len(words))] = f"w{rng.randint(0, 400)}"
+        out.append(rng.choice([" ", "  ", "\n"]).join(words))
+    return out
+
+
+def test_classes_equal_brute_force(spark):
+    texts = near_texts(400, 1) + awkward(2000)
+    ids = list(range(len(texts)))
+    random.Random(2).shuffle(ids)
+    got = N.classes(docs(spark, texts, ids=ids)).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == sorted(brute(texts, ids))
+    assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
+
+
+def test_links_that_miss_the_pivot_are_found(spark):
+    """A bucket's first text is unlike the others, which are alike among themselves."""
+    shared = [f"c{i}" for i in range(60)]
+    texts = [" ".join(shared + [f"a{i}" for i in range(40)])]
+    texts += [" ".join(shared + [f"b{i}" for i in range(40 - k)]) for k in range(1, 4)]
+    got = rows_of(N.classes(docs(spark, texts)), "doc_id")
+    assert [r["class_id"] for r in got] == [0, 1, 1, 1]
+
+
+def test_deduplicated_keeps_one_per_class_with_its_columns(spark):
+    texts = [PROSE, PROSE + " end", None, "", "x", "x", PROSE, None]
+    df = docs(spark, texts, ids=[4, 4, 7, None, 2, 2, 9, None])
+    out = N.deduplicated(df)
+    assert out.columns == df.columns and set(CLASHING) < set(out.columns)
+    kept = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert len(kept) == 3 and kept[0] == (2, "x") and kept[1] in ((4, PROSE), (4, PROSE + " end")) and kept[2] == (7, None)
+
+
+def test_empty_table(spark):
+    assert N.classes(docs(spark, [])).count() == 0
+
+
+def test_signatures_estimate_probability_jaccard():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 2**63, 150).astype(np.uint64)
+    wa, wb = rng.integers(0, 4, 150).astype(float), rng.integers(0, 4, 150).astype(float)
+    a, b = np.flatnonzero(wa), np.flatnonzero(wb)
+    doc = np.concatenate([np.zeros(len(a), int), np.ones(len(b), int)])
+    sig = N.signatures(doc, np.concatenate([h[a], h[b]]), np.concatenate([wa[a], wb[b]]), 2, 4000)
+    both = np.flatnonzero((wa > 0) & (wb > 0))
+    want = sum(1 / np.maximum(wa / wa[d], wb / wb[d]).sum() for d in both)
+    assert abs((sig[0] == sig[1]).mean() - want) < 0.03
+
+
+def test_components_of_chains(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150)]
+    nodes = sorted({x for e in edges for x in e} | {999})
+    labels = spark.createDataFrame([(n, n) for n in nodes], "node long, label long")
+    got = {r["node"]: r["label"] for r in G.components(spark.createDataFrame(edges, "a long, b long"), labels).collect()}
+    assert got == {n: 0 if n <= 60 else 100 if n < 999 else 999 for n in nodes}
+
+
+def test_short_texts_have_one_shingle():
+    doc, h, count = H.shingle_sets([H.words_of(t) for t in ("", "a b", "a b", "a b c d e f", "z z z z z z")])
+    assert doc.tolist() == [1, 2, 3, 3, 4] and h[0] == h[1] and count.tolist() == [1, 1, 1, 1, 2]
