@@ -12,7 +12,7 @@ from migtrack import fixtures as FX
 from migtrack.functions import text as T
 from migtrack.operators import catalog as C
 from migtrack.operators import upsert as U
-from migtrack.plans import flows
+from migtrack.plans import flows, registry
 from migtrack.sources import files as SF
 from migtrack.sources import sinks as SK
 from migtrack.streaming.result_log import replay_log_stream
@@ -102,25 +102,25 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_no_python_udf_in_plans(spark, name):
     if name == "result_stream":
         pytest.skip("runs a stream while planning")
-    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = registry.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
 def test_object_listing_pushes_prefix_to_scan(spark):
-    df = E.queries()["object_listing"](spark, SF_SMALL)
+    df = registry.queries()["object_listing"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(url" in plan and "html" not in plan.split("ReadSchema")[-1]
 
 
 def test_cleanup_projection_has_no_shuffle(spark):
-    df = E.queries()["clean_script"](spark, SF_SMALL)
+    df = registry.queries()["clean_script"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
 
