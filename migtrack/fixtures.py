@@ -2,15 +2,12 @@
 
 Each view is plain SQL over the driver tables (or earlier views) that Spark
 and DuckDB answer equally. Spark registers them as temp views; the oracle SQL
-puts the same text in a ``WITH`` clause. The few row selections (order
-priority, routine type, document language) model *which* routines already
-exist in the target and which scripts were written; they are part of the
-scenario, not a sample: every query runs over the whole tables.
+puts the same text in a ``WITH`` clause. Every query runs over the whole tables:
+rows that a target does not hold, or files that are missing, are made by renaming keys.
 """
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import SparkSession
@@ -37,18 +34,20 @@ SELECT 'usp_' || CAST(l_orderkey AS STRING) AS procedure_name,
   CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS INT) END AS char_length,
   l_linenumber AS ordinal_position
 FROM lineitem""", ()),
-    # F1t: tracking table before the load: the routines of four of the five order
-    # priorities were loaded earlier; flag TRUE/FALSE/NULL.
+    # F1t: tracking table before the load: every routine, some without a definition or a
+    # schema; flag TRUE/FALSE/NULL.
     "tracking": ("""
-SELECT source, dbname, schema_name, procedure_name, procedure_definition,
+SELECT source, dbname, CASE WHEN seq % 43 <> 0 THEN schema_name END AS schema_name, procedure_name,
+  CASE WHEN seq % 41 <> 0 THEN procedure_definition END AS procedure_definition,
   CASE o_orderstatus WHEN 'F' THEN TRUE WHEN 'O' THEN FALSE END AS conversion_flag,
   o_orderdate AS load_timestamp, 'TGT' AS target_dbname, 'PUBLIC' AS target_schema_name,
   '' AS parameters, FALSE AS is_deployed, '' AS errors
-FROM routines JOIN orders ON o_orderkey = seq WHERE o_orderpriority <> '5-LOW'""", ("routines",)),
-    # A load batch of all procedures with duplicate keys (two routines per name); seq gives the order.
+FROM routines JOIN orders ON o_orderkey = seq""", ("routines",)),
+    # A load batch of all procedures with duplicate keys (two routines per name), names that the
+    # tracking table does not hold, and keys with a NULL part; seq gives the order.
     "batch": ("""
-SELECT seq, source, dbname, schema_name,
-  'usp_' || CAST(seq - seq % 2 AS STRING) AS procedure_name,
+SELECT seq, source, dbname, CASE WHEN seq % 47 <> 0 THEN schema_name END AS schema_name,
+  CASE WHEN seq % 53 = 0 THEN NULL WHEN (seq - seq % 2) % 7 = 3 THEN 'new_' ELSE 'usp_' END || CAST(seq - seq % 2 AS STRING) AS procedure_name,
   'v2 ' || procedure_definition AS procedure_definition, '@a int' AS parameters
 FROM routines WHERE routine_type = 'PROCEDURE'""", ("routines",)),
     # converted-script corpus with headers, comments, markers, schema words, $$.
@@ -61,20 +60,21 @@ SELECT doc_id, 'processed_usp_' || CAST(doc_id AS STRING) || '.sql' AS file_name
   || CASE WHEN doc_id % 3 = 0 THEN 'x !!!RESOLVE EWI!!!' || chr(10) || chr(10) || '!!!RESOLVE EWI!!!' || chr(10) || 'bad two' || chr(10) || 'good' || chr(10) ELSE '' END
   || '/* block' || chr(10) || 'over lines */' || chr(10) || 'SELECT * FROM DBO.t_dbo;' || chr(10) || text || chr(10) || '$$' AS text
 FROM documents""", ()),
-    # test outcomes in arrival order (event_id); some without a time.
+    # test outcomes numbered by event_id; some without a time, a status or a part of the key.
     "test_log": ("""
 SELECT event_id, CAST(event_id AS STRING) AS test_case_id,
-  CASE WHEN event_type IN ('view', 'click') THEN 'test_create_procedure' ELSE 'test_procedure_execution' END AS test_case_name,
-  'usp_' || CAST(user_id AS STRING) AS procedure_name,
+  CASE WHEN event_id % 83 = 0 THEN NULL WHEN event_type IN ('view', 'click') THEN 'test_create_procedure' ELSE 'test_procedure_execution' END AS test_case_name,
+  CASE WHEN event_id % 89 <> 0 THEN 'usp_' || CAST(user_id AS STRING) END AS procedure_name,
   CASE WHEN event_id % 97 <> 0 THEN ts END AS test_timestamp,
-  CASE WHEN event_type IN ('error', 'click') THEN '❌ Failed' ELSE '✅ Success' END AS status,
+  CASE WHEN event_id % 79 = 0 THEN NULL WHEN event_type IN ('error', 'click') THEN '❌ Failed' ELSE '✅ Success' END AS status,
   CASE WHEN event_type IN ('error', 'click') THEN 'compile error ' || props ELSE '-' END AS errors
 FROM events""", ()),
-    # D3 scenario: the log holds the first half of the outcomes, the rest arrives.
+    # D3 scenario: the log holds the outcomes of two event types, those of the others arrive,
+    # so that a later batch also brings lower event ids.
     "test_log_old": ("""
-SELECT * FROM test_log WHERE event_id < (SELECT max(event_id) FROM test_log) / 2""", ("test_log",)),
+SELECT l.* FROM test_log l JOIN events e ON e.event_id = l.event_id WHERE event_type IN ('view', 'error')""", ("test_log",)),
     "test_log_new": ("""
-SELECT * FROM test_log WHERE event_id >= (SELECT max(event_id) FROM test_log) / 2""", ("test_log",)),
+SELECT l.* FROM test_log l JOIN events e ON e.event_id = l.event_id WHERE event_type NOT IN ('view', 'error')""", ("test_log",)),
     # object store listing.
     "objects": ("""
 SELECT page_id, url AS path, html AS content FROM pages""", ()),
@@ -116,9 +116,19 @@ FROM events""", ()),
     # Uploaded script files arriving after the catalogue batch (seq continues after it).
     "upload_files": ("""
 SELECT doc_id + 1000000000000 AS seq, file_name AS path, text FROM scripts""", ("scripts",)),
-    # Processed scripts that exist on disk for publishing (the German ones were never written).
+    # Processed scripts on disk for publishing; the German ones are drafts under another name.
     "scripts_partial": ("""
-SELECT s.* FROM scripts s JOIN documents d ON d.doc_id = s.doc_id WHERE d.lang <> 'de'""", ("scripts",)),
+SELECT s.doc_id, CASE WHEN d.lang = 'de' THEN 'draft_' ELSE '' END || s.file_name AS file_name, s.source, s.text
+FROM scripts s JOIN documents d ON d.doc_id = s.doc_id""", ("scripts",)),
+    # Names of which several become one file name.
+    "colliding": ("""
+SELECT 'a' || chr(46 + CAST(r.seq % 2 AS INT)) || CAST(r.seq - r.seq % 2 AS STRING) AS procedure_name,
+  t.procedure_definition, t.conversion_flag
+FROM routines r JOIN tracking t ON t.procedure_name = r.procedure_name""", ("routines", "tracking")),
+    # A folder of uploads: scripts and files of other types.
+    "upload_folder": ("""
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN replace(file_name, '.sql', '.txt') ELSE file_name END AS file_name, text FROM scripts""",
+                      ("scripts",)),
 }
 
 # Fixed scenario parameters shared by the Spark plans and the oracle SQL.
@@ -154,32 +164,6 @@ def with_clause(*names: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" if parts else ""
 
 
-# A driver table file that holds large texts (wide rows) in fewer row groups
-# than the session has cores would be read by a few tasks only (a row group is
-# never split), while the per-row regex work dominates; such a file is spread
-# once with a round-robin repartition. Narrow tables are scan-bound and read as
-# they are, and so are tables laid out for a cluster (many row groups or files).
-SPREAD_MIN_BYTES = 4 << 20
-SPREAD_MIN_ROW_BYTES = 512
-
-
-def _read_table(spark: SparkSession, path: str):
-    df = spark.read.parquet(path)
-    if not os.path.isfile(path) or os.path.getsize(path) < SPREAD_MIN_BYTES:
-        return df
-    try:
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - a session without a local context (Spark Connect)
-        cores = os.cpu_count() or 1
-    try:
-        import pyarrow.parquet as pq
-        meta = pq.ParquetFile(path).metadata
-    except Exception:  # noqa: BLE001 - unreadable footer: leave the layout alone
-        return df
-    wide = os.path.getsize(path) / max(meta.num_rows, 1) >= SPREAD_MIN_ROW_BYTES
-    return df.repartition(cores) if wide and meta.num_row_groups < cores else df
-
-
 # (session, application) -> (data folder, names registered from it)
 _REGISTERED: dict[tuple[int, str], tuple[str, set[str]]] = {}
 
@@ -206,7 +190,7 @@ def register(spark: SparkSession, sf_dir: str, names=None) -> None:
         _REGISTERED[key] = (sf_dir, done)
     views = _closure(names or list(VIEWS))
     for t in sorted({t for v in views for t in _base_tables(v)} - done):
-        _read_table(spark, f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         done.add(t)
     for n in views:
         if n not in done:

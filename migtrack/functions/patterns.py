@@ -30,6 +30,9 @@ NULL_TEXT = "None"
 # --- fixed values: patterns --------------------------------------------------
 # Parameter block of a CREATE/ALTER PROCEDURE header (flags: ignore case, dot-all).
 PARAM_HEADER = r"(?:CREATE|ALTER)\s+(?:PROCEDURE|PROC)\s+.*?(?:\((.*?)\))?\s*(?:AS|BEGIN)"
+# Its parts, for searching it in one pass.
+HEADER_START = r"(?:CREATE|ALTER)\s+(?:PROCEDURE|PROC)\s+"
+HEADER_END = r"(?:AS|BEGIN)"
 # Assessment report metrics, first match of each, multi-line mode.
 REPORT_METRICS = (
     ("files", r"- Files:\s+(\d+)"),

@@ -140,9 +140,19 @@ def _py_regex(pattern: str) -> str:
 
 
 def param_block(c) -> Column:
-    """Parameter text of a CREATE/ALTER PROC header, whitespace-normalised; '' if none."""
-    raw = F.regexp_extract(_c(c), "(?isu)" + _py_regex(P.PARAM_HEADER), 1)
-    return norm_ws(raw)
+    """Parameter text of a CREATE/ALTER PROC header, whitespace-normalised; '' if none.
+
+    What ``PARAM_HEADER`` finds, in one pass over the text: the first header
+    start, the first end word after it, the first ``(`` before that, and from
+    there to the first ``)`` that only blanks separate from an end word. (A
+    backtracking search of the whole pattern is quadratic in the number of brackets.)
+    """
+    flags, end = "(?isu)", P.HEADER_END
+    rest = F.regexp_extract(_c(c), flags + _py_regex(P.HEADER_START) + "(.*)", 1)
+    before = F.regexp_extract(rest, flags + "^(.*?)" + end, 1)
+    at = F.instr(before, "(")
+    inside = F.regexp_extract(F.substring(rest, at + 1, F.length(rest)), flags + "^(.*?)\\)" + P.PY_SPACE + "*+" + end, 1)
+    return norm_ws(F.when(at > 0, inside).otherwise(F.when(_c(c).isNotNull(), "")))
 
 
 def safe_name(c) -> Column:

@@ -1,15 +1,16 @@
 """Catalogue operators: parameters, staging, grouping, flag selection, export rows.
 
-All keyed steps use declarative aggregates (``count``, ``min_by``, ``max_by``)
-that Spark combines map-side, so a key holding a large share of the rows is
-reduced in every task before the shuffle instead of landing whole in one task.
+All keyed steps use declarative aggregates that Spark combines map-side, so a key
+holding a large share of the rows is reduced in every task before the shuffle
+instead of landing whole in one task. They run on keys and order columns only;
+the rows that win are fetched afterwards.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -25,18 +26,48 @@ def null_safe_on(left: DataFrame, right: DataFrame, keys) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+def winners(df: DataFrame, keys, seq: str, last: bool = False) -> DataFrame:
+    """Keys and ``_win``: what identifies the row of lowest (or highest) ``seq`` of each key.
+
+    Only keys, ``seq`` and a hash of the row are aggregated, so no text but the
+    keys is sorted or shuffled, and a hot key leaves every task as one row. A row
+    without ``seq`` loses against any with one, but wins when no row has one; equal
+    ``seq`` are decided by the hash. ``seq`` may be a struct.
+    """
+    missing = F.col(seq).isNull()
+    order = F.struct((~missing if last else missing).alias("rank"), F.col(seq).alias("seq"), row_hash(df).alias("hash"))
+    return df.select(*keys, order.alias("_order")).groupBy(*keys).agg(
+        (F.max if last else F.min)("_order").alias("_win"))
+
+
+def row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(c) for c in df.columns])
+
+
 def first_by(df: DataFrame, keys, seq: str, last: bool = False) -> DataFrame:
-    """One row per key: the row with the lowest (or highest) ``seq``.
+    """One row per key: the row with the lowest (or highest) ``seq``; NULL keys are keys too.
 
-    ``min_by``/``max_by`` over a struct of the other columns is a partial
-    aggregate: each task keeps one candidate per key before the shuffle.
+    The winners are found on narrow rows and fetch their row once. Rows equal
+    in every column are one row.
     """
     keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    pick = F.max_by if last else F.min_by
-    packed = F.struct(*[F.col(c) for c in rest])
-    out = df.groupBy(*keys).agg(pick(packed, F.col(seq)).alias("_row"))
-    return out.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    win = winners(df, keys, seq, last).select(*named, F.col("_win.hash").alias("_hash"))
+    rows = df.withColumn("_row", row_hash(df))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    found = rows.join(win, same & (F.col("_row") == F.col("_hash")))
+    return once(found, [*keys, "_row"]).select(*df.columns)
+
+
+def once(df: DataFrame, by) -> DataFrame:
+    """One of the rows that agree in ``by`` (used where such rows are equal throughout)."""
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(1)))
+    return df.withColumn("_n", number).where("_n = 1").drop("_n")
+
+
+def one_per_file(rows: DataFrame, name: str = "file_name", order: str = "procedure_name") -> DataFrame:
+    """B2: one row per file name; of colliding rows the last in ``order``, which would overwrite the others."""
+    return first_by(rows, [name], order, last=True)
 
 
 # --- A1/A2 on DataFrames (JDBC readers live in sources.catalog) --------------
@@ -58,30 +89,23 @@ def params_from(raw: DataFrame) -> DataFrame:
 def param_list(params: DataFrame) -> DataFrame:
     """Per procedure name, descriptors joined by ``", "`` in ordinal order.
 
-    Two steps. First identical (name, ordinal, descriptor) rows are counted —
-    a map-side combinable aggregate, so repeated signatures (one name in many
-    schemas) collapse before any shuffle. Then one ordered ``listagg`` per name
-    over the distinct entries, each repeated ``n`` times. Ties on the ordinal
-    are ordered by descriptor text, which makes the result deterministic
-    without changing it for equal descriptors.
+    One ordered ``listagg`` per name, one shuffle. Ties on the ordinal are
+    ordered by descriptor text, which makes the result deterministic without
+    changing it for equal descriptors. The list of a name is one cell by
+    definition, so it must fit in a string (2 GB).
     """
     desc = T.param_desc("mode", "name", "data_type", "char_length")
-    counted = (params.select("procedure_name", "ordinal_position", desc.alias("descriptor"))
-               .groupBy("procedure_name", "ordinal_position", "descriptor")
-               .agg(F.count(F.lit(1)).alias("n")))
-    chunk = F.array_join(F.array_repeat(F.col("descriptor"), F.col("n").cast("int")),
-                         P.PARAM_SEPARATOR)
-    return (counted.withColumn("chunk", chunk)
+    return (params.select("procedure_name", "ordinal_position", desc.alias("descriptor"))
             .groupBy("procedure_name")
-            .agg(F.expr("listagg(chunk, ', ') WITHIN GROUP "
+            .agg(F.expr("listagg(descriptor, ', ') WITHIN GROUP "
                         "(ORDER BY ordinal_position, descriptor)").alias("parameters")))
 
 
-def attach_params(routines: DataFrame, params: DataFrame) -> DataFrame:
+def attach_params(routines: DataFrame, params: DataFrame, carry=()) -> DataFrame:
     """Every routine with its parameter list ('' when none), matched by name only."""
     plist = param_list(params)
     return (routines.join(plist, "procedure_name", "left")
-            .select(F.lit(P.SOURCE_CATALOGUE).alias("source"), "dbname", "schema_name",
+            .select(*carry, F.lit(P.SOURCE_CATALOGUE).alias("source"), "dbname", "schema_name",
                     "procedure_name", "procedure_definition",
                     F.coalesce(F.col("parameters"), F.lit("")).alias("parameters")))
 
@@ -140,14 +164,21 @@ def flagged(tracking: DataFrame) -> DataFrame:
 
 
 def log_view(log: DataFrame) -> DataFrame:
-    """The test log newest first (rows without a time first, as the source database)."""
-    return log.orderBy(F.col("test_timestamp").desc_nulls_first())
+    """The test log newest first (rows without a time first, as the source database).
+
+    Rows of one time go by ``event_id``, newest first, so that many rows
+    without a time neither share a task nor have an order of chance.
+    """
+    return log.orderBy(F.col("test_timestamp").desc_nulls_first(), F.col("event_id").desc_nulls_first())
 
 
 def search(df: DataFrame, term: str, col: str = "procedure_name") -> DataFrame:
-    """Case-insensitive substring match, literal (no wildcards); '' keeps all."""
+    """Case-insensitive substring match, literal (no wildcards); '' keeps all.
+
+    Sorted by the name, then by the other columns (a name may fill many rows).
+    """
     out = df if not term else df.where(F.lower(F.col(col)).contains(term.lower()))
-    return out.orderBy(col)
+    return out.orderBy(col, *[c for c in df.columns if c != col])
 
 
 # --- C5 / D4: flag changes ----------------------------------------------------
@@ -171,10 +202,12 @@ def changed_flags(current: DataFrame, proposed: DataFrame) -> DataFrame:
 
 
 def update_flags(tracking: DataFrame, changes: DataFrame) -> DataFrame:
-    """Keyed UPDATE of the conversion flag on (db, schema, name); NULL keys never match."""
+    """Keyed UPDATE of the conversion flag on (db, schema, name); NULL keys never match.
+
+    ``changes`` holds a key once, as ``changed_flags`` gives it.
+    """
     keys = list(FLAG_KEYS)
-    ch = (changes.groupBy(*keys).agg(F.max("new_flag").alias("_new"))
-          .withColumn("_hit", F.lit(True)))
+    ch = changes.select(*keys, F.col("new_flag").alias("_new"), F.lit(True).alias("_hit"))
     joined = tracking.join(ch, keys, "left")
     flag = F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("conversion_flag"))
     return joined.select(*[flag.alias(c) if c == "conversion_flag" else F.col(c)

@@ -64,7 +64,8 @@ def tail(lines: DataFrame, n: int = P.LOG_TAIL_LINES, order_col: str = "line_no"
 
     The whole log is ``strip()``-ped before the split, so blank lines at the
     end do not count and the last line loses trailing blanks. The top-n runs
-    as a per-task top-n plus one merge of ``n`` rows per task.
+    as a per-task top-n plus one merge of ``n`` rows per task, and ``order_col`` may
+    be a position (struct), so a log is never numbered or sorted for its tail.
     """
     non_blank = F.col(line_col).rlike("[^" + P.PY_SPACE_CHARS + "]")
     last_nb = lines.where(non_blank).agg(F.max(order_col)).scalar()

@@ -2,41 +2,42 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
 from ..session import checkpoint_dir
+from .catalog import one_per_file
 
 FACETS = ("procedure_name", "status", "test_case_id", "test_case_name")
-# A facet list longer than ISIN_LIMIT is joined as a table instead of an IN
-# list; the list lives on the driver, so its size is known before the plan and
-# it is broadcast only up to BROADCAST_LIMIT values (else a shuffled semi join).
-ISIN_LIMIT = 1000
-BROADCAST_LIMIT = 200_000
 
 
 def facet_filter(df: DataFrame, facets: dict) -> DataFrame:
-    """IN within a facet, AND across facets; an empty facet filters nothing."""
+    """IN within a facet, AND across facets; an empty facet filters nothing.
+
+    Values and columns compare as text, whatever their types. A list of any
+    length is a table of one text column and a semi join, which Spark
+    broadcasts or shuffles by its measured size.
+    """
     spark = df.sparkSession
     out = df
     for col, values in facets.items():
         values = list(values or [])
         if not values:
             continue
-        if len(values) <= ISIN_LIMIT:
-            out = out.where(F.col(col).cast("string").isin(values))
-        else:
-            table = spark.createDataFrame([(v,) for v in values], f"`{col}` string").distinct()
-            if len(values) <= BROADCAST_LIMIT:
-                table = F.broadcast(table)
-            out = out.join(table, out[col].cast("string") == table[col], "left_semi")
+        table = spark.createDataFrame([(_as_text(v),) for v in values], "_value string")
+        out = out.join(table, out[col].cast("string") == table["_value"], "left_semi")
     return out
 
 
+def _as_text(value) -> str | None:
+    """A facet value as Spark's cast to string writes it."""
+    if value is None:
+        return None
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
 def passed(df: DataFrame, test: str = P.TEST_EXECUTION) -> DataFrame:
     """C4: rows of a successful run of ``test``."""
     return df.where((F.col("status") == P.STATUS_SUCCESS) & (F.col("test_case_name") == test))
@@ -113,9 +114,8 @@ def script_status(scripts: DataFrame, log: DataFrame) -> DataFrame:
 def pair_scripts(processed: DataFrame, extracted: DataFrame, extracted_dir: str) -> DataFrame:
     """Each processed script next to its original; a missing original becomes a note."""
     # both sides as the viewer reads a file: BOM dropped, universal newlines
-    originals = (extracted.groupBy("file_name")
-                 .agg(F.max_by("body", "procedure_name").alias("_original"))
-                 .withColumn("_original", T.universal_newlines(T.strip_bom("_original"))))
+    originals = (one_per_file(extracted.select("file_name", "procedure_name", "body"))
+                 .select("file_name", T.universal_newlines(T.strip_bom("body")).alias("_original")))
     named = processed.select(F.col("file_name"),
                              T.universal_newlines(T.strip_bom("text")).alias("converted"),
                              T.strip_processed("file_name").alias("original_file"))
@@ -201,6 +201,3 @@ def numbered_lines(df: DataFrame, key: str, text_col: str = "text") -> DataFrame
     return df.select(key, F.posexplode(T.script_lines(text_col)).alias("_pos", "line")) \
         .select(key, (F.col("_pos") + 1).alias("line_no"), "line")
 
-
-def union_all(frames) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

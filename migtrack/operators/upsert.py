@@ -5,13 +5,9 @@ later source row with the same key meets the row inserted by an earlier one,
 so per key: the *last* source row decides the updated values, the *first* one
 decides identity columns of an insert, and rows whose key has a NULL part never
 match anything (each is inserted). Here the source is first collapsed per key
-with ``max_by``/``min_by`` (partial aggregates, so a hot key is reduced in every
-task), then joined to the target:
-
-* target LEFT JOIN collapsed -> updated or untouched target rows (a left outer
-  join, so AQE can split a skewed target key), and
-* collapsed LEFT ANTI target keys -> new rows,
-* plus the NULL-key source rows as they are.
+(partial aggregates over narrow rows, so a hot key is reduced in every task),
+the last rows are fetched, and one full outer join with the target, one shuffle a
+side, gives updated, untouched and new rows together with the counts.
 
 The result is a new snapshot; write it to a fresh path (``sources.sinks``).
 """
@@ -20,11 +16,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schemas import TEST_LOG_COLUMNS, TRACKING_COLUMNS
+from .catalog import row_hash
 
 TRACKING_KEYS = ("schema_name", "procedure_name")
 RESULT_KEYS = ("test_case_name", "procedure_name")
@@ -42,62 +39,82 @@ def _now(now) -> Column:
 
 # --- D2 / E2: tracking table ---------------------------------------------------
 
-def _collapse_tracking(source: DataFrame, seq: str) -> DataFrame:
+def _last_rows(source: DataFrame, seq: str) -> DataFrame:
+    """Keys, ``_new`` and ``_rows``: one row per key, and every row with a NULL key part.
+
+    ``_new`` has the last row's definition and parameters and the first row's
+    source and db. The source is read twice: keys, order and identity for the
+    aggregate, then whole rows for the fetch. A row without ``seq`` comes before all others.
+    """
     keys = list(TRACKING_KEYS)
-    return (source.where(_has_keys(keys)).groupBy(*keys).agg(
-        F.max_by(F.struct("procedure_definition", "parameters"), F.col(seq)).alias("_last"),
-        F.min_by(F.struct("source", "dbname"), F.col(seq)).alias("_first"),
-        F.count(F.lit(1)).alias("_n")))
+    order = F.struct(F.col(seq).isNotNull().alias("known"), F.col(seq).alias("seq"), row_hash(source).alias("hash"))
+    ends = (source.where(_has_keys(keys)).select(*keys, "source", "dbname", order.alias("_order"))
+            .groupBy(*keys).agg(F.max("_order").alias("_last"),
+                                F.min_by(F.struct("source", "dbname"), "_order").alias("_first"),
+                                F.count(F.lit(1)).alias("_rows")))
+    rows = source.withColumn("_row", row_hash(source)).join(ends, keys, "left")
+    loose = F.col("_last").isNull()
+    rows = rows.where(loose | (F.col("_row") == F.col("_last.hash")))
+    number = F.row_number().over(Window.partitionBy(*keys, "_row").orderBy(F.lit(1)))
+    rows = rows.withColumn("_n", number).where(loose | (F.col("_n") == 1))  # a source row given twice counts once
+    new = F.struct(F.when(loose, F.col("source")).otherwise(F.col("_first.source")).alias("source"),
+                   F.when(loose, F.col("dbname")).otherwise(F.col("_first.dbname")).alias("dbname"),
+                   "procedure_definition", "parameters")
+    return rows.select(*keys, new.alias("_new"), F.coalesce("_rows", F.lit(1)).alias("_rows"))
+
+
+def _merged(target: DataFrame, source: DataFrame, now, target_dbname: str, target_schema_name: str,
+            seq: str) -> DataFrame:
+    """The new tracking rows with ``_inserted`` and ``_updated``: MERGE actions behind each row."""
+    keys = list(TRACKING_KEYS)
+    ts = _now(now)
+    both = target.withColumn("_old", F.lit(True)).join(_last_rows(source, seq), keys, "full_outer")
+    old, new = F.coalesce("_old", F.lit(False)), F.col("_new").isNotNull()
+    hit = old & new
+    insert = dict(zip(("conversion_flag", "load_timestamp", "target_dbname", "target_schema_name", "is_deployed", "errors"),
+                      _insert_defaults(ts, target_dbname, target_schema_name), strict=True))
+    cols = []
+    for c in TRACKING_COLUMNS:
+        if c in keys:
+            value = F.col(c)
+        elif c in ("procedure_definition", "parameters"):
+            value = F.when(new, F.col("_new")[c]).otherwise(F.col(c))
+        elif c in ("source", "dbname"):
+            value = F.when(old, F.col(c)).otherwise(F.col("_new")[c])
+        elif c == "load_timestamp":
+            value = F.when(new, ts).otherwise(F.col(c))
+        else:
+            value = F.when(old, F.col(c)).otherwise(insert[c])
+        cols.append(value.alias(c))
+    return both.select(
+        *cols, F.when(old, 0).otherwise(1).cast("bigint").alias("_inserted"),
+        F.when(hit, F.col("_rows")).when(old, 0).otherwise(F.col("_rows") - 1).cast("bigint").alias("_updated"))
 
 
 def upsert_tracking(target: DataFrame, source: DataFrame, now=None,
                     target_dbname: str = "", target_schema_name: str = "",
-                    seq: str = "seq") -> DataFrame:
+                    seq: str = "seq", counts: Observation | None = None) -> DataFrame:
     """Upsert catalogue rows into the tracking table on (schema, name).
 
     Matched rows get definition, parameters and load time (flag, deployed,
     source and db are kept). New keys are inserted with flag FALSE, deployed
     FALSE, errors '' and the given target db/schema. ``now`` is an argument so
-    the result repeats; default is the current time.
+    the result repeats; default is the current time. ``counts`` gets
+    rows_inserted and rows_updated (E2) while the result is written.
     """
-    keys = list(TRACKING_KEYS)
-    ts = _now(now)
-    collapsed = _collapse_tracking(source, seq)
-    hits = collapsed.select(*keys, F.col("_last"), F.lit(True).alias("_hit"))
-    t = target.join(hits, keys, "left")
-    hit = F.coalesce(F.col("_hit"), F.lit(False))
-    updated = t.select(
-        "source", "dbname", "schema_name", "procedure_name",
-        F.when(hit, F.col("_last.procedure_definition")).otherwise(F.col("procedure_definition"))
-        .alias("procedure_definition"),
-        "conversion_flag",
-        F.when(hit, ts).otherwise(F.col("load_timestamp")).alias("load_timestamp"),
-        "target_dbname", "target_schema_name",
-        F.when(hit, F.col("_last.parameters")).otherwise(F.col("parameters")).alias("parameters"),
-        "is_deployed", "errors")
-
-    target_keys = target.select(*keys).where(_has_keys(keys))
-    new_keys = collapsed.join(target_keys, keys, "left_anti")
-    inserted = new_keys.select(
-        F.col("_first.source").alias("source"), F.col("_first.dbname").alias("dbname"),
-        "schema_name", "procedure_name",
-        F.col("_last.procedure_definition").alias("procedure_definition"),
-        *_insert_defaults(ts, target_dbname, target_schema_name,
-                          F.col("_last.parameters")))
-    loose = source.where(~_has_keys(keys)).select(
-        "source", "dbname", "schema_name", "procedure_name", "procedure_definition",
-        *_insert_defaults(ts, target_dbname, target_schema_name, F.col("parameters")))
-    return updated.unionByName(inserted).unionByName(loose).select(*TRACKING_COLUMNS)
-
-
-def _insert_defaults(ts: Column, target_dbname: str, target_schema_name: str,
-                     parameters: Column) -> list[Column]:
+    out = _merged(target, source, now, target_dbname, target_schema_name, seq)
+    if counts is not None:
+        out = out.observe(counts, *_totals())
+    return out.select(*TRACKING_COLUMNS)
+
+
+def _totals() -> list[Column]:
+    return [F.coalesce(F.sum(f"_{c}"), F.lit(0)).cast("bigint").alias(f"rows_{c}") for c in ("inserted", "updated")]
+
+
+def _insert_defaults(ts: Column, target_dbname: str, target_schema_name: str) -> list[Column]:
     """Constant columns of an inserted tracking row."""
-    return [F.lit(False).alias("conversion_flag"), ts.alias("load_timestamp"),
-            F.lit(target_dbname).alias("target_dbname"),
-            F.lit(target_schema_name).alias("target_schema_name"),
-            parameters.alias("parameters"), F.lit(False).alias("is_deployed"),
-            F.lit("").alias("errors")]
+    return [F.lit(False), ts, F.lit(target_dbname), F.lit(target_schema_name), F.lit(False), F.lit("")]
 
 
 def upsert_counts(target: DataFrame, source: DataFrame, seq: str = "seq") -> DataFrame:
@@ -107,19 +124,7 @@ def upsert_counts(target: DataFrame, source: DataFrame, seq: str = "seq") -> Dat
     updates when ``m > 0``; else one insert and ``n - 1`` updates of that row.
     Every NULL-key source row is one insert.
     """
-    keys = list(TRACKING_KEYS)
-    m = target.where(_has_keys(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-    per_key = _collapse_tracking(source, seq).select(*keys, "_n").join(m, keys, "left")
-    new_key = F.col("_m").isNull()
-    keyed = per_key.select(
-        F.when(new_key, 1).otherwise(0).cast("bigint").alias("ins"),
-        F.when(new_key, F.col("_n") - 1).otherwise(F.col("_n") * F.col("_m")).cast("bigint")
-        .alias("upd"))
-    loose = source.where(~_has_keys(keys)).select(F.lit(1).cast("bigint").alias("ins"),
-                                                  F.lit(0).cast("bigint").alias("upd"))
-    return keyed.unionByName(loose).agg(
-        F.coalesce(F.sum("ins"), F.lit(0)).cast("bigint").alias("rows_inserted"),
-        F.coalesce(F.sum("upd"), F.lit(0)).cast("bigint").alias("rows_updated"))
+    return _merged(target, source, None, "", "", seq).agg(*_totals())
 
 
 # --- D3: test-result log ---------------------------------------------------------
@@ -127,31 +132,32 @@ def upsert_counts(target: DataFrame, source: DataFrame, seq: str = "seq") -> Dat
 _RESULT_VALUES = ("event_id", "test_case_id", "test_timestamp", "status", "errors")
 
 
+def latest_per_key(rows: DataFrame, order: Column) -> DataFrame:
+    """The row of highest ``order`` per (test, procedure); rows with a NULL key part are all kept.
+
+    One aggregate over one pass: a NULL-key row is a group of its own by a running
+    number, which also spreads such rows.
+    """
+    keys = list(RESULT_KEYS)
+    alone = F.when(~_has_keys(keys), F.monotonically_increasing_id())
+    out = (rows.select(*keys, alone.alias("_alone"), F.struct(*_RESULT_VALUES).alias("_row"), order.alias("_order"))
+           .groupBy(*keys, "_alone").agg(F.max_by("_row", "_order").alias("_row")))
+    return out.select(*keys, "_row.*").select(*TEST_LOG_COLUMNS)
+
+
 def upsert_results(target: DataFrame | None, source: DataFrame,
                    seq: str = "event_id") -> DataFrame:
     """D3: upsert test outcomes into the log on (test_case_name, procedure_name).
 
     Matched rows take id, time, status and errors of the last source row for
     the key; new keys are inserted from their last source row. Times are kept
-    to the millisecond (I20). ``target=None`` is an empty log.
+    to the millisecond (I20). ``target=None`` is an empty log. Target and source
+    are read once: of their union the source's last row wins, then the target's.
     """
-    keys = list(RESULT_KEYS)
-    src = source.withColumn("test_timestamp", T.utc_ms("test_timestamp"))
-    collapsed = (src.where(_has_keys(keys)).groupBy(*keys)
-                 .agg(F.max_by(F.struct(*_RESULT_VALUES), F.col(seq)).alias("_last")))
-    loose = src.where(~_has_keys(keys)).select(*TEST_LOG_COLUMNS)
-    if target is None:
-        inserted = collapsed.select(*keys, *[F.col("_last")[c].alias(c) for c in _RESULT_VALUES])
-        return inserted.unionByName(loose).select(*TEST_LOG_COLUMNS)
-    hits = collapsed.withColumn("_hit", F.lit(True))
-    t = target.join(hits, keys, "left")
-    hit = F.coalesce(F.col("_hit"), F.lit(False))
-    updated = t.select(*keys, *[F.when(hit, F.col("_last")[c]).otherwise(F.col(c)).alias(c)
-                                for c in _RESULT_VALUES])
-    target_keys = target.select(*keys).where(_has_keys(keys))
-    inserted = (collapsed.join(target_keys, keys, "left_anti")
-                .select(*keys, *[F.col("_last")[c].alias(c) for c in _RESULT_VALUES]))
-    return updated.unionByName(inserted).unionByName(loose).select(*TEST_LOG_COLUMNS)
+    src = source.withColumn("test_timestamp", T.utc_ms("test_timestamp")).withColumn("_new", F.lit(1))
+    rows = src if target is None else src.unionByName(target.withColumn("_new", F.lit(0)))
+    order = F.struct("_new", F.col(seq).isNotNull().alias("known"), F.col(seq).alias("seq"), row_hash(rows).alias("hash"))
+    return latest_per_key(rows, order)
 
 
 # --- D12: insert if absent ---------------------------------------------------------

@@ -26,6 +26,7 @@ from ..operators import reports as R
 from ..operators import results as Q
 from ..operators import upsert as U
 from ..schemas import TEST_LOG_SCHEMA, TRACKING_SCHEMA
+from ..session import checkpoint_dir
 from ..sources import files
 from ..sources import sinks as SK
 
@@ -37,6 +38,10 @@ class Store:
     ``buckets``: write every version bucketed by its upsert key (tracking on
     (schema, name), log on (test, procedure)), so an upsert into a large table
     shuffles only the incoming batch. None writes plain parquet.
+
+    A step reads a version and writes the next one. If another step has written
+    that meanwhile, the write fails (``sinks.VersionTaken``) and the step is to be
+    run again on what is there now; nothing is overwritten.
     """
     tracking: str
     test_log: str
@@ -48,70 +53,96 @@ class Store:
     def _log_buckets(self):
         return dict(bucket_by=U.RESULT_KEYS, buckets=self.buckets) if self.buckets else {}
 
-    def read_tracking(self, spark: SparkSession) -> DataFrame:
-        df = SK.read_snapshot(spark, self.tracking, TRACKING_SCHEMA, **self._tracking_buckets())
+    def tracking_version(self, spark: SparkSession) -> int | None:
+        return SK.latest_version(spark, self.tracking)
+
+    def log_version(self, spark: SparkSession) -> int | None:
+        return SK.latest_version(spark, self.test_log)
+
+    def read_tracking(self, spark: SparkSession, version: int | None = None) -> DataFrame:
+        df = SK.read_snapshot(spark, self.tracking, TRACKING_SCHEMA, version, **self._tracking_buckets())
         return df if df is not None else spark.createDataFrame([], TRACKING_SCHEMA)
 
-    def read_log(self, spark: SparkSession) -> DataFrame | None:
-        return SK.read_snapshot(spark, self.test_log, TEST_LOG_SCHEMA, **self._log_buckets())
+    def read_log(self, spark: SparkSession, version: int | None = None) -> DataFrame | None:
+        return SK.read_snapshot(spark, self.test_log, TEST_LOG_SCHEMA, version, **self._log_buckets())
+
+    def write_tracking(self, df: DataFrame, after: int | None) -> int:
+        """Write the version after ``after``, the one that ``df`` was made from."""
+        v = 0 if after is None else after + 1
+        SK.write_snapshot(df, self.tracking, v, **self._tracking_buckets())
+        return v
 
-    def write_tracking(self, df: DataFrame, version: int) -> None:
-        SK.write_snapshot(df, self.tracking, version, **self._tracking_buckets())
+    def write_log(self, df: DataFrame, after: int | None) -> int:
+        v = 0 if after is None else after + 1
+        SK.write_snapshot(df, self.test_log, v, **self._log_buckets())
+        return v
 
-    def write_log(self, df: DataFrame, version: int) -> None:
-        SK.write_snapshot(df, self.test_log, version, **self._log_buckets())
 
-    def next_version(self, spark: SparkSession, base: str) -> int:
-        v = SK.latest_version(spark, base)
-        return 0 if v is None else v + 1
+def _fixed(df: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder, for a frame that a step uses more than once."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def load_catalogue(spark: SparkSession, store: Store, routines: DataFrame, params: DataFrame,
-                   uploads: DataFrame | None = None, now=None, target_dbname: str = "",
-                   target_schema_name: str = "") -> dict:
+                   uploads: DataFrame | None = None, existing: DataFrame | None = None, now=None,
+                   target_dbname: str = "", target_schema_name: str = "", order_col: str | None = None) -> dict:
     """Step 1: attach parameters, stage without duplicates, upsert, write a tracking version.
 
-    ``routines`` are catalogue rows (A1), ``uploads`` parsed upload rows (A3).
-    The batch order (``seq``) is catalogue rows first, then uploads, as staged.
-    Returns the version written and the insert/update counts.
+    ``routines`` are catalogue rows (A1), ``uploads`` parsed upload rows (A3), ``existing``
+    the rows of a stage that is there already (D10). The order of the batch
+    decides which row of a key is staged and written: catalogue rows before
+    uploads, then by ``order_col`` (a column of both) if given, then by db,
+    schema, name and text; it does not depend on how the input is laid out.
+    Returns the version written and the numbers of rows staged, inserted and updated.
     """
-    batch = C.attach_params(routines, params)
+    batch = C.attach_params(routines, params) if order_col is None else \
+        C.attach_params(routines.withColumnRenamed(order_col, "_given"), params, carry=["_given"])
+    batch = batch.withColumn("_rank", F.lit(0))
     if uploads is not None:
-        batch = C.combine(batch, uploads.select(*batch.columns))
-    batch = batch.withColumn("seq", F.monotonically_increasing_id())
-    staged = C.stage(None, batch)
-    staged = staged.checkpoint(eager=True)  # fixes seq for both uses below
-    if staged.isEmpty():
-        return {"version": None, "inserted": 0, "updated": 0}
-    tracking = store.read_tracking(spark)
-    counts = U.upsert_counts(tracking, staged).collect()[0]
-    v = store.next_version(spark, store.tracking)
-    store.write_tracking(U.upsert_tracking(tracking, staged, now=now, target_dbname=target_dbname,
-                                           target_schema_name=target_schema_name), v)
-    return {"version": v, "inserted": counts.rows_inserted, "updated": counts.rows_updated}
+        more = uploads if order_col is None else uploads.withColumnRenamed(order_col, "_given")
+        batch = C.combine(batch, more.withColumn("_rank", F.lit(1)).select(*batch.columns))
+    place = ["_rank", *(["_given"] if order_col else []), "dbname", "schema_name", "procedure_name"]
+    seq = F.struct(*place, F.xxhash64("procedure_definition").alias("_text"))
+    batch = batch.withColumn("seq", seq).drop("_rank", "_given")
+    staged = _fixed(C.stage(existing, batch))
+    n = staged.count()
+    if n == 0:
+        return {"version": None, "staged": 0, "inserted": 0, "updated": 0}
+    read = store.tracking_version(spark)
+    counts = Observation("upsert")
+    merged = U.upsert_tracking(store.read_tracking(spark, read), staged, now=now, target_dbname=target_dbname,
+                               target_schema_name=target_schema_name, counts=counts)
+    v = store.write_tracking(merged, read)
+    return {"version": v, "staged": n, "inserted": counts.get["rows_inserted"], "updated": counts.get["rows_updated"]}
 
 
 def save_flags(spark: SparkSession, store: Store, proposed: DataFrame) -> dict:
     """Step 2: write only changed flags; returns the number of changed rows."""
-    tracking = store.read_tracking(spark)
-    changes = C.changed_flags(tracking, proposed).checkpoint(eager=True)
-    if changes.isEmpty():
-        return {"version": None, "changed": 0}
+    read = store.tracking_version(spark)
+    tracking = store.read_tracking(spark, read)
+    changes = _fixed(C.changed_flags(tracking, proposed))
     n = changes.count()
-    v = store.next_version(spark, store.tracking)
-    store.write_tracking(C.update_flags(tracking, changes), v)
-    return {"version": v, "changed": n}
+    if n == 0:
+        return {"version": None, "changed": 0}
+    return {"version": store.write_tracking(C.update_flags(tracking, changes), read), "changed": n}
 
 
 def extract(spark: SparkSession, store: Store, folder: str) -> dict:
-    """Step 3: one file per flagged procedure; returns rows written and rows skipped."""
+    """Step 3: one file per flagged procedure.
+
+    Returns the files written, the procedures whose file another one of the
+    same safe name has replaced (last procedure name wins), and the rows skipped for want
+    of a definition.
+    """
     tracking = store.read_tracking(spark)
     if C.flagged(tracking).isEmpty():  # limit(1): stops at the first flagged row
-        return {"exported": 0, "skipped": 0}
+        return {"exported": 0, "replaced": 0, "skipped": 0}
+    rows = C.export_rows(tracking)
     obs = Observation("export")
-    rows = C.export_rows(tracking).observe(obs, F.count(F.lit(1)).alias("n"))
-    SK.export_scripts(rows, folder)  # the count is taken while writing, no second pass
-    return {"exported": obs.get["n"], "skipped": C.export_skipped(tracking).count()}
+    SK.export_scripts(rows, folder, counts=obs)
+    lost = C.export_collisions(rows).agg(F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0))).first()[0]
+    return {"exported": obs.get["n"], "replaced": lost, "skipped": C.export_skipped(tracking).count()}
 
 
 def process(scripts: DataFrame, source_schema: str, target_schema: str) -> DataFrame:
@@ -121,15 +152,19 @@ def process(scripts: DataFrame, source_schema: str, target_schema: str) -> DataF
 
 
 def record_results(spark: SparkSession, store: Store, outcomes: DataFrame) -> dict:
-    """Step 5: upsert new outcomes into the log, mark deployed procedures; new versions of both."""
-    log = store.read_log(spark)
-    new_log = U.upsert_results(log, outcomes)
-    v_log = store.next_version(spark, store.test_log)
-    store.write_log(new_log, v_log)
-    tracking = store.read_tracking(spark)
-    v_t = store.next_version(spark, store.tracking)
-    store.write_tracking(Q.mark_deployed(tracking, outcomes), v_t)
-    return {"log_version": v_log, "tracking_version": v_t}
+    """Step 5: upsert new outcomes into the log, mark deployed procedures.
+
+    The outcomes are written once for both uses. Without a passed execution test
+    no procedure changes and the tracking table keeps its version.
+    """
+    outcomes = _fixed(outcomes)
+    read = store.log_version(spark)
+    v_log = store.write_log(U.upsert_results(store.read_log(spark, read), outcomes), read)
+    if Q.passed(outcomes).isEmpty():
+        return {"log_version": v_log, "tracking_version": None}
+    read = store.tracking_version(spark)
+    return {"log_version": v_log,
+            "tracking_version": store.write_tracking(Q.mark_deployed(store.read_tracking(spark, read), outcomes), read)}
 
 
 def publish_passed(spark: SparkSession, store: Store, processed: DataFrame, folder: str) -> dict:
@@ -146,7 +181,7 @@ def publish_passed(spark: SparkSession, store: Store, processed: DataFrame, fold
 def dashboard(log: DataFrame, facets: dict | None = None) -> dict[str, DataFrame]:
     """Result views: filtered rows newest first, metrics and facet values."""
     rows = Q.facet_filter(log, facets or {})
-    return {"rows": rows.orderBy(F.col("test_timestamp").desc()),
+    return {"rows": C.log_view(rows),
             "metrics": Q.result_metrics(rows),
             "facets": Q.facet_values(log)}
 
@@ -160,9 +195,9 @@ def comparison_view(processed: DataFrame, extracted_rows: DataFrame, extracted_d
 
 
 def activity_log(spark: SparkSession, path: str, n: int = 25) -> dict[str, DataFrame]:
-    """Application log: every line parsed, and the last ``n`` lines for display."""
+    """Application log: every line parsed, and the last ``n`` lines for display, both with their position."""
     lines = files.read_log_lines(spark, path)
-    return {"parsed": R.parse_log(lines), "tail": R.tail(lines, n)}
+    return {"parsed": R.parse_log(lines), "tail": R.tail(lines, n, order_col="pos")}
 
 
 def assessment(reports: DataFrame, key: str) -> DataFrame:

@@ -21,6 +21,8 @@ from ..operators import catalog as C
 from ..operators import reports as R
 from ..operators import results as Q
 from ..operators import upsert as U
+from ..schemas import TRACKING_SCHEMA
+from ..session import scratch_dir
 from ..sources import files as SF
 from ..sources import sinks as SK
 
@@ -130,13 +132,13 @@ def param_scan(spark, sf_dir):
     return C.params_from(_load(spark, sf_dir, "params"))
 
 
-@query("upload_scan", ("scripts",), f"""
+@query("upload_scan", ("upload_folder",), f"""
 SELECT 'File Upload' AS source, 'UPLOAD_DB' AS dbname, 'dbo' AS schema_name,
   regexp_replace(file_name, '^(.*[^.].*)\\.[^.]*$', '\\1') AS procedure_name,
   text AS procedure_definition, {_PARAM_BLOCK_SQL} AS parameters
-FROM scripts""")
+FROM upload_folder WHERE file_name LIKE '%.sql'""")
 def upload_scan(spark, sf_dir):
-    s = _load(spark, sf_dir, "scripts")
+    s = _load(spark, sf_dir, "upload_folder")
     files = s.select(F.col("file_name").alias("path"), F.col("text").cast("binary").alias("content"))
     return SF.parse_uploads(files, "UPLOAD_DB", "dbo")
 
@@ -191,6 +193,101 @@ def export_rows(spark, sf_dir):
     return C.export_rows(_load(spark, sf_dir, "tracking"))
 
 
+def _read_back(spark, frame: DataFrame, folder: str) -> DataFrame:
+    """What a sink has left in a folder, as a table; the folder goes."""
+    out = f"{scratch_dir(spark, 'read-back')}"
+    frame.write.parquet(out)
+    SK.delete(spark, folder)
+    return spark.read.schema(frame.schema).parquet(out)
+
+
+_WITH_BREAK = "CASE WHEN {c} LIKE '%' || chr(10) THEN {c} ELSE {c} || chr(10) END"
+_EXPORT_LAST_SQL = f"""SELECT file_name, body FROM (
+    SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY procedure_name DESC) AS rn
+    FROM ({_EXPORT_SQL.replace("FROM tracking", "FROM {rows}")})) WHERE rn = 1"""
+
+
+@query("export_files", ("tracking", "colliding"), f"""
+SELECT file_name, body AS text FROM ({_EXPORT_LAST_SQL.replace("{rows}", "tracking")})
+UNION ALL SELECT file_name, body FROM ({_EXPORT_LAST_SQL.replace("{rows}", "colliding")})""")
+def export_files(spark, sf_dir):
+    """Two exports into one folder: the second leaves the first one's files alone."""
+    folder = scratch_dir(spark, "export")
+    for rows in _load(spark, sf_dir, "tracking", "colliding"):
+        SK.export_scripts(C.export_rows(rows), folder)
+    return _read_back(spark, SK.read_files(spark, folder), folder)
+
+
+@query("export_collisions", ("colliding",), f"""
+SELECT file_name, count(*) AS n_rows FROM ({_EXPORT_SQL.replace("FROM tracking", "FROM colliding")})
+GROUP BY 1 HAVING count(*) > 1""")
+def export_collisions(spark, sf_dir):
+    return C.export_collisions(C.export_rows(_load(spark, sf_dir, "colliding")))
+
+
+@query("processed_files", ("scripts",), f"""
+SELECT 'processed_' || file_name AS file_name, {_WITH_BREAK.format(c="text")} AS text FROM scripts""")
+def processed_files(spark, sf_dir):
+    folder = scratch_dir(spark, "processed")
+    SK.write_processed(_load(spark, sf_dir, "scripts").select("file_name", "text"), folder)
+    return _read_back(spark, SK.read_files(spark, folder), folder)
+
+
+@query("script_files", ("scripts",), f"""
+SELECT 'processed_' || file_name AS file_name, {_WITH_BREAK.format(c="text")} AS text FROM scripts""")
+def script_files(spark, sf_dir):
+    """A4 over files that hold byte order marks and other line breaks."""
+    s = _load(spark, sf_dir, "scripts")
+    raw = s.select("file_name", F.when(F.col("doc_id") % 2 == 0,
+                                       F.concat(F.lit("\ufeff"), F.replace("text", F.lit("\n"), F.lit("\r\n"))))
+                   .otherwise(F.replace("text", F.lit("\n"), F.lit("\r"))).alias("text"))
+    folder = scratch_dir(spark, "scripts")
+    SK.write_processed(raw, folder)
+    return _read_back(spark, SF.normalise_script_text(SK.read_files(spark, folder)), folder)
+
+
+@query("published_files", ("test_log", "scripts"), f"""
+SELECT target_file AS file_name, {_WITH_BREAK.format(c="text")} AS text FROM ({_PUBLISH_FOUND_SQL.format(scripts="scripts")})""")
+def published_files(spark, sf_dir):
+    """A second publication wipes the first."""
+    log, s = _load(spark, sf_dir, "test_log", "scripts")
+    found, folder = Q.publish_found(log, s), scratch_dir(spark, "published")
+    SK.publish(found.withColumn("target_file", F.concat(F.lit("old_"), "target_file")), folder)
+    SK.publish(found, folder)
+    return _read_back(spark, SK.read_files(spark, folder), folder)
+
+
+@query("tracking_table", ("batch",), f"""
+SELECT first.source, first.dbname, schema_name, procedure_name, last.procedure_definition, FALSE AS conversion_flag,
+  TIMESTAMP '{FX.LOAD_NOW}' AS load_timestamp, '{FX.TARGET_DB}' AS target_dbname, '{FX.TARGET_SCHEMA}' AS target_schema_name,
+  last.parameters, FALSE AS is_deployed, '' AS errors
+FROM (SELECT schema_name, procedure_name, arg_max(b, seq) AS last, arg_min(b, seq) AS first FROM batch b
+      GROUP BY schema_name, procedure_name,
+        CASE WHEN schema_name IS NULL OR procedure_name IS NULL THEN seq END)""")
+def tracking_table(spark, sf_dir):
+    """A first load: the table is made, filled, written as a version and read again."""
+    base = scratch_dir(spark, "tracking")
+    empty = SK.ensure_table(spark, f"{base}/empty", TRACKING_SCHEMA)
+    rows = U.upsert_tracking(empty, _load(spark, sf_dir, "batch"), now=FX.LOAD_NOW,
+                             target_dbname=FX.TARGET_DB, target_schema_name=FX.TARGET_SCHEMA)
+    SK.write_snapshot(rows, f"{base}/versions", 0)
+    return SK.read_snapshot(spark, f"{base}/versions", TRACKING_SCHEMA)
+
+
+@query("cached_objects", ("objects",), f"""
+SELECT page_id, path, regexp_extract(path, '[^/]*$') AS name, n AS copied
+FROM objects, (SELECT count(*) AS n FROM objects WHERE starts_with(path, '{FX.OBJECT_PREFIX}'))
+WHERE starts_with(path, '{FX.OBJECT_PREFIX}')""")
+def cached_objects(spark, sf_dir):
+    """The first call stores the listing of a job, the second finds it."""
+    objects, root = _load(spark, sf_dir, "objects"), scratch_dir(spark, "cache")
+    first, again = (SK.cached_job(spark, root, "user/1", "job 1", lambda: R.list_objects(objects, FX.OBJECT_PREFIX))
+                    for _ in range(2))
+    if first["hit"] or not again["hit"]:
+        raise AssertionError("a job is stored once and found afterwards")
+    return again["rows"].withColumn("copied", F.lit(first["copied"]).cast("bigint"))
+
+
 @query("apply_edits", ("scripts", "script_edits"), """
 SELECT s.doc_id, s.file_name, CASE WHEN e.file_name IS NOT NULL THEN e.text ELSE s.text END AS text
 FROM scripts s LEFT JOIN (
@@ -299,8 +396,8 @@ def metadata_upsert(spark, sf_dir):
 
 
 @query("upsert_counts", ("tracking", "batch"), """
-SELECT CAST(count(*) FILTER (WHERE first_seq = seq AND NOT in_target) + count(*) FILTER (WHERE no_key) AS BIGINT) AS rows_inserted,
-       CAST(count(*) FILTER (WHERE NOT no_key) - count(*) FILTER (WHERE first_seq = seq AND NOT in_target)
+SELECT CAST(count(*) FILTER (WHERE first_seq = seq AND NOT in_target AND NOT no_key) + count(*) FILTER (WHERE no_key) AS BIGINT) AS rows_inserted,
+       CAST(count(*) FILTER (WHERE NOT no_key) - count(*) FILTER (WHERE first_seq = seq AND NOT in_target AND NOT no_key)
             + coalesce(sum(m - 1) FILTER (WHERE NOT no_key AND in_target), 0) AS BIGINT) AS rows_updated
 FROM (
   SELECT b.seq, b.schema_name IS NULL OR b.procedure_name IS NULL AS no_key,
@@ -313,7 +410,15 @@ def upsert_counts(spark, sf_dir):
     return U.upsert_counts(t, b)
 
 
-@query("result_upsert", ("test_log",), _RESULT_UPSERT_SQL)
+@query("result_upsert", ("test_log_old", "test_log_new"), """
+SELECT event_id, test_case_id, test_case_name, procedure_name,
+    date_trunc('millisecond', test_timestamp) AS test_timestamp, status, errors
+  FROM (SELECT *, row_number() OVER (PARTITION BY test_case_name, procedure_name ORDER BY later DESC, event_id DESC) AS rn
+        FROM (SELECT *, 0 AS later FROM test_log_old UNION ALL SELECT *, 1 FROM test_log_new) WHERE test_case_name IS NOT NULL AND procedure_name IS NOT NULL) WHERE rn = 1
+  UNION ALL
+  SELECT event_id, test_case_id, test_case_name, procedure_name,
+    date_trunc('millisecond', test_timestamp) AS test_timestamp, status, errors
+  FROM (SELECT *, 0 AS later FROM test_log_old UNION ALL SELECT *, 1 FROM test_log_new) WHERE test_case_name IS NULL OR procedure_name IS NULL""")
 def result_upsert(spark, sf_dir):
     old, new = _load(spark, sf_dir, "test_log_old", "test_log_new")
     return U.upsert_results(U.upsert_results(None, old), new)
@@ -473,6 +578,14 @@ def schema_groups(spark, sf_dir):
     return C.schema_groups(_load(spark, sf_dir, "tracking"))
 
 
+@query("schema_members", ("tracking",), f"""
+SELECT DISTINCT split_part(full_name, '.', 1) AS dbname, split_part(full_name, '.', 2) AS schema_name,
+  substr(full_name, length(split_part(full_name, '.', 1)) + length(split_part(full_name, '.', 2)) + 3) AS procedure_name
+FROM (SELECT {_QNAME_SQL.format(p='')} AS full_name FROM tracking)""")
+def schema_members(spark, sf_dir):
+    return C.schema_members(_load(spark, sf_dir, "tracking"))
+
+
 @query("result_metrics", ("test_log",), """
 SELECT count(*) AS total_tests, count(*) FILTER (WHERE status = '✅ Success') AS passed_tests,
   count(*) - count(*) FILTER (WHERE status = '✅ Success') AS failed_tests FROM test_log""")
@@ -659,7 +772,7 @@ def report_metrics(spark, sf_dir):
 @query("result_stream", ("test_log",), _RESULT_UPSERT_SQL)
 def result_stream(spark, sf_dir):
     from ..streaming.result_log import replay_log_stream
-    return replay_log_stream(spark, _load(spark, sf_dir, "test_log"), n_batches=4)
+    return replay_log_stream(spark, *_load(spark, sf_dir, "test_log_old", "test_log_new"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -40,19 +40,3 @@ STAGE_SCHEMA = T.StructType([
     T.StructField("procedure_definition", T.StringType()),
     T.StructField("parameters", T.StringType()),
 ])
-
-ROUTINE_SCHEMA = T.StructType([
-    T.StructField("dbname", T.StringType()),
-    T.StructField("schema_name", T.StringType()),
-    T.StructField("procedure_name", T.StringType()),
-    T.StructField("procedure_definition", T.StringType()),
-])
-
-PARAM_SCHEMA = T.StructType([
-    T.StructField("procedure_name", T.StringType()),
-    T.StructField("mode", T.StringType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("data_type", T.StringType()),
-    T.StructField("char_length", T.IntegerType()),
-    T.StructField("ordinal_position", T.IntegerType()),
-])

@@ -10,15 +10,16 @@ from ..functions import text as T
 
 
 def parse_uploads(files: DataFrame, dbname: str, schema_name: str,
-                  path_col: str = "path", content_col: str = "content", carry=()) -> DataFrame:
-    """A3: uploaded files -> catalogue rows.
+                  path_col: str = "path", content_col: str = "content", carry=(),
+                  suffix: str = P.SCRIPT_EXT) -> DataFrame:
+    """A3: uploaded files -> catalogue rows; files of another type than ``suffix`` are left out.
 
     Name = file stem, body = UTF-8 text (BOM kept, no newline translation),
     parameters from the CREATE/ALTER header. A file that is not valid UTF-8 is
     left out (see ``upload_rejects``). ``carry`` columns are passed through.
     """
     text = F.try_validate_utf8(F.col(content_col).cast("string"))
-    decoded = files.select(*carry, F.col(path_col).alias("_path"), text.alias("_text")) \
+    decoded = files.where(F.col(path_col).endswith(suffix)).select(*carry, F.col(path_col).alias("_path"), text.alias("_text")) \
         .where(F.col("_text").isNotNull())
     return decoded.select(*carry,
         F.lit(P.SOURCE_UPLOAD).alias("source"), F.lit(dbname).alias("dbname"),
@@ -34,9 +35,9 @@ def upload_rejects(files: DataFrame, path_col: str = "path", content_col: str =
     return files.where(bad).select(T.base_name(path_col).alias("file_name"))
 
 
-def read_uploads(spark: SparkSession, path: str, dbname: str, schema_name: str) -> DataFrame:
-    """A3: read a folder of uploaded files (one row per file) and parse them."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def read_uploads(spark: SparkSession, path: str, dbname: str, schema_name: str, glob: str = "*.sql") -> DataFrame:
+    """A3: read the script files of a folder of uploads (one row per file) and parse them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
     return parse_uploads(files, dbname, schema_name)
 
 
@@ -63,16 +64,19 @@ def list_object_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A8 source: log lines with their line number, bad bytes replaced.
+    """A8 source: log lines with their position, bad bytes replaced.
 
-    Lines are read in parallel splits; the number comes from the position
-    (file, split start, row within split) through ``assign_ids``.
+    Lines are read in parallel splits; ``pos`` (file, split start, row within
+    the split) orders them as they stand, without a pass over the log.
     """
+    pos = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                   F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(pos.alias("pos"), F.make_valid_utf8("value").alias("line"))
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """(line_no, line) from positions: a sort of the whole log, for those who need the numbers."""
     from ..operators.results import assign_ids
-    raw = spark.read.text(path).select(
-        F.make_valid_utf8("value").alias("line"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"))
-    numbered = assign_ids(raw, ["_file", "_block", "_row"], id_col="_line_no")
+    flat = lines.select("line", *[F.col(f"pos.{c}").alias(f"_{c}") for c in ("file", "block", "row")])
+    numbered = assign_ids(flat, ["_file", "_block", "_row"], id_col="_line_no", split_ties=False)
     return numbered.select(F.col("_line_no").cast("bigint").alias("line_no"), "line")

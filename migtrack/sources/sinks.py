@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from ..functions import patterns as P
 from ..functions.text import trim_final_break
-from ..operators.catalog import first_by
+from ..operators.catalog import first_by, one_per_file
 
 
 def _fs(spark: SparkSession, path: str):
@@ -22,10 +22,24 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a finished write left its marker in the folder."""
+    return path_exists(spark, path.rstrip("/") + "/_SUCCESS")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def ensure_table(spark: SparkSession, path: str, schema: T_.StructType) -> DataFrame:
-    """B1: create an empty parquet table with a fixed schema if none is there; return it."""
-    if not path_exists(spark, path):
-        spark.createDataFrame([], schema).write.mode("errorifexists").parquet(path)
+    """B1: create an empty parquet table with a fixed schema if none is there; return it.
+
+    A folder without a finished write (a creation that failed) gets the empty
+    table; data that is in it stays.
+    """
+    if not complete(spark, path):
+        spark.createDataFrame([], schema).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -55,19 +69,31 @@ def _table_name(base: str, version: int) -> str:
     return f"migtrack_{hashlib.sha1(base.rstrip('/').encode()).hexdigest()[:12]}_v{int(version)}"
 
 
+class VersionTaken(RuntimeError):
+    """Another writer has written, or begun, the version that was to be written."""
+
+
 def write_snapshot(df: DataFrame, base: str, version: int, bucket_by=None,
-                   buckets: int | None = None) -> str:
-    """Write ``df`` as version ``version`` (overwrite makes a replayed write idempotent).
+                   buckets: int | None = None, replay: bool = False) -> str:
+    """Write ``df`` as version ``version``, which must not exist.
+
+    A step writes the version after the one it read. When another step has
+    done so meanwhile, its rows would be lost, so the later one fails with
+    ``VersionTaken`` and is to be run again. ``replay`` is for a stream whose
+    batch may be repeated: the same batch gives the same version, overwritten.
+    What a failed step left behind blocks its version until ``discard_unfinished``.
 
     With ``bucket_by`` the version is a bucketed table (one file per bucket,
     sorted by the key): a later join or anti join on that key reads it without
     a shuffle, and only the other side is shuffled to match the buckets.
     """
+    spark = df.sparkSession
     path = snapshot_path(base, version)
+    if not replay:
+        _claim(spark, base, version)
     if not bucket_by:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite" if replay else "errorifexists").parquet(path)
         return path
-    spark = df.sparkSession
     keys = list(bucket_by)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = _table_name(base, version)
@@ -78,6 +104,38 @@ def write_snapshot(df: DataFrame, base: str, version: int, bucket_by=None,
     return path
 
 
+def _claim_path(base: str, version: int) -> str:
+    return f"{base.rstrip('/')}/_claim-{int(version):012d}"
+
+
+def _claim(spark: SparkSession, base: str, version: int) -> None:
+    """Create the version's claim file, which one writer only can do."""
+    fs, p = _fs(spark, _claim_path(base, version))
+    if path_exists(spark, snapshot_path(base, version)):
+        raise VersionTaken(f"version {version} of {base} exists")
+    try:
+        fs.create(p, False).close()
+    except Exception as e:
+        if fs.exists(p):
+            raise VersionTaken(f"version {version} of {base} is taken") from e
+        raise
+
+
+def discard_unfinished(spark: SparkSession, base: str) -> list[int]:
+    """Remove what failed writes left under ``base`` (call it while no step runs); the versions."""
+    if not path_exists(spark, base):
+        return []
+    fs, p = _fs(spark, base)
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    versions = {int(n.partition("=")[2]) for n in names if n.startswith("v=")}
+    versions |= {int(n.rpartition("-")[2]) for n in names if n.startswith("_claim-")}
+    gone = sorted(v for v in versions if not complete(spark, snapshot_path(base, v)))
+    for v in gone:
+        delete(spark, snapshot_path(base, v))
+        delete(spark, _claim_path(base, v))
+    return gone
+
+
 def _declare(spark: SparkSession, name: str, path: str, schema: T_.StructType, keys, n: int) -> None:
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     k = ", ".join(f"`{c}`" for c in keys)
@@ -107,29 +165,49 @@ def read_snapshot(spark: SparkSession, base: str, schema: T_.StructType,
 
 # --- file exports ------------------------------------------------------------------------
 
+def _write_files(rows: DataFrame, folder: str, wipe: bool) -> None:
+    """One text file per row of (file_name, value) under ``folder/file_name=<name>/``."""
+    (rows.repartition("file_name").write.mode("overwrite").partitionBy("file_name")
+     .option("partitionOverwriteMode", "static" if wipe else "dynamic").text(folder))
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_name, text) of a folder written by one of the file sinks below."""
+    df = spark.read.text(folder, wholetext=True)
+    return df.select(F.col("file_name").cast("string"), F.col("value").alias("text"))
+
+
 def export_scripts(rows: DataFrame, folder: str, name_col: str = "file_name",
-                   body_col: str = "body") -> None:
-    """B2: one text file per name under ``folder/file_name=<name>/``.
+                   body_col: str = "body", order_col: str = "procedure_name",
+                   counts: Observation | None = None) -> None:
+    """B2: one text file per name; files of the same name are replaced, all others stay.
 
     ``body`` already ends with a newline and the text sink adds one per row,
-    so one is dropped here. Rows sharing a name land in the same file.
+    so one is dropped here. Of rows that share a name the last in ``order_col``
+    is written, as it would have overwritten the others. ``counts`` gets the
+    number of files as ``n``.
     """
-    body = trim_final_break(body_col)
-    (rows.select(F.col(name_col).alias("file_name"), body.alias("value"))
-     .repartition("file_name").write.mode("overwrite").partitionBy("file_name").text(folder))
+    named = rows.select(F.col(name_col).alias("file_name"), F.col(order_col).alias("order"),
+                        trim_final_break(body_col).alias("value"))
+    files = one_per_file(named, order="order").select("file_name", "value")
+    if counts is not None:
+        files = files.observe(counts, F.count(F.lit(1)).alias("n"))
+    _write_files(files, folder, wipe=False)
 
 
-def write_processed(scripts: DataFrame, folder: str, prefix: bool = True) -> None:
-    """Cleaned scripts as ``processed_<name>``.
+def write_processed(scripts: DataFrame, folder: str, prefix: bool = True, order_col: str | None = None) -> None:
+    """Cleaned scripts as ``processed_<name>``; other files of the folder stay.
 
     The text sink ends every file with a newline; one final newline of the text
-    is dropped first, so only a text without one gains it.
+    is dropped first, so only a text without one gains it. Of scripts that share a
+    name the last in ``order_col`` (the text, without one) is written.
 
     ``prefix=False`` when the names already carry it (output of ``flows.process``).
     """
     name = F.concat(F.lit(P.PROCESSED_PREFIX), F.col("file_name")) if prefix else F.col("file_name")
-    named = scripts.select(name.alias("file_name"), trim_final_break("text").alias("value"))
-    named.repartition("file_name").write.mode("overwrite").partitionBy("file_name").text(folder)
+    order = F.col(order_col) if order_col else F.xxhash64("text")
+    named = scripts.select(name.alias("file_name"), order.alias("order"), trim_final_break("text").alias("value"))
+    _write_files(one_per_file(named, order="order").select("file_name", "value"), folder, wipe=False)
 
 
 def write_corpus(scripts: DataFrame, path: str) -> None:
@@ -143,17 +221,28 @@ def publish(found: DataFrame, folder: str) -> None:
     A script read from a file that ends with a newline is written back byte for
     byte (the text sink adds the newline that is dropped here).
     """
-    (found.select(F.col("target_file").alias("file_name"), trim_final_break("text").alias("value"))
-     .repartition("file_name").write.mode("overwrite").partitionBy("file_name").text(folder))
+    _write_files(found.select(F.col("target_file").alias("file_name"), trim_final_break("text").alias("value")),
+                 folder, wipe=True)
 
 
 def cached(spark: SparkSession, path: str, build) -> DataFrame:
-    """Read the snapshot at ``path`` when present, else build, write and read it."""
-    if not path_exists(spark, path):
+    """Read the snapshot at ``path`` when a finished one is there, else build, write and read it."""
+    if not complete(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def cached_job(spark: SparkSession, root: str, user: str, job: str, build) -> dict:
+    """B5 by user and job: {rows, hit, copied}; ``copied`` counts the objects a miss has stored."""
+    from urllib.parse import quote
+    path = f"{root.rstrip('/')}/user={quote(user, safe='')}/job={quote(job, safe='')}"
+    if complete(spark, path):
+        return {"rows": spark.read.parquet(path), "hit": True, "copied": 0}
+    obs = Observation("cached")
+    build().observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    return {"rows": spark.read.parquet(path), "hit": False, "copied": obs.get["n"]}
+
+
 def apply_edits(base: DataFrame, edits: DataFrame, key: str = "file_name",
                 text_col: str = "text", seq: str = "seq") -> DataFrame:
     """Keyed patch: the last edit of a key replaces the stored text."""

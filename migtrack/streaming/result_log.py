@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.upsert import RESULT_KEYS, _RESULT_VALUES
+from ..operators.catalog import row_hash
+from ..operators.upsert import latest_per_key
 from ..schemas import TEST_LOG_COLUMNS, TEST_LOG_SCHEMA
 from ..session import scratch_dir
 from ..functions import text as T
@@ -24,18 +25,31 @@ from ..sources import sinks as SK
 def merge_newest(target: DataFrame | None, batch: DataFrame, seq: str = "event_id") -> DataFrame:
     """Log upsert where the highest ``seq`` per key wins (order-independent).
 
-    Equal to the row-by-row MERGE when batches arrive in ``seq`` order.
-    Rows with a NULL key never merge and are kept once per ``seq``.
+    Equal to the row-by-row MERGE when batches arrive in ``seq`` order. Rows with
+    a NULL key never merge and are all kept; a row without ``seq`` loses against
+    any with one, but is kept whole when its key has no other.
     """
-    keys = list(RESULT_KEYS)
     src = batch.withColumn("test_timestamp", T.utc_ms("test_timestamp")).select(*TEST_LOG_COLUMNS)
     rows = src if target is None else target.select(*TEST_LOG_COLUMNS).unionByName(src)
-    has_key = F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull()
-    keyed = (rows.where(has_key).groupBy(*keys)
-             .agg(F.max_by(F.struct(*_RESULT_VALUES), F.col(seq)).alias("_r"))
-             .select(*keys, *[F.col("_r")[c].alias(c) for c in _RESULT_VALUES]))
-    loose = rows.where(~has_key).dropDuplicates([seq])
-    return keyed.unionByName(loose).select(*TEST_LOG_COLUMNS)
+    order = F.struct(F.col(seq).isNotNull().alias("known"), F.col(seq).alias("seq"), row_hash(rows).alias("hash"))
+    return latest_per_key(rows, order)
+
+
+class ForeignLog(RuntimeError):
+    """The log folder holds versions that this stream has not written."""
+
+
+def _own(spark: SparkSession, log_dir: str, checkpoint: str) -> None:
+    """Mark ``log_dir`` as this checkpoint's; refuse one that has versions of another writer."""
+    mark = f"{log_dir.rstrip('/')}/_stream"
+    if SK.path_exists(spark, mark):
+        owner = spark.read.text(mark).first()[0]
+        if owner != checkpoint:
+            raise ForeignLog(f"{log_dir} belongs to the stream with checkpoint {owner}")
+    elif SK.latest_version(spark, log_dir) is not None:
+        raise ForeignLog(f"{log_dir} holds versions that no stream has written")
+    else:
+        spark.createDataFrame([(checkpoint,)], "value string").coalesce(1).write.text(mark)
 
 
 def start_log_stream(spark: SparkSession, in_dir: str, log_dir: str, checkpoint: str,
@@ -44,6 +58,7 @@ def start_log_stream(spark: SparkSession, in_dir: str, log_dir: str, checkpoint:
 
     ``log_dir`` belongs to this stream's ``checkpoint`` (as a file sink's output
     folder belongs to its checkpoint): version ``k`` is the log after batch ``k``.
+    A folder that another checkpoint or a batch step has written to is refused.
 
     Each micro-batch writes one new log version, so its cost is one pass over
     the log (one row per (test, procedure), not the outcome history) plus the
@@ -54,10 +69,13 @@ def start_log_stream(spark: SparkSession, in_dir: str, log_dir: str, checkpoint:
         # version k is always built from version k-1, so a replayed batch id
         # rewrites the same version from the same input
         prev = None
-        if batch_id > 0 and SK.path_exists(spark, SK.snapshot_path(log_dir, batch_id - 1) + "/_SUCCESS"):
+        if batch_id > 0:
+            if not SK.complete(spark, SK.snapshot_path(log_dir, batch_id - 1)):
+                raise RuntimeError(f"version {batch_id - 1} of {log_dir} is missing; the log cannot go on from it")
             prev = SK.read_snapshot(spark, log_dir, TEST_LOG_SCHEMA, version=batch_id - 1)
-        SK.write_snapshot(merge_newest(prev, batch), log_dir, batch_id)
+        SK.write_snapshot(merge_newest(prev, batch), log_dir, batch_id, replay=True)
 
+    _own(spark, log_dir, checkpoint)
     reader = spark.readStream.schema(TEST_LOG_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -67,14 +85,14 @@ def start_log_stream(spark: SparkSession, in_dir: str, log_dir: str, checkpoint:
     return writer.start()
 
 
-def replay_log_stream(spark: SparkSession, outcomes: DataFrame, n_batches: int = 4) -> DataFrame:
-    """Write ``outcomes`` as ``n_batches`` files, run the stream to the end, return the log."""
+def replay_log_stream(spark: SparkSession, *drops: DataFrame) -> DataFrame:
+    """Drop each frame of outcomes into the folder and run the stream to its end each time; the log."""
     base = scratch_dir(spark, "result-stream")
     in_dir, log_dir, ckpt = f"{base}/in", f"{base}/log", f"{base}/checkpoint"
-    (outcomes.select(*TEST_LOG_COLUMNS).repartitionByRange(n_batches, "event_id")
-     .write.mode("overwrite").parquet(in_dir))
-    q = start_log_stream(spark, in_dir, log_dir, ckpt, files_per_batch=1)
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    for outcomes in drops:
+        outcomes.select(*TEST_LOG_COLUMNS).write.mode("append").parquet(in_dir)
+        q = start_log_stream(spark, in_dir, log_dir, ckpt)
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
     return SK.read_snapshot(spark, log_dir, TEST_LOG_SCHEMA)

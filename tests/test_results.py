@@ -53,6 +53,9 @@ def test_facet_filter_empty_and_large_lists(spark):
     assert Q.facet_filter(df, {"status": [OK], "test_case_id": ["1", "3", "4"]}).count() == 2
     many = [f"p{i}" for i in range(5000)]
     assert Q.facet_filter(df, {"procedure_name": many}).count() == 20
+    odd = df.withColumn("test_case_id", F.when(F.col("event_id") == 7, "x").otherwise(F.col("test_case_id")))
+    for values in ([1, 2], ["1", "2"], [1, "2", None], [*range(1, 3), *range(1000, 3000)]):
+        assert Q.facet_filter(odd, {"test_case_id": values}).count() == 2
 
 
 def test_assign_ids_consecutive_in_order(spark):
