@@ -20,7 +20,8 @@ from migtrack.plans import registry  # noqa: E402
 from migtrack.session import get_session  # noqa: E402
 
 HEADLINE = ("clean_script", "drop_marked", "param_list", "metadata_upsert", "latest_status",
-            "attach_params", "result_upsert", "stage_dedup", "script_status", "call_build")
+            "attach_params", "result_upsert", "stage_dedup", "script_status", "call_build",
+            "test_ids", "step_counts")
 
 
 def driver_memory() -> str:

@@ -120,11 +120,11 @@ SELECT doc_id + 1000000000000 AS seq, file_name AS path, text FROM scripts""", (
     "scripts_partial": ("""
 SELECT s.doc_id, CASE WHEN d.lang = 'de' THEN 'draft_' ELSE '' END || s.file_name AS file_name, s.source, s.text
 FROM scripts s JOIN documents d ON d.doc_id = s.doc_id""", ("scripts",)),
-    # Names of which several become one file name.
+    # Flagged procedures of which two each become one file name.
     "colliding": ("""
-SELECT 'a' || chr(46 + CAST(r.seq % 2 AS INT)) || CAST(r.seq - r.seq % 2 AS STRING) AS procedure_name,
-  t.procedure_definition, t.conversion_flag
-FROM routines r JOIN tracking t ON t.procedure_name = r.procedure_name""", ("routines", "tracking")),
+SELECT 'a' || chr(46 + CAST(doc_id % 2 AS INT)) || CAST(doc_id - doc_id % 2 AS STRING) AS procedure_name,
+  text AS procedure_definition, TRUE AS conversion_flag
+FROM scripts""", ("scripts",)),
     # A folder of uploads: scripts and files of other types.
     "upload_folder": ("""
 SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN replace(file_name, '.sql', '.txt') ELSE file_name END AS file_name, text FROM scripts""",

@@ -24,7 +24,6 @@ SCRIPT_EXT = ".sql"
 FILE_NOT_FOUND = "--- FILE NOT FOUND ---\nPath: "
 LABEL_WIDTH = 50
 LOG_TAIL_LINES = 25
-PARAM_SEPARATOR = ", "
 NULL_TEXT = "None"
 
 # --- fixed values: patterns --------------------------------------------------
@@ -45,10 +44,8 @@ REPORT_METRICS = (
 REPORT_MISSING = "N/A"
 # Licence listing: every expiry date, parsed month/day/year hour:minute:second.
 LICENCE_EXPIRY = r"Expiration date:\s*([0-1]?\d/[0-3]?\d/\d{4}\s+\d{1,2}:\d{2}:\d{2})"
-LICENCE_DATE_FORMAT = "M/d/yyyy H:mm:ss"
 # Application log line: "time - LEVEL - message", time like 2024-01-31 10:20:30,123.
 LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) - ([A-Z]+) - (.*)$"
-LOG_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss,SSS"
 
 # --- character classes giving Python str semantics in Java regex -------------
 # str.isspace(): the characters Python strips and splits on.
@@ -59,11 +56,9 @@ PY_SPACE_CHARS = (
 PY_SPACE = f"[{PY_SPACE_CHARS}]"
 # isspace() characters that are not line breaks (blank-line test).
 PY_BLANK_CHARS = "\\t\\x1f \\xa0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000"
-PY_BLANK = f"[{PY_BLANK_CHARS}]"
 # Python's \w for str (isalnum() or "_") and the word boundary built on it; Java's
 # own \b differs at combining marks and at numerals such as superscripts.
 PY_WORD = "[\\p{L}\\p{N}_]"
 PY_BOUNDARY = f"(?:(?<={PY_WORD})(?!{PY_WORD})|(?<!{PY_WORD})(?={PY_WORD}))"
 # str.splitlines() boundaries other than "\n" (CRLF first, as one break).
-PY_LINE_BREAK = "\\r\\n|[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 PY_LINE_BREAK_CHARS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"

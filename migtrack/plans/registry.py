@@ -207,14 +207,14 @@ _EXPORT_LAST_SQL = f"""SELECT file_name, body FROM (
     FROM ({_EXPORT_SQL.replace("FROM tracking", "FROM {rows}")})) WHERE rn = 1"""
 
 
-@query("export_files", ("tracking", "colliding"), f"""
-SELECT file_name, body AS text FROM ({_EXPORT_LAST_SQL.replace("{rows}", "tracking")})
-UNION ALL SELECT file_name, body FROM ({_EXPORT_LAST_SQL.replace("{rows}", "colliding")})""")
+@query("export_files", ("colliding",), f"""
+SELECT p || file_name AS file_name, body AS text
+FROM ({_EXPORT_LAST_SQL.replace("{rows}", "colliding")}), (VALUES ('old_'), ('')) AS t(p)""")
 def export_files(spark, sf_dir):
     """Two exports into one folder: the second leaves the first one's files alone."""
-    folder = scratch_dir(spark, "export")
-    for rows in _load(spark, sf_dir, "tracking", "colliding"):
-        SK.export_scripts(C.export_rows(rows), folder)
+    rows, folder = C.export_rows(_load(spark, sf_dir, "colliding")), scratch_dir(spark, "export")
+    for prefix in ("old_", ""):
+        SK.export_scripts(rows.withColumn("file_name", F.concat(F.lit(prefix), "file_name")), folder)
     return _read_back(spark, SK.read_files(spark, folder), folder)
 
 
@@ -225,18 +225,10 @@ def export_collisions(spark, sf_dir):
     return C.export_collisions(C.export_rows(_load(spark, sf_dir, "colliding")))
 
 
-@query("processed_files", ("scripts",), f"""
-SELECT 'processed_' || file_name AS file_name, {_WITH_BREAK.format(c="text")} AS text FROM scripts""")
-def processed_files(spark, sf_dir):
-    folder = scratch_dir(spark, "processed")
-    SK.write_processed(_load(spark, sf_dir, "scripts").select("file_name", "text"), folder)
-    return _read_back(spark, SK.read_files(spark, folder), folder)
-
-
 @query("script_files", ("scripts",), f"""
 SELECT 'processed_' || file_name AS file_name, {_WITH_BREAK.format(c="text")} AS text FROM scripts""")
 def script_files(spark, sf_dir):
-    """A4 over files that hold byte order marks and other line breaks."""
+    """B3, then A4 over the files, which hold byte order marks and other line breaks."""
     s = _load(spark, sf_dir, "scripts")
     raw = s.select("file_name", F.when(F.col("doc_id") % 2 == 0,
                                        F.concat(F.lit("\ufeff"), F.replace("text", F.lit("\n"), F.lit("\r\n"))))
