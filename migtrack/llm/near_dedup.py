@@ -7,13 +7,15 @@ which keeps the shingle that arrives first. A shingle stops once its next point
 would come after every component's first arrival. Two signatures agree in a
 component with the probability Jaccard of the texts.
 
-Texts that agree in a band of ``ROWS`` components share a bucket. In every bucket
-all texts are compared with its first one, so a bucket of n near copies costs n
-comparisons. Buckets that still hold texts of different classes are compared
-again with 16 times as many pivots per round, chosen by hash, and only across
-classes, until every text of such a bucket has been a pivot: a link is implied by a
-class or was compared. Signatures rule out hopeless pairs; all others are verified
-on their whole shingle sets: a link needs a Jaccard similarity of ``SIMILARITY``.
+Texts that agree in a band of ``ROWS`` components share a bucket. Its pivot is the
+text that meets most others in all its buckets, as an original does among its
+copies; the pivot is compared with the whole bucket, n comparisons for n texts.
+Where a bucket still holds texts of different classes, those outside its largest
+class are compared with all others. This runs in blocks of a bucket's texts inside
+a task, so that no pair becomes a row unless it is a link: every link between
+texts that share a bucket is implied by a class or was compared. Signatures rule out hopeless pairs; all
+others are verified on their whole shingle sets: a link needs a Jaccard
+similarity of ``SIMILARITY``.
 
 Cases: null text counts as empty; texts with the same words, also those without
 words, are in one class whatever their blanks; a text of 1 to 4 words has one shingle;
@@ -38,7 +40,8 @@ from .shingles import GOLDEN, mixed, odd_numbers, shingle_sets, words_of
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 M = BANDS * ROWS
-LIKELY = 0.5          # signature agreement below which a pair at SIMILARITY is out of the question (8 sigma)
+LIKELY = 0.62         # signature agreement that a pair at SIMILARITY misses by chance with 1e-8 (5.7 sigma)
+BLOCK = 256           # texts of a bucket that a task compares others with at a time
 GROUP_CHARS = 1 << 21
 LAST = (1 << 63) - 1
 SIGNED = "doc_id long, text_key long, words_key binary, marks binary, bands array<long>"
@@ -119,20 +122,51 @@ def likely_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[
             yield batch.select(["a", "b"]).filter(pa.array(agree >= least))
 
 
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sorted arrays of distinct hashes have a Jaccard similarity of ``least``."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < least * len(y) or not len(x):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return both >= least * (len(x) + len(y) - both) - 1e-9
+
+
 def similar_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            few, many = sorted((len(x), len(y)))
-            if few < least * many:
-                keep.append(False)
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= least * (few + many - both) - 1e-9)
+        sides = zip(batch.column("sa"), batch.column("sb"), strict=True)
+        keep = [alike(*(np.frombuffer(s.as_buffer(), np.uint64) for s in pair), least) for pair in sides]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def block_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Links between the texts of a block and those that ask; rows by block, the block's own first."""
+    held, own, marks = None, [], None
+    for batch in batches:
+        links = []
+        for bucket, block, asking, node, label, minor, mark, shingles in zip(
+                *(batch.column(c).to_pylist() for c in ("bucket", "block", "asking", "node", "label", "minor", "marks", "shingles")), strict=True):
+            if (bucket, block) != held:
+                held, own, marks = (bucket, block), [], None
+            shingles = np.frombuffer(shingles, np.uint64)
+            if not asking:
+                own.append((node, label, minor, np.frombuffer(mark, np.uint8), shingles))
+                continue
+            if not own:
+                continue
+            if marks is None:
+                marks = np.stack([x[3] for x in own])
+                nodes, labels, minors = (np.array([x[i] for x in own]) for i in range(3))
+            agree = ((marks == np.frombuffer(mark, np.uint8)).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            # two that ask meet twice, so the smaller one asks
+            for i in np.flatnonzero((agree >= LIKELY) & (labels != label) & (~minors | (nodes > node))):
+                if alike(own[i][4], shingles, least):
+                    links.append((node, int(nodes[i])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["a", "b"])
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """Signature, bands and keys of every document under a row number, written to the shared folder."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_key"),
@@ -155,8 +189,15 @@ def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = written(rows.groupBy("words_key").agg(F.min("row").alias("node")), "nodes")  # one row per distinct text
     banded = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(
         F.col("row").alias("node"), F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1")
-    members = written(banded.join(buckets, "bucket"), "members")
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = written(banded.join(sizes, "bucket"), "members")
+    # buckets of the same texts count once
+    same = members.groupBy("bucket").agg(F.bit_xor(F.xxhash64("node")).alias("who"), F.first("n").alias("n"))
+    members = members.join(same.groupBy("who", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
+    meetings = members.groupBy("node").agg(F.sum("n").alias("meets"))
+    central = F.max(F.struct("meets", (-F.col("node")).alias("minus"))).alias("c")
+    pivots = members.join(meetings, "node").groupBy("bucket").agg(central).select("bucket", (-F.col("c.minus")).alias("pivot"))
+    members = written(members.join(pivots, "bucket"), "pivots")
 
     met = members.select("node").distinct()
     wanted = rows.join(met, rows["row"] == met["node"]).select(
@@ -170,22 +211,19 @@ def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     labels = written(met.select("node", F.col("node").alias("label")), "labels")
     labels = components(written(verified(stars, data, similarity), "links"), labels)
 
-    share = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    known = members.withColumn("share", share)
-    done, pivots = 1, 16
-    while True:
-        placed = known.join(labels, "node")
-        split = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        here = written(placed.join(split.select("bucket"), "bucket").select("bucket", "n", "node", "label", "share"), "split")
-        largest = here.agg(F.max("n")).first()[0]
-        if largest is None or done >= largest:
-            break
-        chosen = here.filter(F.col("share") < F.lit(float(pivots)) / F.col("n")).select(
-            "bucket", F.col("node").alias("p"), F.col("label").alias("lp"))
-        pairs = (chosen.join(here, "bucket").filter(F.col("lp") != F.col("label"))
-                 .select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct())
-        labels = components(written(verified(pairs, data, similarity), "links"), labels)
-        done, pivots = pivots, pivots * 16
+    rest = members.filter("n > 2 AND node <> pivot").join(labels, "node")
+    classes_in = rest.groupBy("bucket", "label").agg(F.count("*").alias("many"))
+    largest = classes_in.groupBy("bucket").agg(F.max(F.struct("many", "label")).alias("top"), F.count("*").alias("classes"))
+    rest = rest.join(largest.filter("classes > 1").select("bucket", F.col("top.label").alias("main")), "bucket")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rest = rest.select("bucket", "node", "label", (F.col("label") != F.col("main")).alias("minor"), blocks.alias("blocks"))
+    here = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("asking", F.lit(False))
+    ask = (rest.filter("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+           .withColumn("asking", F.lit(True)))
+    met_again = (here.unionByName(ask).join(data, "node").repartition("bucket", "block")
+                 .sortWithinPartitions("bucket", "block", "asking"))
+    more = met_again.mapInArrow(lambda it: block_batches(it, similarity), "a long, b long")
+    labels = components(written(more.distinct(), "links"), labels)
 
     own = nodes.join(labels, "node", "left").select("words_key", F.coalesce("label", "node").alias("label"))
     return rows.join(own, "words_key").select("row", "doc_id", "text_key", "label")
