@@ -21,6 +21,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -33,7 +34,7 @@ from .common import running_total, whole_text, written
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CLOSING_ID = 1
 CAPACITY = 4096
-CACHED_WORDS = 900_000   # bound of a Python worker's cache, about 200 MB
+CACHED_WORDS = 500_000   # bound of a Python worker's cache, about 110 MB
 JOINED = 100
 GROUP_CHARS = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -104,10 +105,13 @@ def encoded(texts: list[str], path: str = TOKENIZER) -> list[bytes]:
     own to the tokenizer, and ASCII letters in the lower case it gives them.
     """
     t, known, odd = tokenizer(path), known_words(path), odd_words(path)
-    if len(known) > CACHED_WORDS:
+    if len(odd) > CACHED_WORDS:
         known.clear()
         odd.clear()
-        known[""] = b""
+    if len(known) > CACHED_WORDS:  # the half that came first goes
+        for word in list(islice(known, len(known) // 2)):
+            del known[word]
+    known[""] = b""
     split = [text.replace("\n", " ").split(" ") for text in texts]
     cores, others = {}, []
     for word in set().union(*split).difference(known):
