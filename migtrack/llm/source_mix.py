@@ -80,10 +80,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) ->
 def finish_times(max_repeat: int) -> Column:
     """(time, spread, reading) of each reading of a document; empty where nothing can be taken."""
     readings = F.sequence(F.lit(0), F.lit(max_repeat - 1))
+    target = F.when(F.col("target") > 0, F.col("target"))
     times = F.transform(readings, lambda e: F.struct(
-        ((e * F.col("source_size") + F.col("upto")) / F.col("target")).alias("time"),
+        ((e * F.col("source_size") + F.col("upto")) / target).alias("time"),
         F.col("spread").alias("spread"), e.alias("reading")))
-    return F.when((F.col("target") > 0) & (F.col("size") > 0), times).otherwise(F.slice(times, 1, 0))
+    return F.when(target.isNotNull() & (F.col("size") > 0), times).otherwise(F.slice(times, 1, 0))
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, share: float = 1.0) -> Plan:

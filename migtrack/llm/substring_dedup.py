@@ -57,7 +57,7 @@ def stretches(lists: list[list[bytes]], window: int = WINDOW, gram: int = GRAM):
     sizes = np.diff(ends, prepend=0)
     best = window_hashes(words, gram, 2)
     least, at = best.copy(), np.arange(len(best))
-    for j in range(1, window - gram + 1):  # leftmost smallest of the window's runs
+    for j in range(1, min(window - gram + 1, len(best))):  # leftmost smallest of the window's runs
         less = best[j:] < least[:len(best) - j]
         where = np.flatnonzero(less)
         least[where], at[where] = best[where + j], where + j
