@@ -1,11 +1,12 @@
 """Operator 8: near-duplicate classes by ProbMinHash, banding and verification.
 
-Each distinct text is a set of five-word shingles, weighted 1 + ln(count). Every
-shingle is a Poisson process whose rate is its weight: its points arrive at
-exponential gaps and each falls on one of ``M`` components of the signature,
+Each distinct text is a set of five-word shingles, all of weight 1, however often
+they repeat. Every shingle is a Poisson process whose rate is its weight: its points
+arrive at exponential gaps and each falls on one of ``M`` components of the signature,
 which keeps the shingle that arrives first. A shingle stops once its next point
 would come after every component's first arrival. Two signatures agree in a
-component with the probability Jaccard of the texts.
+component with the probability Jaccard of the texts, which for equal weights is the
+Jaccard similarity of the sets, the measure that decides on a link.
 
 Texts that agree in a band of ``ROWS`` components share a bucket. Its pivot is the
 text that meets most others in all its buckets, as an original does among its
@@ -90,8 +91,8 @@ def sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     turn = odd_numbers(ROWS, 1)
     for batch, texts in grouped(batches):
         lists = [words_of(t) for t in texts]
-        doc, h, count = shingle_sets(lists)
-        sig = signatures(doc, h, 1 + np.log(count), len(texts))
+        doc, h, _ = shingle_sets(lists)
+        sig = signatures(doc, h, np.ones(len(h)), len(texts))
         with np.errstate(over="ignore"):
             bands = mixed((sig.reshape(len(texts), BANDS, ROWS) * turn).sum(axis=2, dtype=np.uint64)
                           + np.arange(1, BANDS + 1, dtype=np.uint64) * GOLDEN)

@@ -55,6 +55,18 @@ def test_classes_equal_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def test_repeated_passages_do_not_hide_links(spark):
+    """Pairs with one set similarity (0.82) whose second text repeats a passage 1 to 40 times."""
+    texts = []
+    for k, times in enumerate([1, 5, 10, 20, 20, 20, 40, 40, 40]):
+        words, footer = [f"p{k}w{i}" for i in range(204)], [f"p{k}f{i}" for i in range(40)]
+        texts += [" ".join(words), " ".join(words + footer * times)]
+    got = N.classes(docs(spark, texts)).collect()
+    want = brute(texts, range(len(texts)))
+    assert {size for _, _, size in want} == {2}
+    assert sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == sorted(want)
+
+
 def test_links_that_miss_the_pivot_are_found(spark):
     """A bucket's first text is unlike the others, which are alike among themselves."""
     shared = [f"c{i}" for i in range(60)]
