@@ -1,16 +1,18 @@
 """Operator 7: personal data by patterns, and the terms that disclose it.
 
-DataFrame functions only. Base spans come from four patterns. Around each span
-the words of its line are its context. Over all documents, the pointwise mutual
-information of a protected value c and a context term t,
+DataFrame functions only. Base spans come from four patterns. The terms of every
+document that holds a value are the value's context: words with digits and inner
+punctuation, without what is in a base span. Over all documents, the pointwise
+mutual information of a protected value c and a context term t,
 
     PMI(c; t) = log2(p(c, t) / (p(c) p(t))),
 
 is at most the information -log2 p(c) of the value itself, and equals it when
-the term occurs only with the value. A term that occurs near the value in
+the term occurs only with the value. A term that occurs with the value in
 ``SUPPORT`` documents or more and gives away ``DISCLOSURE`` of its information or
-more is a span too: with all of it (``REMOVE``) it is removed from the text, with
-less it is generalised.
+more is a span too, wherever it stands in a document that holds the value: with all
+of it (``REMOVE``) it is removed from the text, with less it is generalised. Terms
+in more documents than can give away so much are not paired with a value at all.
 
 Matches are found with their gaps (extract and split by the same pattern) and
 placed by a running sum of lengths, in code points. The patterns are written so
@@ -25,6 +27,9 @@ columns are ignored, and kept by ``sanitised``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +37,7 @@ from .common import whole_text, written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 TERM_KIND = 4
-CONTEXT = 100        # code points on either side, cut at line breaks
+SHORTEST = 3         # code points of a term
 SUPPORT, DISCLOSURE, REMOVE = 3, 0.9, 1.0
 
 # The base patterns, without backtracking.
@@ -43,7 +48,7 @@ PATTERNS = [
     r"\+[0-9][\x20().0-9-]+[0-9]",
 ]
 IP_VALUE = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
-TERM = r"(?<!\S)\p{L}{3,}+(?=[.,;:!?]?(?:\s|$))"
+TERM = r"[\p{L}\p{M}\p{N}]++(?:['\u2019.&_-][\p{L}\p{M}\p{N}]++)*+"
 
 
 def digits(value: Column) -> Column:
@@ -76,84 +81,129 @@ def hits_of(kind: int) -> Column:
     gap = lambda i: F.element_at(f"g{kind}", i + 1)
     return F.transform(f"m{kind}", lambda m, i: F.struct(
         F.lit(kind).alias("kind"), i.alias("place"), F.length(gap(i)).alias("gap"), F.length(m).alias("len"),
-        valid(kind, m).alias("valid"), F.lower(m).alias("value"),
-        F.substring_index(F.substring(gap(i), -CONTEXT, CONTEXT), "\n", -1).alias("left"),
-        F.substring_index(F.substring(gap(i + 1), 1, CONTEXT), "\n", 1).alias("right")))
+        valid(kind, m).alias("valid"), F.lower(m).alias("value")))
+
+
+def readied(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """The documents' doc_id and text, and whether a text can have matches of each kind."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    rows = rows.withColumn("any_digit", F.col("text").rlike("[0-9]"))
+    return rows, [F.col("text").contains("@"), F.col("any_digit") & F.col("text").contains("."), F.col("any_digit"),
+                  F.col("text").contains("+")]
+
+
+def blanked(kind: int) -> Callable[[Column], Column]:
+    """Puts blanks, as many code points, in place of a valid match of a kind."""
+    return lambda m: F.when(valid(kind, m), F.repeat(F.lit(" "), F.length(m))).otherwise(m)
+
+
+def with_words(rows: DataFrame, may: list[Column]) -> DataFrame:
+    """Add ``words``: the text with blanks, as many code points, in place of its valid matches."""
+    rows = rows.withColumn("words", F.col("text"))
+    for k, p in enumerate(PATTERNS):
+        rows = rows.withColumn("found", F.when(may[k], F.regexp_extract_all("words", F.lit(p), F.lit(0)))
+                               .otherwise(F.array().cast("array<string>")))
+        parts = F.zip_with(F.split("words", p, -1), F.transform("found", blanked(k)),
+                           lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
+        rows = rows.withColumn("words", F.when(F.exists("found", partial(valid, k)), F.array_join(parts, ""))
+                               .otherwise(F.col("words"))).drop("found")
+    return rows
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """row, doc_id, hits of every document, written to the shared folder.
+    """row, doc_id, hits, words of every document, written to the shared folder.
 
     A hit has its kind, place among the matches of its kind, the length of the
-    gap before it, its own length, whether it is valid, and its value and context.
+    gap before it, its own length, whether it is valid, and its value. ``words``
+    is null for documents without a valid hit.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = rows.withColumn("any_digit", F.col("text").rlike("[0-9]"))
-    may = [F.col("text").contains("@"), F.col("any_digit") & F.col("text").contains("."), F.col("any_digit"),
-           F.col("text").contains("+")]
+    rows, may = readied(docs)
+    rows = with_words(rows, may)
     none = F.array().cast("array<string>")
     rows = rows.withColumns({f"m{k}": F.when(may[k], F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none)
                              for k, p in enumerate(PATTERNS)})
     rows = rows.withColumns({f"g{k}": F.when(F.size(f"m{k}") > 0, F.split("text", p, -1)).otherwise(none)
                              for k, p in enumerate(PATTERNS)})
     hits = [hits_of(k) for k in range(len(PATTERNS))]
-    found = rows.select("doc_id", F.concat(*hits).alias("hits"))
+    found = rows.select("doc_id", F.concat(*hits).alias("hits"), "words")
+    found = found.withColumn("words", F.when(F.exists("hits", lambda h: h["valid"]), F.col("words")))
     return written(found.withColumn("row", F.monotonically_increasing_id()), "hits")
 
 
 def base_spans(scan: DataFrame) -> DataFrame:
-    """row, kind, start, end, value, left, right of the valid hits."""
+    """row, kind, start, end, value of the valid hits."""
     hits = scan.select("row", F.explode("hits").alias("h")).select("row", "h.*")
     so_far = Window.partitionBy("row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = hits.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far).cast("int"))
     return placed.filter("valid").select("row", "kind", (F.col("end") - F.col("len")).alias("start"), "end",
-                                         F.concat_ws(":", "kind", "value").alias("value"), "left", "right")
+                                         F.concat_ws(":", "kind", "value").alias("value"))
 
 
 def context_terms(base: DataFrame) -> DataFrame:
-    """row, value, term, start, end: the whole words near each base span."""
-    # a context of full length may begin or end inside a word
-    left = F.when(F.length("left") < CONTEXT, F.col("left")).otherwise(F.regexp_replace("left", r"^\S*", ""))
-    right = F.when(F.length("right") < CONTEXT, F.col("right")).otherwise(F.regexp_replace("right", r"\S*$", ""))
-    sides = base.select("row", "value", F.explode(F.array(
-        F.struct(left.alias("text"), (F.col("start") - F.length(left)).alias("at")),
-        F.struct(right.alias("text"), F.col("end").alias("at")))).alias("s")).select("row", "value", "s.*")
-    sides = sides.withColumn("m", F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).withColumn("g", F.split("text", TERM, -1))
-    length = lambda parts: F.aggregate(parts, F.lit(0), lambda s, x: s + F.length(x))
-    terms = F.transform("m", lambda m, i: F.struct(
-        F.lower(m).alias("term"), (F.col("at") + length(F.slice("g", F.lit(1), i + 1)) + length(F.slice("m", F.lit(1), i))).alias("start"),
-        F.length(m).alias("len")))
-    return sides.select("row", "value", F.explode(terms).alias("t")).select(
-        "row", "value", "t.term", "t.start", (F.col("t.start") + F.col("t.len")).alias("end"))
+    """row, value: the documents whose terms are the context of a value."""
+    return base.select("row", "value").distinct()
+
+
+def terms_of(words: str) -> Column:
+    """The distinct terms of a text."""
+    found = F.transform(F.regexp_extract_all(words, F.lit(TERM), F.lit(0)), lambda m: F.lower(m))
+    return F.array_distinct(F.filter(found, lambda t: F.length(t) >= SHORTEST))
+
+
+def term_places(texts: DataFrame) -> DataFrame:
+    """row, term, start, end of every term of ``texts`` (row, words)."""
+    found = texts.select("row", F.regexp_extract_all("words", F.lit(TERM), F.lit(0)).alias("m"), F.split("words", TERM, -1).alias("g"))
+    one = found.select("row", F.explode(F.transform("m", lambda m, i: F.struct(
+        i.alias("place"), F.length(F.element_at("g", i + 1)).alias("gap"), F.length(m).alias("len"), F.lower(m).alias("term")))).alias("t"))
+    so_far = Window.partitionBy("row").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = one.select("row", "t.*").withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far).cast("int"))
+    return placed.select("row", "term", (F.col("end") - F.col("len")).alias("start"), "end")
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
     """term, n_term: in how many documents a term occurs, over all documents."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(whole_text()), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    rows = with_words(*readied(docs))
+    return rows.select(F.explode(terms_of("words")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
 
 
 def disclosing(docs: DataFrame, scan: DataFrame, base: DataFrame, near: DataFrame, support: int = SUPPORT,
                disclosure: float = DISCLOSURE) -> DataFrame:
     """value, term, disclosed: the terms that give away a protected value, and how much of it."""
-    pairs = near.select("row", "value", "term").distinct().groupBy("value", "term").agg(F.count("*").alias("n_both"))
-    pairs = pairs.filter(F.col("n_both") >= support)
-    values = base.select("row", "value").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
     total = F.lit(scan.count())
-    both = (pairs.join(values, "value").join(document_frequency(docs), "term")
-            .withColumn("information", F.log2(total / F.col("n_value")))
-            .withColumn("pmi", F.log2(F.col("n_both") * total / (F.col("n_value") * F.col("n_term")))))
-    return (both.filter("information > 0").withColumn("disclosed", F.col("pmi") / F.col("information"))
+    values = base.select("row", "value").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
+    values = values.withColumn("information", F.log2(total / F.col("n_value"))).filter(
+        (F.col("n_value") >= support) & (F.col("information") > 0))
+    # a term in more documents than this gives away less, even if it occurs in all of the value's
+    values = values.withColumn("most", F.col("n_value") * F.pow(total / F.col("n_value"), F.lit(1 - disclosure + 1e-6)))
+    held = near.join(values, "value")
+    terms = scan.filter("words IS NOT NULL").join(held.select("row").distinct(), "row", "left_semi").select(
+        "row", F.explode(terms_of("words")).alias("term"))
+    terms = terms.join(document_frequency(docs).filter(F.col("n_term") >= support), "term")
+    pairs = (terms.join(held, "row").filter(F.col("n_term") <= F.col("most"))
+             .groupBy("value", "term", "information", "n_value", "n_term").agg(F.count("*").alias("n_both")))
+    both = pairs.filter(F.col("n_both") >= support).withColumn(
+        "pmi", F.log2(F.col("n_both") * total / (F.col("n_value") * F.col("n_term"))))
+    return (both.withColumn("disclosed", F.col("pmi") / F.col("information"))
             .filter(F.col("disclosed") >= disclosure - 1e-9).select("value", "term", "disclosed"))
 
 
+def told_terms(scan: DataFrame, near: DataFrame, told: DataFrame) -> DataFrame:
+    """row, start, end, disclosed: every occurrence of a disclosing term in the documents that hold its value."""
+    texts = scan.filter("words IS NOT NULL").select("row", "words")
+    here = (texts.select("row", F.explode(terms_of("words")).alias("term")).join(told, "term").join(near, ["row", "value"])
+            .groupBy("row", "term").agg(F.max("disclosed").alias("disclosed")))
+    here = written(here, "here")
+    places = term_places(texts.join(here.select("row").distinct(), "row", "left_semi"))
+    return places.join(here, ["row", "term"]).select("row", "start", "end", "disclosed")
+
+
 def findings(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """row, doc_id, base, spans: arrays of (start, kind, end, disclosed), sorted; base spans disclose 1."""
     scan = scanned(docs)
     base = written(base_spans(scan), "base")
     near = written(context_terms(base), "near")
-    told = disclosing(docs, scan, base, near, support, disclosure)
-    terms = near.join(told, ["value", "term"]).groupBy("row", "start", "end").agg(F.max("disclosed").alias("disclosed"))
+    told = written(disclosing(docs, scan, base, near, support, disclosure), "told")
+    terms = told_terms(scan, near, told)
     span = lambda kind, much: F.struct("start", kind.alias("kind"), "end", much.alias("disclosed"))
     every = (base.select("row", span(F.col("kind"), F.lit(1.0)).alias("span"))
              .unionByName(terms.select("row", span(F.lit(TERM_KIND), F.col("disclosed")).alias("span"))))

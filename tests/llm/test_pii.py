@@ -59,6 +59,25 @@ def test_terms_that_occur_only_with_a_value_are_spans(spark):
     assert {r["spans"] for r in few[:2]} == {"email:19:28"}  # too few documents to tell
 
 
+def test_terms_of_the_whole_document_are_counted_and_marked(spark):
+    """Terms far from the value, on other lines, beside a number, quoted, with digits and inner punctuation."""
+    far = "the old mill near the river " * 8
+    text = ('"Zebulon" lives here\n' + far + "in 2012 mail zeb@x.org\n" + far + "(O'Quirke-Vane) has case K7/44-21, says Zebulon's Zebulon.\n")
+    shared = "the old mill near the river lives here mail has case says in 2012"
+    got = rows_of(P.digest(P.findings(docs(spark, [text] * 4 + [shared] * 60))), "doc_id")
+    want = [("email", m.start(), m.end()) for m in re.finditer("zeb@x.org", text)]
+    for word in (r"Zebulon(?!')", "Zebulon's", "O'Quirke-Vane", "44-21"):
+        want += [("term", m.start(), m.end()) for m in re.finditer(word, text)]
+    want = ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(want, key=lambda x: x[1]))
+    assert {r["spans"] for r in got[:4]} == {want} and {r["spans"] for r in got[4:]} == {""}
+
+
+def test_parts_of_a_value_are_no_terms(spark):
+    texts = ["write to <zeb.quirke@x.org>, or +1 (012) 555-0100, card 4111 1111 1111 1111."] * 4 + ["write to or card"] * 60
+    got = rows_of(P.digest(P.findings(docs(spark, texts))), "doc_id")
+    assert {",".join(s.split(":")[0] for s in r["spans"].split(",")) for r in got[:4]} == {"email,phone,card"}
+
+
 def test_disclosure_is_the_share_of_information(spark):
     texts = REVEALING + PLAIN + ["Zebulon was here"] * 2
     df = docs(spark, texts)
