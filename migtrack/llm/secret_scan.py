@@ -4,12 +4,15 @@ A scan of each text gives the parts of credentials: strong ones, which are
 findings by themselves, and weak candidates, which are not. Parts have a role:
 identifier, secret or endpoint. An interval join then looks, within a scope (a
 block of text between blank lines), for complementary parts at most ``REACH``
-code points from a weak candidate. A weak identifier needs a secret; a weak secret
-an identifier or an endpoint; an endpoint both an identifier and a secret.
+code points from a weak candidate that do not overlap it. A weak identifier needs a
+secret; a weak secret an identifier or an endpoint; an endpoint both an identifier
+and a secret. What looks like a secret inside an identifier or an endpoint (the path
+of a link) is none; the login of a link, before its @, is not part of the endpoint.
 
 The join never pairs parts: a scope is cut into cells as wide as the reach, each
-cell keeps per role the first start and the last end, and a candidate looks at
-the few cells within reach, which decides exactly whether any part is near.
+cell keeps per role the first and last of the starts and of the ends, and a candidate
+looks at the cells within reach before and after it, which decides exactly whether
+any part is near.
 
 Cases: null text counts as empty and has no spans; repeated rows and null doc_id
 are scanned one by one; a part may be as long as the text; an empty table gives
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,7 +49,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # whole runs of 24 or more
 WEAK_IDENTIFIER = re.compile(
     r"""(?ai:client[_-]?id|access[_-]?key[_-]?id|account[_-]?(?:id|name)|user(?:name|[_-]?id)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""")
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-LINK = re.compile(r"""(?ai:https?|ftp|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+""")
+LINK = re.compile(r"""(?ai:https?|ftp|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://([^\s"'<>/?#@]*@)?[^\s"'<>]+""")
 BREAK = re.compile(r"\n[ \t\r]*\n")
 
 PART = "array<struct<start:int,kind:int,end:int,scope:int>>"
@@ -76,6 +79,11 @@ def overlaps(union: tuple[list[int], list[int]], a: int, b: int) -> bool:
     return i > 0 and union[1][i - 1] > a
 
 
+def inside(union: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    i = bisect_right(union[0], a)  # the last span that starts at a or before
+    return i > 0 and union[1][i - 1] >= b
+
+
 def parts(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, scope) of the strong parts and the weak candidates of a text."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -83,11 +91,14 @@ def parts(text: str) -> list[tuple[int, int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     strong = sorted((s, e) for s, _, e in found)
-    weak = [(m.start(), 4, m.end()) for m in WEAK_SECRET.finditer(text) if random_looking(m[0])]
+    weak = []
     if ":" in text or "=" in text:
         weak += [(m.start(), 3, m.end()) for m in WEAK_IDENTIFIER.finditer(text)]
     if "://" in text:
-        weak += [(m.start(), 5, m.end()) for m in LINK.finditer(text)]
+        weak += [(max(m.start(), m.end(1)), 5, m.end()) for m in LINK.finditer(text)]
+    taken = spans_union(sorted((s, e) for s, _, e in weak))
+    weak += [(m.start(), 4, m.end()) for m in WEAK_SECRET.finditer(text)
+             if random_looking(m[0]) and not inside(taken, m.start(), m.end())]
     covered = spans_union(strong)
     found += [p for p in weak if not overlaps(covered, p[0], p[2])]  # what a strong part covers is no candidate
     if not found:
@@ -122,13 +133,17 @@ def linked(scan: DataFrame, reach: int = REACH) -> DataFrame:
              .select("row", F.explode("parts").alias("p")).select("row", "p.*")
              .withColumn("role", F.element_at(roles, F.col("kind") + 1)))
     cell = lambda c: F.floor(c / reach).cast("int")
-    cells = (parts.withColumn("cell", F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))))
-             .groupBy("row", "scope", "cell", "role").agg(F.min("start").alias("first"), F.max("end").alias("last")))
-    weak = parts.filter(F.col("kind") >= STRONG).withColumn(
-        "cell", F.explode(F.sequence(cell(F.greatest(F.col("start") - reach, F.lit(0))), cell(F.col("end") + reach))))
-    near = (weak.join(cells.withColumnRenamed("role", "other"), ["row", "scope", "cell"])
-            .filter((F.col("role") != F.col("other")) & (F.col("first") <= F.col("end") + reach)
-                    & (F.col("last") >= F.col("start") - reach)))
+    place = lambda c, side: F.struct(cell(F.col(c)).alias("cell"), F.lit(side).alias("side"), F.col(c).alias("at"))
+    cells = (parts.select("row", "scope", "role", F.explode(F.array(place("end", "before"), place("start", "after"))).alias("c"))
+             .groupBy("row", "scope", "c.cell", "c.side", "role").agg(F.min("c.at").alias("first"), F.max("c.at").alias("last")))
+    # ends in the reach before a candidate, starts in the reach after it: no part that overlaps it
+    look = lambda side, low, high: F.struct(F.lit(side).alias("side"), low.alias("low"), high.alias("high"))
+    weak = parts.filter(F.col("kind") >= STRONG).withColumn("l", F.explode(F.array(
+        look("before", F.greatest(F.col("start") - reach, F.lit(0)), F.col("start")),
+        look("after", F.col("end"), F.col("end") + reach)))).select("row", "scope", "start", "kind", "end", "role", "l.*")
+    weak = weak.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
+    near = (weak.join(cells.withColumnRenamed("role", "other"), ["row", "scope", "side", "cell"])
+            .filter((F.col("role") != F.col("other")) & (F.col("first") <= F.col("high")) & (F.col("last") >= F.col("low"))))
     has = lambda role: F.max(F.col("other") == role)
     near = near.groupBy("row", "start", "kind", "end", "role").agg(
         has(IDENTIFIER).alias("i"), has(SECRET).alias("s"), has(ENDPOINT).alias("e"))

@@ -67,6 +67,22 @@ def test_linking_equals_brute_force(spark):
         assert spans == links(text), text
 
 
+WIKI = "https://en.wikipedia.org/wiki/2012_Summer_Olympics_Opening"
+
+
+def test_parts_that_overlap_are_no_complements(spark):
+    """Links and single assignments in clean text are no credentials; a login in a link is one."""
+    login = f"postgres://admin:{SECRET}@db.example/x"
+    texts = [f"see {WIKI} for more", "login=Abcdef1234567890abcdE", f"login: alice\nsee {WIKI}", f"user: bob, {WIKI} {WIKI}",
+             f"login=Abcdef1234567890abcdE {SECRET}", login, f"login: alice {login}", f"{SECRET} {WIKI}"]
+    got = [r["spans"] for r in scan(spark, texts)]
+    assert got[:4] == [""] * 4
+    assert got[4] == f"identifier:0:27,weak_secret:28:{28 + len(SECRET)}"
+    assert got[5] == f"weak_secret:17:{17 + len(SECRET)}"
+    assert [s.split(":")[0] for s in got[6].split(",")] == ["identifier", "weak_secret", "endpoint"]
+    assert got[7] == f"weak_secret:0:{len(SECRET)}"
+
+
 def test_empty_and_repeated(spark):
     assert scan(spark, []) == []
     got = scan(spark, [f"login: alice {SECRET}"] * 3, ids=[None, None, 1])
