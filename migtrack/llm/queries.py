@@ -15,7 +15,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.findings(table(spark, sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.findings(table(spark, sf_dir, "documents"), reach=None))
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

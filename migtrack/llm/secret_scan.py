@@ -3,13 +3,14 @@
 A scan of each text gives the parts of credentials: strong ones, which are
 findings by themselves, and weak candidates, which are not. Parts have a role:
 identifier, secret or endpoint. An interval join then looks, within a scope (a
-block of text between blank lines), for complementary parts at most ``REACH``
-code points from a weak candidate that do not overlap it. A weak identifier needs a
+block of text between blank lines), for complementary parts of a weak candidate that
+do not overlap it: anywhere in the scope with a ``reach`` of None, as the registered
+query has it, else at most so many code points away. A weak identifier needs a
 secret; a weak secret an identifier or an endpoint; an endpoint both an identifier
 and a secret. What looks like a secret inside an identifier or an endpoint (the path
 of a link) is none; the login of a link, before its @, is not part of the endpoint.
 
-The join never pairs parts: a scope is cut into cells as wide as the reach, each
+The join never pairs parts: a scope is one cell or cut into cells as wide as the reach, each
 cell keeps per role the first and last of the starts and of the ends, and a candidate
 looks at the cells within reach before and after it, which decides exactly whether
 any part is near.
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import whole_text, written
 
 REACH = 400
+END = 1 << 31         # beyond the end of any text
 ENTROPY = 3.5
 # Strong kinds first, in the order in which spans with one start are listed.
 KINDS = ["assign", "access", "hex", "identifier", "weak_secret", "endpoint"]
@@ -126,21 +128,22 @@ def scanned(docs: DataFrame) -> DataFrame:
     return written(found.withColumn("row", F.monotonically_increasing_id()), "parts")
 
 
-def linked(scan: DataFrame, reach: int = REACH) -> DataFrame:
+def linked(scan: DataFrame, reach: int | None = REACH) -> DataFrame:
     """row, spans: the weak candidates that have their complement near."""
     roles = F.array(*(F.lit(r) for r in ROLES))
     parts = (scan.filter(F.exists("parts", lambda p: p["kind"] >= STRONG))
              .select("row", F.explode("parts").alias("p")).select("row", "p.*")
              .withColumn("role", F.element_at(roles, F.col("kind") + 1)))
-    cell = lambda c: F.floor(c / reach).cast("int")
+    cell = lambda c: F.lit(0) if reach is None else F.floor(c / reach).cast("int")
+    away = END if reach is None else reach
     place = lambda c, side: F.struct(cell(F.col(c)).alias("cell"), F.lit(side).alias("side"), F.col(c).alias("at"))
     cells = (parts.select("row", "scope", "role", F.explode(F.array(place("end", "before"), place("start", "after"))).alias("c"))
              .groupBy("row", "scope", "c.cell", "c.side", "role").agg(F.min("c.at").alias("first"), F.max("c.at").alias("last")))
     # ends in the reach before a candidate, starts in the reach after it: no part that overlaps it
     look = lambda side, low, high: F.struct(F.lit(side).alias("side"), low.alias("low"), high.alias("high"))
     weak = parts.filter(F.col("kind") >= STRONG).withColumn("l", F.explode(F.array(
-        look("before", F.greatest(F.col("start") - reach, F.lit(0)), F.col("start")),
-        look("after", F.col("end"), F.col("end") + reach)))).select("row", "scope", "start", "kind", "end", "role", "l.*")
+        look("before", F.greatest(F.col("start") - away, F.lit(0)).cast("long"), F.col("start").cast("long")),
+        look("after", F.col("end").cast("long"), F.col("end").cast("long") + away)))).select("row", "scope", "start", "kind", "end", "role", "l.*")
     weak = weak.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
     near = (weak.join(cells.withColumnRenamed("role", "other"), ["row", "scope", "side", "cell"])
             .filter((F.col("role") != F.col("other")) & (F.col("first") <= F.col("high")) & (F.col("last") >= F.col("low"))))
@@ -152,7 +155,7 @@ def linked(scan: DataFrame, reach: int = REACH) -> DataFrame:
     return kept.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("links"))
 
 
-def findings(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def findings(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
     """doc_id, base, spans: arrays of (start, kind, end), kinds as numbered in ``KINDS``, sorted."""
     scan = scanned(docs)
     plain = F.transform(F.filter("parts", lambda p: p["kind"] < STRONG),

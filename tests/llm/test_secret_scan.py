@@ -4,6 +4,7 @@ import re
 
 from helpers import awkward, docs, rows_of
 
+from migtrack.llm import queries as Q
 from migtrack.llm import secret_scan as S
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -83,6 +84,27 @@ def test_parts_that_overlap_are_no_complements(spark):
     assert got[7] == f"weak_secret:0:{len(SECRET)}"
 
 
+def test_query_links_across_whole_scopes(spark, tmp_dir):
+    """Parts of one scope belong together at any distance; those of two scopes do not."""
+    far = "z " * 5000
+    texts = [f"login: alice {far}{SECRET}", f"{WIKI} {far}{SECRET}{far} login: bob", f"login: alice {far}\n\n{SECRET}",
+             f"login: alice {far}login: bob"]
+    docs(spark, texts).write.parquet(f"{tmp_dir}/documents.parquet")
+    got = rows_of(Q.op2_secret_scan(spark, tmp_dir), "doc_id")
+    kinds = [[s.split(":")[0] for s in r["spans"].split(",") if s] for r in got]
+    assert kinds == [["identifier", "weak_secret"], ["endpoint", "weak_secret", "identifier"], [], []]
+
+
+def test_whole_scopes_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    parts = ["login: alice ", SECRET + " ", "https://h.example/x ", "z " * 300, "\n\n", "token=abcdef1 "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    got = rows_of(S.digest(S.findings(docs(spark, texts), reach=None)), "doc_id")
+    monkeypatch.setattr(S, "REACH", 10**9)
+    for text, r in zip(texts, got, strict=True):
+        assert {s for s in r["spans"].split(",") if s and s.split(":")[0] in S.KINDS[S.STRONG:]} == links(text), text
+
+
 def test_empty_and_repeated(spark):
     assert scan(spark, []) == []
     got = scan(spark, [f"login: alice {SECRET}"] * 3, ids=[None, None, 1])
