@@ -106,13 +106,25 @@ def sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "text_key", "words_key", "marks", "bands"])
 
 
+def first_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows without those of a repeated node that the task has seen."""
+    seen = set()
+    for batch in batches:
+        keep = []
+        for node, repeated in zip(batch.column("node").to_pylist(), batch.column("repeated").to_pylist(), strict=True):
+            keep.append(not repeated or node not in seen)
+            if repeated:
+                seen.add(node)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in grouped(batches):
+    for batch, texts in grouped(first_batches(batches)):
         doc, h, _ = shingle_sets([words_of(t) for t in texts])
         cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
         yield pa.RecordBatch.from_arrays([
-            batch.column("node"), batch.column("marks"),
-            pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["node", "marks", "shingles"])
+            batch.column("node"), batch.column("repeated"), batch.column("marks"),
+            pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["node", "repeated", "marks", "shingles"])
 
 
 def likely_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -184,6 +196,12 @@ def verified(pairs: DataFrame, data: DataFrame, similarity: float) -> DataFrame:
     return whole.mapInArrow(lambda it: similar_batches(it, similarity), "a long, b long")
 
 
+def one_per_node(data: DataFrame) -> DataFrame:
+    """node, marks, shingles: one row per node."""
+    repeated = written(data.filter("repeated").dropDuplicates(["node"]), "repeated")
+    return data.filter("NOT repeated").unionByName(repeated).select("node", "marks", "shingles")
+
+
 def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """row, doc_id, text_key, label: rows with one label are one class."""
     rows = signed(docs)
@@ -203,10 +221,14 @@ def labelled(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     met = members.select("node").distinct()
     wanted = rows.join(met, rows["row"] == met["node"]).select(
         F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text_key", "node", "marks")
+    # rows that repeat in doc_id and text are one node: one row of each task is kept, then one of all
+    again = rows.groupBy(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text_key").agg(F.count("*").alias("alike")).filter("alike > 1")
+    wanted = wanted.join(again, ["id", "text_key"], "left").withColumn("repeated", F.col("alike").isNotNull())
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"),
                         F.xxhash64(whole_text()).alias("text_key"), whole_text().alias("text"))
-    data = written(texts.join(wanted, ["id", "text_key"]).select("node", "marks", "text")
-                   .mapInArrow(set_batches, "node long, marks binary, shingles binary"), "shingles")
+    data = written(texts.join(wanted, ["id", "text_key"]).select("node", "repeated", "marks", "text")
+                   .mapInArrow(set_batches, "node long, repeated boolean, marks binary, shingles binary"), "shingles")
+    data = one_per_node(data)
 
     stars = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     labels = written(met.select("node", F.col("node").alias("label")), "labels")

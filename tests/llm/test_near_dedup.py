@@ -67,6 +67,19 @@ def test_repeated_passages_do_not_hide_links(spark):
     assert sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == sorted(want)
 
 
+def test_repeated_rows_are_one_node(spark, monkeypatch):
+    """Hundreds of rows with one text and no doc_id, and a near copy: no pair is made from each of them."""
+    texts, ids = [PROSE * 3] * 300 + [PROSE * 3 + " end"] * 200 + ["x y z"], [None] * 300 + [7] * 200 + [8]
+    seen, verified = [], N.verified
+    monkeypatch.setattr(N, "verified", lambda pairs, data, least: seen.extend([data, out := verified(pairs, data, least)]) or out)
+    got = N.classes(docs(spark, texts, ids=ids)).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in got), key=str) == sorted(
+        [(None, 7, 500)] * 300 + [(7, 7, 500)] * 200 + [(8, 8, 1)], key=str)
+    assert sum(r["kept"] for r in got) == 2
+    data, pairs = seen
+    assert data.count() == data.select("node").distinct().count() == 2 and pairs.count() == 1
+
+
 def test_links_that_miss_the_pivot_are_found(spark):
     """A bucket's first text is unlike the others, which are alike among themselves."""
     shared = [f"c{i}" for i in range(60)]
