@@ -71,3 +71,21 @@ def running_total(df: DataFrame, group: str, order: list[str], spread: str, valu
     df = df.withColumn(out, F.sum(value).over(inside))
     df = df.join(totals, (F.col(group) == F.col("__g")) & (F.col(b) == F.col("__b")))
     return df.withColumn(out, F.col(out) + F.col("__before")).drop("__g", "__b", "__before", b)
+
+
+HOT_PARTS = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, n: str, total: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row per ``key`` and, in ``n``, how many of ``rows`` hold it.
+
+    A key may hold a third of all rows. Keys above 1 / ``HOT_PARTS`` of them are
+    fewer than ``HOT_PARTS``, whatever the input, and are broadcast; the others
+    meet in a shuffle in which none holds more. ``total``: the sum of ``n``, if known.
+    Both frames are read more than once, so they should be written ones.
+    """
+    if total is None:
+        total = table.agg(F.coalesce(F.sum(n), F.lit(0)).alias("t")).first()["t"]
+    hot = F.broadcast(table.filter(F.col(n) > total / HOT_PARTS))
+    return rows.join(hot, key).unionByName(
+        rows.join(hot.select(key), key, "left_anti").join(table.filter(F.col(n) <= total / HOT_PARTS), key))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lookup, written
 
 
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     step. Every round is written, and only the number of changes reaches the
     driver. A label that many nodes share is met through partial minima.
     """
-    names = ["label", "to"]
+    names, total = ["label", "to"], labels.count()
     while True:
         at = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias("l" + name))
         across = edges.join(at("a"), "a").join(at("b"), "b").filter("la <> lb").select("la", "lb")
@@ -27,4 +27,7 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
         jump = moves.alias("m").join(moves.select(F.col("label").alias("to"), F.col("to").alias("next")), "to", "left")
         jump = jump.select("label", F.coalesce("next", "to").alias("to"))
-        labels = written(labels.join(jump, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        # every label with its number of nodes, as one may come to hold a large share of them
+        held = labels.groupBy("label").agg(F.count("*").alias("n")).join(jump, "label", "left")
+        held = written(held.select("label", "n", F.coalesce("to", "label").alias("to")), "jumps")
+        labels = written(lookup(labels, held, "label", "n", total).select("node", F.col("to").alias("label")), "labels")
