@@ -139,10 +139,9 @@ def extract(spark: SparkSession, store: Store, folder: str) -> dict:
     if C.flagged(tracking).isEmpty():  # limit(1): stops at the first flagged row
         return {"exported": 0, "replaced": 0, "skipped": 0}
     rows = C.export_rows(tracking)
-    obs = Observation("export")
-    SK.export_scripts(rows, folder, counts=obs)
+    exported = SK.export_scripts(rows, folder)
     lost = C.export_collisions(rows).agg(F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0))).first()[0]
-    return {"exported": obs.get["n"], "replaced": lost, "skipped": C.export_skipped(tracking).count()}
+    return {"exported": exported, "replaced": lost, "skipped": C.export_skipped(tracking).count()}
 
 
 def process(scripts: DataFrame, source_schema: str, target_schema: str) -> DataFrame:
@@ -172,10 +171,8 @@ def publish_passed(spark: SparkSession, store: Store, processed: DataFrame, fold
     log = store.read_log(spark)
     if log is None or Q.passed(log).isEmpty():
         return {"published": 0, "missing": 0}
-    obs = Observation("publish")
-    found = Q.publish_found(log, processed).observe(obs, F.count(F.lit(1)).alias("n"))
-    SK.publish(found, folder)
-    return {"published": obs.get["n"], "missing": Q.publish_missing(log, processed).count()}
+    published = SK.publish(Q.publish_found(log, processed), folder)
+    return {"published": published, "missing": Q.publish_missing(log, processed).count()}
 
 
 def dashboard(log: DataFrame, facets: dict | None = None) -> dict[str, DataFrame]:

@@ -201,7 +201,6 @@ def _read_back(spark, frame: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(out)
 
 
-_WITH_BREAK = "CASE WHEN {c} LIKE '%' || chr(10) THEN {c} ELSE {c} || chr(10) END"
 _EXPORT_LAST_SQL = f"""SELECT file_name, body FROM (
     SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY procedure_name DESC) AS rn
     FROM ({_EXPORT_SQL.replace("FROM tracking", "FROM {rows}")})) WHERE rn = 1"""
@@ -225,8 +224,8 @@ def export_collisions(spark, sf_dir):
     return C.export_collisions(C.export_rows(_load(spark, sf_dir, "colliding")))
 
 
-@query("script_files", ("scripts",), f"""
-SELECT 'processed_' || file_name AS file_name, {_WITH_BREAK.format(c="text")} AS text FROM scripts""")
+@query("script_files", ("scripts",), """
+SELECT 'processed_' || file_name AS file_name, text FROM scripts""")
 def script_files(spark, sf_dir):
     """B3, then A4 over the files, which hold byte order marks and other line breaks."""
     s = _load(spark, sf_dir, "scripts")
@@ -239,7 +238,7 @@ def script_files(spark, sf_dir):
 
 
 @query("published_files", ("test_log", "scripts"), f"""
-SELECT target_file AS file_name, {_WITH_BREAK.format(c="text")} AS text FROM ({_PUBLISH_FOUND_SQL.format(scripts="scripts")})""")
+SELECT target_file AS file_name, text FROM ({_PUBLISH_FOUND_SQL.format(scripts="scripts")})""")
 def published_files(spark, sf_dir):
     """A second publication wipes the first."""
     log, s = _load(spark, sf_dir, "test_log", "scripts")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from ..functions import patterns as P
-from ..functions.text import trim_final_break
 from ..operators.catalog import first_by, one_per_file
+from .script_files import read_files, write_files  # noqa: F401 - read_files is part of this module
 
 
 def _fs(spark: SparkSession, path: str):
@@ -165,49 +165,27 @@ def read_snapshot(spark: SparkSession, base: str, schema: T_.StructType,
 
 # --- file exports ------------------------------------------------------------------------
 
-def _write_files(rows: DataFrame, folder: str, wipe: bool) -> None:
-    """One text file per row of (file_name, value) under ``folder/file_name=<name>/``."""
-    (rows.repartition("file_name").write.mode("overwrite").partitionBy("file_name")
-     .option("partitionOverwriteMode", "static" if wipe else "dynamic").text(folder))
-
-
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_name, text) of a folder written by one of the file sinks below."""
-    df = spark.read.text(folder, wholetext=True)
-    return df.select(F.col("file_name").cast("string"), F.col("value").alias("text"))
-
-
 def export_scripts(rows: DataFrame, folder: str, name_col: str = "file_name",
-                   body_col: str = "body", order_col: str = "procedure_name",
-                   counts: Observation | None = None) -> None:
-    """B2: one text file per name; files of the same name are replaced, all others stay.
-
-    ``body`` already ends with a newline and the text sink adds one per row,
-    so one is dropped here. Of rows that share a name the last in ``order_col``
-    is written, as it would have overwritten the others. ``counts`` gets the
-    number of files as ``n``.
-    """
-    named = rows.select(F.col(name_col).alias("file_name"), F.col(order_col).alias("order"),
-                        trim_final_break(body_col).alias("value"))
-    files = one_per_file(named, order="order").select("file_name", "value")
-    if counts is not None:
-        files = files.observe(counts, F.count(F.lit(1)).alias("n"))
-    _write_files(files, folder, wipe=False)
+                   body_col: str = "body", order_col: str = "procedure_name") -> int:
+    """B2: one file per name, ``body`` as it stands; files of the same name are replaced, all others stay.
 
+    Of rows that share a name the last in ``order_col`` is written, as it would have
+    overwritten the others. Returns the number of files.
+    """
+    named = rows.select(F.col(name_col).alias("file_name"), F.col(order_col).alias("order"), F.col(body_col).alias("text"))
+    return write_files(one_per_file(named.where("text IS NOT NULL"), order="order"), folder)
 
-def write_processed(scripts: DataFrame, folder: str, prefix: bool = True, order_col: str | None = None) -> None:
-    """Cleaned scripts as ``processed_<name>``; other files of the folder stay.
 
-    The text sink ends every file with a newline; one final newline of the text
-    is dropped first, so only a text without one gains it. Of scripts that share a
-    name the last in ``order_col`` (the text, without one) is written.
+def write_processed(scripts: DataFrame, folder: str, prefix: bool = True, order_col: str | None = None) -> int:
+    """Cleaned scripts as ``processed_<name>``, byte for byte; other files of the folder stay.
 
-    ``prefix=False`` when the names already carry it (output of ``flows.process``).
+    Of scripts that share a name the last in ``order_col`` (the text's hash, without one) is written.
+    ``prefix=False`` when the names already carry it (output of ``flows.process``). Returns the number of files.
     """
     name = F.concat(F.lit(P.PROCESSED_PREFIX), F.col("file_name")) if prefix else F.col("file_name")
     order = F.col(order_col) if order_col else F.xxhash64("text")
-    named = scripts.select(name.alias("file_name"), order.alias("order"), trim_final_break("text").alias("value"))
-    _write_files(one_per_file(named, order="order").select("file_name", "value"), folder, wipe=False)
+    named = scripts.select(name.alias("file_name"), order.alias("order"), "text")
+    return write_files(one_per_file(named.where("text IS NOT NULL"), order="order"), folder)
 
 
 def write_corpus(scripts: DataFrame, path: str) -> None:
@@ -215,14 +193,9 @@ def write_corpus(scripts: DataFrame, path: str) -> None:
     scripts.write.mode("overwrite").parquet(path)
 
 
-def publish(found: DataFrame, folder: str) -> None:
-    """Wipe the target and write ``deployed_<proc>.sql`` for every found script.
-
-    A script read from a file that ends with a newline is written back byte for
-    byte (the text sink adds the newline that is dropped here).
-    """
-    _write_files(found.select(F.col("target_file").alias("file_name"), trim_final_break("text").alias("value")),
-                 folder, wipe=True)
+def publish(found: DataFrame, folder: str) -> int:
+    """Wipe the target and write ``deployed_<proc>.sql`` for every found script, byte for byte; the number of files."""
+    return write_files(found.select(F.col("target_file").alias("file_name"), "text"), folder, wipe=True)
 
 
 def cached(spark: SparkSession, path: str, build) -> DataFrame:

@@ -45,12 +45,10 @@ def test_export_then_read_back(spark, tmp_dir):
     tracking = FX.load(spark, SF_SMALL, "tracking")
     rows = C.export_rows(tracking)
     SK.export_scripts(rows, tmp_dir + "/out")
-    back = SF.read_scripts(spark, tmp_dir + "/out", glob="*.txt")
-    by_dir = (spark.read.text(tmp_dir + "/out", wholetext=True)
-              .select("file_name", F.col("value").alias("text")))
     want = sorted((r.file_name, r.body) for r in rows.collect())
-    got = sorted((r.file_name, r.text) for r in by_dir.collect())
-    assert got == want and back.count() == len(want)
+    assert sorted((r.file_name, r.text) for r in SF.read_scripts(spark, tmp_dir + "/out").collect()) == want
+    assert sorted(map(tuple, SK.read_files(spark, tmp_dir + "/out").collect())) == want
+    assert sorted(os.listdir(tmp_dir + "/out")) == [name for name, _ in want]
 
 
 def test_read_log_lines_numbers_in_file_order(spark, tmp_dir):
@@ -92,7 +90,7 @@ def test_flows_end_to_end(spark, tmp_dir):
     assert deployed > 0
     pub = flows.publish_passed(spark, store, spark.read.parquet(tmp_dir + "/processed"), tmp_dir + "/pub")
     assert pub["published"] > 0
-    assert len(glob.glob(tmp_dir + "/pub/file_name=deployed_*")) == pub["published"]
+    assert len(glob.glob(tmp_dir + "/pub/deployed_*.sql")) == pub["published"]
 
 
 def test_entry_smoke(spark):

@@ -43,10 +43,10 @@ def test_processed_files_stay_and_published_ones_are_wiped(spark, tmp_dir):
     kind = "file_name string, text string"
     for name in ("a.sql", "b.sql"):
         SK.write_processed(spark.createDataFrame([(name, name)], kind), tmp_dir + "/p")
-    assert files_in(spark, tmp_dir + "/p") == {"processed_a.sql": "a.sql\n", "processed_b.sql": "b.sql\n"}
+    assert files_in(spark, tmp_dir + "/p") == {"processed_a.sql": "a.sql", "processed_b.sql": "b.sql"}
     for name in ("a.sql", "b.sql"):
         SK.publish(spark.createDataFrame([(name, name)], "target_file string, text string"), tmp_dir + "/d")
-    assert files_in(spark, tmp_dir + "/d") == {"b.sql": "b.sql\n"}
+    assert files_in(spark, tmp_dir + "/d") == {"b.sql": "b.sql"}
 
 
 @pytest.mark.parametrize("buckets", [None, 4])

@@ -1,0 +1,98 @@
+"""The file sink: real names, exact bytes, all files or none, repeatable moves."""
+
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from migtrack.sources import script_files as S
+
+KIND = "file_name string, text string"
+
+
+def contents(folder):
+    out = {}
+    for name in os.listdir(folder):
+        with open(f"{folder}/{name}", "rb") as f:
+            out[name] = f.read()
+    return out
+
+
+def staged(tmp_dir):
+    return [n for n in os.listdir(tmp_dir) if S.STAGING in n]
+
+
+AWKWARD = {"a.sql": "no final break", "_hidden.sql": "x\n", ".dot.sql": "", "sp ace%20é.sql": "﻿é\r\nb\r\n\n", "한.sql": "\x00\x85 ",
+           "file_name=x": "eq", "long.sql": "y" * 3_000_000}
+
+
+def test_names_and_bytes(spark, tmp_dir):
+    rows = spark.createDataFrame(list(AWKWARD.items()) + [(None, "no name"), ("no text.sql", None)], KIND).repartition(3)
+    rows = rows.select("text", F.lit(1).alias("extra"), "file_name")
+    assert S.write_files(rows, tmp_dir + "/out") == len(AWKWARD)
+    assert contents(tmp_dir + "/out") == {n: t.encode() for n, t in AWKWARD.items()}
+    assert {r.file_name: r.text for r in S.read_files(spark, tmp_dir + "/out").collect()} == AWKWARD
+    assert staged(tmp_dir) == []
+
+
+def test_files_stay_or_are_wiped_and_are_replaced(spark, tmp_dir):
+    one = lambda **files: spark.createDataFrame(list(files.items()), KIND)
+    S.write_files(one(a="1", b="1"), "file:" + tmp_dir + "/o")
+    S.write_files(one(b="2", c="2"), tmp_dir + "/o/")
+    assert contents(tmp_dir + "/o") == {"a": b"1", "b": b"2", "c": b"2"}
+    S.write_files(one(d="3"), tmp_dir + "/o", wipe=True)
+    assert contents(tmp_dir + "/o") == {"d": b"3"}
+    S.write_files(one(d="3").where("false"), tmp_dir + "/o")
+    assert contents(tmp_dir + "/o") == {"d": b"3"}
+    assert S.write_files(one(d="3").where("false"), tmp_dir + "/o", wipe=True) == 0
+    assert contents(tmp_dir + "/o") == {} and S.read_files(spark, tmp_dir + "/o").count() == 0
+    assert S.read_files(spark, tmp_dir + "/none").count() == 0
+
+
+@pytest.mark.parametrize("name", ["../up.sql", "a/b.sql", "", ".."])
+def test_a_failed_task_leaves_nothing(spark, tmp_dir, name):
+    S.write_files(spark.createDataFrame([("old.sql", "old")], KIND), tmp_dir + "/o")
+    rows = [(f"f{i}.sql", "t") for i in range(50)] + [(name, "bad")]
+    with pytest.raises(Exception, match="name of a file"):
+        S.write_files(spark.createDataFrame(rows, KIND).repartition(4), tmp_dir + "/o", wipe=True)
+    assert contents(tmp_dir + "/o") == {"old.sql": b"old"} and staged(tmp_dir) == []
+    assert sorted(os.listdir(tmp_dir)) == ["o"]
+
+
+def leave(tmp_dir, files, decided, wipe=True, moved=()):
+    """What a driver leaves that dies before or after the decision."""
+    at = f"{tmp_dir}/o{S.STAGING}1"
+    os.makedirs(at + "/part-1")
+    for name in files:
+        if name not in moved:
+            with open(f"{at}/part-1/{name}", "w") as f:
+                f.write("new")
+    if decided:
+        with open(f"{at}/{S.COMMIT}", "w") as f:
+            json.dump({"wipe": wipe, "parts": [["part-1", len(files)]]}, f)
+
+
+def test_a_dead_drivers_write_is_finished_or_removed(spark, tmp_dir):
+    S.write_files(spark.createDataFrame([("old", "old"), ("x", "old")], KIND), tmp_dir + "/o")
+    leave(tmp_dir, ["x", "y"], decided=False)
+    assert S.recover(spark, tmp_dir + "/o") == [False]
+    assert contents(tmp_dir + "/o") == {"old": b"old", "x": b"old"} and staged(tmp_dir) == []
+    leave(tmp_dir, ["x", "y"], decided=True, wipe=False)
+    assert S.recover(spark, tmp_dir + "/o") == [True]
+    assert contents(tmp_dir + "/o") == {"old": b"old", "x": b"new", "y": b"new"} and staged(tmp_dir) == []
+    # died between two moves, after the wipe: what has been moved stays
+    S.write_files(spark.createDataFrame([("x", "new")], KIND), tmp_dir + "/o", wipe=True)
+    leave(tmp_dir, ["x", "y"], decided=True, moved=["x"])
+    with open(f"{tmp_dir}/o{S.STAGING}1/{S.WIPED}", "w"):
+        pass
+    assert S.recover(spark, tmp_dir + "/o") == [True]
+    assert contents(tmp_dir + "/o") == {"x": b"new", "y": b"new"} and S.recover(spark, tmp_dir + "/o") == []
+
+
+def test_a_hundred_thousand_files(spark, tmp_dir):
+    rows = spark.range(100_000).select(F.format_string("f%06d.sql", "id").alias("file_name"), F.concat(F.lit("text "), "id").alias("text"))
+    assert S.write_files(rows, tmp_dir + "/many") == 100_000
+    back = S.read_files(spark, tmp_dir + "/many")
+    assert back.rdd.getNumPartitions() > 5
+    assert back.join(rows, ["file_name", "text"]).count() == 100_000

@@ -43,9 +43,11 @@ def test_cached_builds_once(spark, tmp_dir):
 def test_write_processed_names_and_text(spark, tmp_dir):
     df = spark.createDataFrame([("a.sql", "x\ny"), ("b.sql", "")], "file_name string, text string")
     SK.write_processed(df, tmp_dir + "/p")
-    back = spark.read.text(tmp_dir + "/p", wholetext=True).select("file_name", "value").collect()
-    assert sorted((r.file_name, r.value) for r in back) == [("processed_a.sql", "x\ny\n"),
-                                                            ("processed_b.sql", "\n")]
+    got = {}
+    for name in os.listdir(tmp_dir + "/p"):
+        with open(f"{tmp_dir}/p/{name}", newline="") as f:
+            got[name] = f.read()
+    assert got == {"processed_a.sql": "x\ny", "processed_b.sql": ""}
 
 
 def test_apply_edits_last_wins(spark):
@@ -124,5 +126,6 @@ def test_publish_round_trip_is_byte_exact(spark, tmp_dir):
     log = spark.createDataFrame([(1, "1", "test_procedure_execution", "p", dt.datetime(2024, 1, 1),
                                   "✅ Success", "-")], S)
     SK.publish(Q.publish_found(log, scripts), tmp_dir + "/pub")
-    out = spark.read.text(tmp_dir + "/pub", wholetext=True).collect()
-    assert [r.value for r in out] == ["line 1\nline 2\n"]
+    assert os.listdir(tmp_dir + "/pub") == ["deployed_p.sql"]
+    with open(tmp_dir + "/pub/deployed_p.sql") as f:
+        assert f.read() == "line 1\nline 2\n"
