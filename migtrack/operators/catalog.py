@@ -2,8 +2,7 @@
 
 All keyed steps use declarative aggregates that Spark combines map-side, so a key
 holding a large share of the rows is reduced in every task before the shuffle
-instead of landing whole in one task. They run on keys and order columns only;
-the rows that win are fetched afterwards.
+instead of landing whole in one task.
 """
 
 from __future__ import annotations
@@ -26,42 +25,28 @@ def null_safe_on(left: DataFrame, right: DataFrame, keys) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def winners(df: DataFrame, keys, seq: str, last: bool = False) -> DataFrame:
-    """Keys and ``_win``: what identifies the row of lowest (or highest) ``seq`` of each key.
+def row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(c) for c in df.columns])
 
-    Only keys, ``seq`` and a hash of the row are aggregated, so no text but the
-    keys is sorted or shuffled, and a hot key leaves every task as one row. A row
-    without ``seq`` loses against any with one, but wins when no row has one; equal
-    ``seq`` are decided by the hash. ``seq`` may be a struct.
-    """
-    missing = F.col(seq).isNull()
-    order = F.struct((~missing if last else missing).alias("rank"), F.col(seq).alias("seq"), row_hash(df).alias("hash"))
-    return df.select(*keys, order.alias("_order")).groupBy(*keys).agg(
-        (F.max if last else F.min)("_order").alias("_win"))
 
+def ordered(df: DataFrame, seq: str, last: bool = False) -> Column:
+    """What rows compare by: ``seq`` (which may be a struct), then a hash of the row.
 
-def row_hash(df: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(c) for c in df.columns])
+    A row without ``seq`` loses against any with one, but wins when no row has one.
+    """
+    missing = F.col(seq).isNull()
+    return F.struct((~missing if last else missing).alias("rank"), F.col(seq).alias("seq"), row_hash(df).alias("hash"))
 
 
 def first_by(df: DataFrame, keys, seq: str, last: bool = False) -> DataFrame:
     """One row per key: the row with the lowest (or highest) ``seq``; NULL keys are keys too.
 
-    The winners are found on narrow rows and fetch their row once. Rows equal
-    in every column are one row.
+    The input is read once. Each task drops all but its first row of a key before the
+    shuffle (a window limit), so a hot key leaves a task as one row. Rows equal in every
+    column are one row.
     """
-    keys = list(keys)
-    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    win = winners(df, keys, seq, last).select(*named, F.col("_win.hash").alias("_hash"))
-    rows = df.withColumn("_row", row_hash(df))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    found = rows.join(win, same & (F.col("_row") == F.col("_hash")))
-    return once(found, [*keys, "_row"]).select(*df.columns)
-
-
-def once(df: DataFrame, by) -> DataFrame:
-    """One of the rows that agree in ``by`` (used where such rows are equal throughout)."""
-    number = F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(1)))
+    order = ordered(df, seq, last)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(order.desc() if last else order.asc()))
     return df.withColumn("_n", number).where("_n = 1").drop("_n")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schemas import TEST_LOG_COLUMNS, TRACKING_COLUMNS
-from .catalog import row_hash
+from .catalog import ordered, row_hash
 
 TRACKING_KEYS = ("schema_name", "procedure_name")
 RESULT_KEYS = ("test_case_name", "procedure_name")
@@ -39,8 +39,8 @@ def _now(now) -> Column:
 
 # --- D2 / E2: tracking table ---------------------------------------------------
 
-def _last_rows(source: DataFrame, seq: str) -> DataFrame:
-    """Keys, ``_new`` and ``_rows``: one row per key, and every row with a NULL key part.
+def _new_rows(source: DataFrame, seq: str) -> DataFrame:
+    """Keys, ``_new`` and ``_rows``: one row per key, for source rows whose key has no NULL part.
 
     ``_new`` has the last row's definition and parameters and the first row's
     source and db. The source is read twice: keys, order and identity for the
@@ -48,27 +48,33 @@ def _last_rows(source: DataFrame, seq: str) -> DataFrame:
     """
     keys = list(TRACKING_KEYS)
     order = F.struct(F.col(seq).isNotNull().alias("known"), F.col(seq).alias("seq"), row_hash(source).alias("hash"))
-    ends = (source.where(_has_keys(keys)).select(*keys, "source", "dbname", order.alias("_order"))
+    source = source.where(_has_keys(keys))
+    ends = (source.select(*keys, "source", "dbname", order.alias("_order"))
             .groupBy(*keys).agg(F.max("_order").alias("_last"),
                                 F.min_by(F.struct("source", "dbname"), "_order").alias("_first"),
                                 F.count(F.lit(1)).alias("_rows")))
-    rows = source.withColumn("_row", row_hash(source)).join(ends, keys, "left")
-    loose = F.col("_last").isNull()
-    rows = rows.where(loose | (F.col("_row") == F.col("_last.hash")))
+    rows = source.withColumn("_row", row_hash(source)).join(ends, keys).where(F.col("_row") == F.col("_last.hash"))
     number = F.row_number().over(Window.partitionBy(*keys, "_row").orderBy(F.lit(1)))
-    rows = rows.withColumn("_n", number).where(loose | (F.col("_n") == 1))  # a source row given twice counts once
-    new = F.struct(F.when(loose, F.col("source")).otherwise(F.col("_first.source")).alias("source"),
-                   F.when(loose, F.col("dbname")).otherwise(F.col("_first.dbname")).alias("dbname"),
+    rows = rows.withColumn("_n", number).where("_n = 1")  # a source row given twice counts once
+    new = F.struct(F.col("_first.source").alias("source"), F.col("_first.dbname").alias("dbname"),
                    "procedure_definition", "parameters")
-    return rows.select(*keys, new.alias("_new"), F.coalesce("_rows", F.lit(1)).alias("_rows"))
+    return rows.select(*keys, new.alias("_new"), "_rows")
 
 
 def _merged(target: DataFrame, source: DataFrame, now, target_dbname: str, target_schema_name: str,
             seq: str) -> DataFrame:
-    """The new tracking rows with ``_inserted`` and ``_updated``: MERGE actions behind each row."""
+    """The new tracking rows with ``_inserted`` and ``_updated``: MERGE actions behind each row.
+
+    Rows whose key has a NULL part, however many, go past the join: those of the
+    target stay, those of the source are inserted, all where they are read.
+    """
     keys = list(TRACKING_KEYS)
     ts = _now(now)
-    both = target.withColumn("_old", F.lit(True)).join(_last_rows(source, seq), keys, "full_outer")
+    target = target.withColumn("_old", F.lit(True))
+    both = target.where(_has_keys(keys)).join(_new_rows(source, seq), keys, "full_outer")
+    loose = source.where(~_has_keys(keys)).select(
+        *keys, F.struct("source", "dbname", "procedure_definition", "parameters").alias("_new"), F.lit(1).cast("bigint").alias("_rows"))
+    both = both.unionByName(target.where(~_has_keys(keys)), allowMissingColumns=True).unionByName(loose, allowMissingColumns=True)
     old, new = F.coalesce("_old", F.lit(False)), F.col("_new").isNotNull()
     hit = old & new
     insert = dict(zip(("conversion_flag", "load_timestamp", "target_dbname", "target_schema_name", "is_deployed", "errors"),
@@ -166,13 +172,17 @@ def insert_absent(target: DataFrame, source: DataFrame, keys, seq: str = "seq")
     """Insert-if-absent under a unique key, in ``seq`` order.
 
     Returns the source rows with ``accepted``: a row is inserted when its key
-    is not in the target and it is the first source row of that key; rows with
+    is not in the target and it is the first source row of that key (by ``seq``, rows without one last,
+    then by a hash of the row; of rows equal throughout one is); rows with
     a NULL key part are always inserted (NULLs do not collide in a unique key).
+    Equal rows are counted first, so that however often one repeats it leaves a task once.
     """
     keys = list(keys)
     keyed = _has_keys(keys)
-    fresh = source.where(keyed).join(target.select(*keys).where(_has_keys(keys)), keys, "left_anti")
-    winners = fresh.groupBy(*keys).agg(F.min(seq).alias("_win"))
-    out = source.join(winners, keys, "left")
-    accepted = (~keyed) | F.coalesce(F.col(seq) == F.col("_win"), F.lit(False))
+    order = ordered(source, seq)
+    counted = source.groupBy(*source.columns).agg(F.count(F.lit(1)).alias("_many")).withColumn("_order", order)
+    fresh = counted.where(keyed).select(*keys, "_order").join(target.select(*keys).where(_has_keys(keys)), keys, "left_anti")
+    winners = fresh.groupBy(*keys).agg(F.min("_order").alias("_win"))
+    out = counted.join(winners, keys, "left").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_many"))))
+    accepted = (~keyed) | (F.coalesce(F.col("_order") == F.col("_win"), F.lit(False)) & (F.col("_i") == 1))
     return out.select(*source.columns, accepted.alias("accepted"))

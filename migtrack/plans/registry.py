@@ -547,7 +547,7 @@ def call_build(spark, sf_dir):
 SELECT seq, schema_name, procedure_name,
   (schema_name IS NULL OR procedure_name IS NULL) OR (
     NOT EXISTS (SELECT 1 FROM tracking t WHERE t.schema_name = b.schema_name AND t.procedure_name = b.procedure_name)
-    AND seq = min(seq) OVER (PARTITION BY schema_name, procedure_name)) AS accepted
+    AND row_number() OVER (PARTITION BY schema_name, procedure_name ORDER BY seq) = 1) AS accepted
 FROM batch b""")
 def insert_absent(spark, sf_dir):
     t, b = _load(spark, sf_dir, "tracking", "batch")

@@ -211,8 +211,11 @@ def test_upserts_read_their_inputs_once(spark, tmp_dir):
         FX.load(spark, SF_SMALL, name).write.parquet(f"{tmp_dir}/{name}")
     read = lambda n: spark.read.parquet(f"{tmp_dir}/{n}")
     plan = plan_of(U.upsert_tracking(read("tracking"), read("batch"), now=T0))
-    assert len(scans(plan, "tracking")) == 1
-    assert len(scans(plan, "batch")) == 2  # order columns for the aggregate, then whole rows
+    # keyed rows once (the batch: order columns for the aggregate, then whole rows); NULL-key rows by a filter
+    # that skips the row groups without any
+    assert len(scans(plan, "tracking")) == 2 and len(scans(plan, "batch")) == 3
+    assert plan.count("PushedFilters: [Or(IsNull(schema_name),IsNull(procedure_name))]") == 2
+    assert plan.count("PushedFilters: [IsNotNull(schema_name), IsNotNull(procedure_name)]") == 3
     plan = plan_of(U.upsert_results(read("test_log_old"), read("test_log_new")))
     assert len(scans(plan, "test_log_old")) == len(scans(plan, "test_log_new")) == 1
 

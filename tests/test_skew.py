@@ -82,3 +82,47 @@ def test_assign_ids_with_shared_order_value(spark):
     assert ids == list(range(1, 9001))
     by_id = sorted(out, key=lambda r: int(r.test_case_id))
     assert [r.f for r in by_id] == sorted(r.f for r in out)
+
+
+def partition_sizes(df):
+    return [n for n, in df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n")).select("n").collect()]
+
+
+def test_upsert_with_a_third_of_null_keys_fills_partitions_evenly(spark):
+    keyed = F.col("id") % 3 != 0
+    src = spark.range(0, N, 1, 8).select(
+        F.col("id").alias("seq"), F.lit("SQLServer").alias("source"), F.lit("db").alias("dbname"),
+        F.when(F.col("id") % 6 != 0, F.lit("dbo")).alias("schema_name"),
+        F.when(keyed | (F.col("id") % 6 == 0), F.concat(F.lit("p"), F.col("id").cast("string"))).alias("procedure_name"),
+        F.concat(F.lit("v"), F.col("id").cast("string")).alias("procedure_definition"), F.lit("").alias("parameters"))
+    now = dt.datetime(2026, 1, 1)
+    empty = spark.createDataFrame([], TRACKING_SCHEMA)
+    tgt = U.upsert_tracking(empty, src.where("seq < 20000"), now=now).checkpoint().coalesce(8)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = U.upsert_tracking(tgt, src, now=now)
+        sizes = partition_sizes(out)
+        counts = U.upsert_counts(tgt, src).collect()[0]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    loose = sum(i % 3 == 0 for i in range(N))
+    old_loose = sum(i % 3 == 0 for i in range(20000))
+    assert sum(sizes) == N + old_loose  # every NULL-key row of either side is one of the result
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+    assert counts.rows_inserted == loose + sum(i % 3 != 0 for i in range(20000, N))
+    assert counts.rows_updated == sum(i % 3 != 0 for i in range(20000))
+
+
+def test_first_by_reads_once_and_limits_before_the_shuffle(spark, tmp_dir):
+    log = skewed_log(spark)
+    log.write.parquet(tmp_dir + "/log")
+    df = C.first_by(spark.read.parquet(tmp_dir + "/log"), ["procedure_name"], "event_id", last=True)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("WindowGroupLimit") == 2
+    best = {}
+    for r in log.collect():
+        best[r.procedure_name] = max(best.get(r.procedure_name, -1), r.event_id)
+    assert {r.procedure_name: r.event_id for r in df.collect()} == best

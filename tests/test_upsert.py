@@ -135,6 +135,17 @@ def test_insert_absent(spark):
     assert {r.seq: r.accepted for r in out.collect()} == {1: False, 2: True, 3: False, 4: True, 5: True}
 
 
+def test_insert_absent_with_ties_missing_seq_and_repeated_rows(spark):
+    target = spark.createDataFrame([tracking_row("dbo", "a")], TRACKING_SCHEMA)
+    rows = [stage_row(1, "hr", "tie", "x"), stage_row(1, "hr", "tie", "y"), stage_row(None, "hr", "none", "x"), stage_row(None, "hr", "none", "y"),
+            stage_row(None, "hr", "some", "x"), stage_row(9, "hr", "some", "y"), *[stage_row(3, "hr", "same", "x")] * 50,
+            *[stage_row(3, None, "same", "x")] * 4, *[stage_row(0, "dbo", "a", "x")] * 3]
+    out = U.insert_absent(target, spark.createDataFrame(rows, STAGE_SCHEMA), ("schema_name", "procedure_name")).collect()
+    assert len(out) == len(rows)
+    taken = sorted((r.schema_name or "", r.procedure_name, r.seq or -1) for r in out if r.accepted)
+    assert taken == [("", "same", 3)] * 4 + [("hr", "none", -1), ("hr", "same", 3), ("hr", "some", 9), ("hr", "tie", 1)]
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["t1", "t2", None]), st.sampled_from(["p", "q"]),
                           st.sampled_from(["✅ Success", "❌ Failed"])), min_size=1, max_size=12),
