@@ -73,14 +73,18 @@ def facet_values(df: DataFrame, cols=FACETS) -> DataFrame:
     return long.distinct().orderBy("facet", "value")
 
 
+def deployed_names(log: DataFrame) -> DataFrame:
+    """The tested names of passed execution tests without a trailing ``(...)``, each once."""
+    return passed(log).select(T.bare_name("procedure_name").alias("procedure_name")).distinct()
+
+
 def mark_deployed(tracking: DataFrame, log: DataFrame) -> DataFrame:
     """IS_DEPLOYED = TRUE for every row named like a passed execution test.
 
     The name is the tested name without a trailing ``(...)``; the match is by
     name only, so every schema holding that name is marked.
     """
-    names = (passed(log).select(T.bare_name("procedure_name").alias("procedure_name"))
-             .distinct().withColumn("_hit", F.lit(True)))
+    names = deployed_names(log).withColumn("_hit", F.lit(True))
     joined = tracking.join(names, "procedure_name", "left")
     flag = F.when(F.col("_hit"), F.lit(True)).otherwise(F.col("is_deployed"))
     return joined.select(*[flag.alias(c) if c == "is_deployed" else F.col(c)

@@ -25,11 +25,15 @@ from ..operators import catalog as C
 from ..operators import reports as R
 from ..operators import results as Q
 from ..operators import upsert as U
-from ..schemas import TEST_LOG_SCHEMA, TRACKING_SCHEMA
+from ..schemas import TEST_LOG_COLUMNS, TEST_LOG_SCHEMA, TRACKING_SCHEMA
 from ..session import checkpoint_dir
 from ..sources import files
 from ..sources import sinks as SK
 
+# What decides the part of a row: its name and, for rows without one, columns that no step changes.
+TRACKING_PART = ("procedure_name", "dbname", "schema_name", "procedure_definition")
+LOG_PART = ("procedure_name", "event_id", "test_case_id", "test_case_name")
+
 
 @dataclass
 class Store:
@@ -39,6 +43,10 @@ class Store:
     (schema, name), log on (test, procedure)), so an upsert into a large table
     shuffles only the incoming batch. None writes plain parquet.
 
+    ``parts``: keep both tables in that many parts by the hash of the procedure name; a step
+    then reads and writes only the parts that hold the names it changes, at any size of
+    the table. Not together with ``buckets``.
+
     A step reads a version and writes the next one. If another step has written
     that meanwhile, the write fails (``sinks.VersionTaken``) and the step is to be
     run again on what is there now; nothing is overwritten.
@@ -46,6 +54,7 @@ class Store:
     tracking: str
     test_log: str
     buckets: int | None = None
+    parts: int | None = None
 
     def _tracking_buckets(self):
         return dict(bucket_by=U.TRACKING_KEYS, buckets=self.buckets) if self.buckets else {}
@@ -59,23 +68,36 @@ class Store:
     def log_version(self, spark: SparkSession) -> int | None:
         return SK.latest_version(spark, self.test_log)
 
-    def read_tracking(self, spark: SparkSession, version: int | None = None) -> DataFrame:
-        df = SK.read_snapshot(spark, self.tracking, TRACKING_SCHEMA, version, **self._tracking_buckets())
-        return df if df is not None else spark.createDataFrame([], TRACKING_SCHEMA)
+    def touched(self, rows: DataFrame, by) -> list[int] | None:
+        """The parts that a change by these rows concerns; None where the table is not kept in parts."""
+        return SK.parts_of(rows, by, self.parts) if self.parts else None
 
-    def read_log(self, spark: SparkSession, version: int | None = None) -> DataFrame | None:
-        return SK.read_snapshot(spark, self.test_log, TEST_LOG_SCHEMA, version, **self._log_buckets())
+    def _read(self, spark: SparkSession, base: str, schema, version: int | None, only: list[int] | None, buckets: dict) -> DataFrame | None:
+        if self.parts:
+            return SK.read_parts(spark, base, schema, version, only)
+        return SK.read_snapshot(spark, base, schema, version, **buckets)
 
-    def write_tracking(self, df: DataFrame, after: int | None) -> int:
-        """Write the version after ``after``, the one that ``df`` was made from."""
+    def _write(self, df: DataFrame, base: str, after: int | None, only: list[int] | None, by, buckets: dict) -> int:
         v = 0 if after is None else after + 1
-        SK.write_snapshot(df, self.tracking, v, **self._tracking_buckets())
+        if self.parts:
+            SK.write_parts(df, base, v, self.parts, by, only)
+        else:
+            SK.write_snapshot(df, base, v, **buckets)
         return v
 
-    def write_log(self, df: DataFrame, after: int | None) -> int:
-        v = 0 if after is None else after + 1
-        SK.write_snapshot(df, self.test_log, v, **self._log_buckets())
-        return v
+    def read_tracking(self, spark: SparkSession, version: int | None = None, only: list[int] | None = None) -> DataFrame:
+        df = self._read(spark, self.tracking, TRACKING_SCHEMA, version, only, self._tracking_buckets())
+        return df if df is not None else spark.createDataFrame([], TRACKING_SCHEMA)
+
+    def read_log(self, spark: SparkSession, version: int | None = None, only: list[int] | None = None) -> DataFrame | None:
+        return self._read(spark, self.test_log, TEST_LOG_SCHEMA, version, only, self._log_buckets())
+
+    def write_tracking(self, df: DataFrame, after: int | None, only: list[int] | None = None) -> int:
+        """Write the version after ``after``, the one that ``df`` was made from; ``only``: the parts that ``df`` holds."""
+        return self._write(df, self.tracking, after, only, TRACKING_PART, self._tracking_buckets())
+
+    def write_log(self, df: DataFrame, after: int | None, only: list[int] | None = None) -> int:
+        return self._write(df, self.test_log, after, only, LOG_PART, self._log_buckets())
 
 
 def _fixed(df: DataFrame) -> DataFrame:
@@ -111,9 +133,10 @@ def load_catalogue(spark: SparkSession, store: Store, routines: DataFrame, param
         return {"version": None, "staged": 0, "inserted": 0, "updated": 0}
     read = store.tracking_version(spark)
     counts = Observation("upsert")
-    merged = U.upsert_tracking(store.read_tracking(spark, read), staged, now=now, target_dbname=target_dbname,
+    only = None if read is None else store.touched(staged, TRACKING_PART)
+    merged = U.upsert_tracking(store.read_tracking(spark, read, only), staged, now=now, target_dbname=target_dbname,
                                target_schema_name=target_schema_name, counts=counts)
-    v = store.write_tracking(merged, read)
+    v = store.write_tracking(merged, read, only)
     return {"version": v, "staged": n, "inserted": counts.get["rows_inserted"], "updated": counts.get["rows_updated"]}
 
 
@@ -125,7 +148,9 @@ def save_flags(spark: SparkSession, store: Store, proposed: DataFrame) -> dict:
     n = changes.count()
     if n == 0:
         return {"version": None, "changed": 0}
-    return {"version": store.write_tracking(C.update_flags(tracking, changes), read), "changed": n}
+    only = store.touched(changes, TRACKING_PART)
+    changed = C.update_flags(store.read_tracking(spark, read, only), changes)
+    return {"version": store.write_tracking(changed, read, only), "changed": n}
 
 
 def extract(spark: SparkSession, store: Store, folder: str) -> dict:
@@ -156,14 +181,16 @@ def record_results(spark: SparkSession, store: Store, outcomes: DataFrame) -> di
     The outcomes are written once for both uses. Without a passed execution test
     no procedure changes and the tracking table keeps its version.
     """
-    outcomes = _fixed(outcomes)
+    outcomes = _fixed(outcomes.select(*TEST_LOG_COLUMNS).withColumn("test_timestamp", T.utc_ms("test_timestamp")))
     read = store.log_version(spark)
-    v_log = store.write_log(U.upsert_results(store.read_log(spark, read), outcomes), read)
+    only = None if read is None else store.touched(outcomes, LOG_PART)
+    v_log = store.write_log(U.upsert_results(store.read_log(spark, read, only), outcomes), read, only)
     if Q.passed(outcomes).isEmpty():
         return {"log_version": v_log, "tracking_version": None}
     read = store.tracking_version(spark)
-    return {"log_version": v_log,
-            "tracking_version": store.write_tracking(Q.mark_deployed(store.read_tracking(spark, read), outcomes), read)}
+    only = None if read is None else store.touched(Q.deployed_names(outcomes).dropna(), TRACKING_PART)
+    marked = Q.mark_deployed(store.read_tracking(spark, read, only), outcomes)
+    return {"log_version": v_log, "tracking_version": store.write_tracking(marked, read, only)}
 
 
 def publish_passed(spark: SparkSession, store: Store, processed: DataFrame, folder: str) -> dict:

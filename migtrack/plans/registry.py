@@ -439,6 +439,45 @@ def mark_deployed(spark, sf_dir):
     return Q.mark_deployed(t, log)
 
 
+def _store_of(spark, sf_dir, parts: int = 16):
+    """The tracking fixture as the first version of a table in parts."""
+    from . import flows
+    base = scratch_dir(spark, "store")
+    store = flows.Store(f"{base}/tracking", f"{base}/log", parts=parts)
+    store.write_tracking(_load(spark, sf_dir, "tracking"), None)
+    return store
+
+
+@query("flag_update_parts", ("tracking", "flag_proposals"), REGISTRY["flag_update"].sql)
+def flag_update_parts(spark, sf_dir):
+    """D4 as a step on a stored table: the parts that hold changed rows are written anew."""
+    from . import flows
+    store = _store_of(spark, sf_dir)
+    flows.save_flags(spark, store, _load(spark, sf_dir, "flag_proposals"))
+    return store.read_tracking(spark)
+
+
+@query("metadata_upsert_parts", ("tracking", "batch"), REGISTRY["metadata_upsert"].sql)
+def metadata_upsert_parts(spark, sf_dir):
+    """D2 on a stored table in parts: the parts of the batch's names are read, merged and written."""
+    from . import flows
+    store, batch = _store_of(spark, sf_dir), _load(spark, sf_dir, "batch")
+    only = store.touched(batch, flows.TRACKING_PART)
+    rows = U.upsert_tracking(store.read_tracking(spark, 0, only), batch, now=FX.LOAD_NOW, target_dbname=FX.TARGET_DB,
+                             target_schema_name=FX.TARGET_SCHEMA)
+    store.write_tracking(rows, 0, only)
+    return store.read_tracking(spark)
+
+
+@query("record_results_parts", ("tracking", "test_log"), REGISTRY["mark_deployed"].sql)
+def record_results_parts(spark, sf_dir):
+    """D3 and D5 as a step: outcomes go into a log in parts, deployed names into the parts of the tracking table."""
+    from . import flows
+    store = _store_of(spark, sf_dir)
+    flows.record_results(spark, store, _load(spark, sf_dir, "test_log"))
+    return store.read_tracking(spark)
+
+
 @query("pending_tests", ("routines", "test_log"), f"""
 SELECT c.test_case_name, c.procedure_name FROM (
   SELECT unnest(['test_create_procedure', 'test_procedure_execution']) AS test_case_name, procedure_name

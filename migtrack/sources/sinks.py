@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from ..functions import patterns as P
-from ..operators.catalog import first_by, one_per_file
+from ..operators.catalog import first_by, one_per_file, row_hash
 from .script_files import read_files, write_files  # noqa: F401 - read_files is part of this module
 
 
@@ -69,6 +69,80 @@ def _table_name(base: str, version: int) -> str:
     return f"migtrack_{hashlib.sha1(base.rstrip('/').encode()).hexdigest()[:12]}_v{int(version)}"
 
 
+# --- versions in parts: a change of a few keys writes the parts that hold them ----------------
+
+PART = "part"
+PARTS_FILE = "_parts"   # of a version: for each part the version that holds its rows, -1 for none
+
+
+def part_of(by, parts: int) -> Column:
+    """The part of a row: by the hash of the first column of ``by``, its name.
+
+    A row without a name, which no key finds, goes by the other columns, which no step changes.
+    """
+    name, others = F.col(by[0]), [F.col(c) for c in by[1:]]
+    return F.pmod(F.when(name.isNull(), F.xxhash64(*others)).otherwise(F.xxhash64(name)), F.lit(parts)).cast("int")
+
+
+def parts_of(rows: DataFrame, by, parts: int) -> list[int]:
+    """The parts that hold, or are to hold, the given rows; at most ``parts`` numbers. Rows without a name need all of ``by``."""
+    known = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in by])
+    return sorted(r[0] for r in known.select(part_of(by, parts).alias("p")).distinct().collect())
+
+
+def _parts_file(spark: SparkSession, base: str, version: int) -> list[int]:
+    fs, p = _fs(spark, f"{snapshot_path(base, version)}/{PARTS_FILE}")
+    stream = fs.open(p)
+    try:
+        data = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return [int(x) for x in data.split()]
+
+
+def read_parts(spark: SparkSession, base: str, schema: T_.StructType, version: int | None = None,
+               only: list[int] | None = None) -> DataFrame | None:
+    """The rows of a version written in parts (default: the latest), or of some of its parts; None when there is none."""
+    v = latest_version(spark, base) if version is None else version
+    if v is None:
+        return None
+    held = _parts_file(spark, base, v)
+    paths = [f"{snapshot_path(base, held[p])}/{PART}={p}" for p in (range(len(held)) if only is None else only) if held[p] >= 0]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def write_parts(df: DataFrame, base: str, version: int, parts: int, by, changed: list[int] | None = None) -> str:
+    """Write version ``version`` as the one before with the ``changed`` parts (default: all) replaced by ``df``.
+
+    Only those parts are written; the others stay where earlier versions have them, so those
+    versions must be kept. A version counts once its list of parts and its ``_SUCCESS`` are there.
+    """
+    spark = df.sparkSession
+    path = snapshot_path(base, version)
+    _claim(spark, base, version)
+    changed = list(range(parts)) if changed is None else changed
+    spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, len(changed)))
+    rows = df.withColumn(PART, part_of(by, parts))
+    rows = rows.repartition(PART, F.pmod(row_hash(df), F.lit(spread)))  # a part of many rows is several tasks and files
+    (rows.write.mode("errorifexists").partitionBy(PART)
+     .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path))
+    held = _parts_file(spark, base, version - 1) if version else [-1] * parts
+    if len(held) != parts:
+        raise ValueError(f"{base} has {len(held)} parts, not {parts}")
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+    written = {int(st.getPath().getName().partition("=")[2]) for st in fs.listStatus(p) if st.getPath().getName().startswith(PART + "=")}
+    if not written.issubset(changed):
+        raise ValueError(f"rows of parts {sorted(written.difference(changed))} were not to be written")
+    for c in changed:
+        held[c] = version if c in written else -1
+    for file, text in ((PARTS_FILE, " ".join(map(str, held))), ("_SUCCESS", "")):
+        out = fs.create(_fs(spark, f"{path}/{file}")[1], True)
+        out.write(bytearray(text.encode()))
+        out.close()
+    return path
+
+
 class VersionTaken(RuntimeError):
     """Another writer has written, or begun, the version that was to be written."""
 
