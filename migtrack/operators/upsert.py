@@ -27,7 +27,7 @@ TRACKING_KEYS = ("schema_name", "procedure_name")
 RESULT_KEYS = ("test_case_name", "procedure_name")
 
 
-def _has_keys(keys) -> Column:
+def has_keys(keys) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
@@ -48,7 +48,7 @@ def _new_rows(source: DataFrame, seq: str) -> DataFrame:
     """
     keys = list(TRACKING_KEYS)
     order = F.struct(F.col(seq).isNotNull().alias("known"), F.col(seq).alias("seq"), row_hash(source).alias("hash"))
-    source = source.where(_has_keys(keys))
+    source = source.where(has_keys(keys))
     ends = (source.select(*keys, "source", "dbname", order.alias("_order"))
             .groupBy(*keys).agg(F.max("_order").alias("_last"),
                                 F.min_by(F.struct("source", "dbname"), "_order").alias("_first"),
@@ -71,10 +71,10 @@ def _merged(target: DataFrame, source: DataFrame, now, target_dbname: str, targe
     keys = list(TRACKING_KEYS)
     ts = _now(now)
     target = target.withColumn("_old", F.lit(True))
-    both = target.where(_has_keys(keys)).join(_new_rows(source, seq), keys, "full_outer")
-    loose = source.where(~_has_keys(keys)).select(
+    both = target.where(has_keys(keys)).join(_new_rows(source, seq), keys, "full_outer")
+    loose = source.where(~has_keys(keys)).select(
         *keys, F.struct("source", "dbname", "procedure_definition", "parameters").alias("_new"), F.lit(1).cast("bigint").alias("_rows"))
-    both = both.unionByName(target.where(~_has_keys(keys)), allowMissingColumns=True).unionByName(loose, allowMissingColumns=True)
+    both = both.unionByName(target.where(~has_keys(keys)), allowMissingColumns=True).unionByName(loose, allowMissingColumns=True)
     old, new = F.coalesce("_old", F.lit(False)), F.col("_new").isNotNull()
     hit = old & new
     insert = dict(zip(("conversion_flag", "load_timestamp", "target_dbname", "target_schema_name", "is_deployed", "errors"),
@@ -145,7 +145,7 @@ def latest_per_key(rows: DataFrame, order: Column) -> DataFrame:
     number, which also spreads such rows.
     """
     keys = list(RESULT_KEYS)
-    alone = F.when(~_has_keys(keys), F.monotonically_increasing_id())
+    alone = F.when(~has_keys(keys), F.monotonically_increasing_id())
     out = (rows.select(*keys, alone.alias("_alone"), F.struct(*_RESULT_VALUES).alias("_row"), order.alias("_order"))
            .groupBy(*keys, "_alone").agg(F.max_by("_row", "_order").alias("_row")))
     return out.select(*keys, "_row.*").select(*TEST_LOG_COLUMNS)
@@ -178,10 +178,10 @@ def insert_absent(target: DataFrame, source: DataFrame, keys, seq: str = "seq")
     Equal rows are counted first, so that however often one repeats it leaves a task once.
     """
     keys = list(keys)
-    keyed = _has_keys(keys)
+    keyed = has_keys(keys)
     order = ordered(source, seq)
     counted = source.groupBy(*source.columns).agg(F.count(F.lit(1)).alias("_many")).withColumn("_order", order)
-    fresh = counted.where(keyed).select(*keys, "_order").join(target.select(*keys).where(_has_keys(keys)), keys, "left_anti")
+    fresh = counted.where(keyed).select(*keys, "_order").join(target.select(*keys).where(has_keys(keys)), keys, "left_anti")
     winners = fresh.groupBy(*keys).agg(F.min("_order").alias("_win"))
     out = counted.join(winners, keys, "left").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_many"))))
     accepted = (~keyed) | (F.coalesce(F.col("_order") == F.col("_win"), F.lit(False)) & (F.col("_i") == 1))

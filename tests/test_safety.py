@@ -102,18 +102,59 @@ def test_stream_keeps_null_key_rows_and_rows_without_event_id(spark, tmp_dir):
     rows = [(1, None, "p", "a"), (1, None, "p", "b"), (None, "t", None, "c"), (None, "t", None, "d"), (None, "t", "x", "e")]
     drop(spark, tmp_dir + "/in", rows)
     assert run(spark, tmp_dir) is None
-    got = SK.read_snapshot(spark, tmp_dir + "/log", TEST_LOG_SCHEMA).collect()
+    got = RL.read_log(spark, tmp_dir + "/log").collect()
     assert sorted(r.status for r in got) == ["a", "b", "c", "d", "e"]
     assert sorted(r.status for r in U.upsert_results(None, log_rows(spark, rows)).collect()) == ["a", "b", "c", "d", "e"]
 
 
-def test_stream_stops_when_the_version_before_is_missing(spark, tmp_dir):
-    drop(spark, tmp_dir + "/in", [(1, "t", "p", "a")])
+def size_of(folder):
+    return sum(os.path.getsize(os.path.join(at, n)) for at, _, names in os.walk(folder) for n in names)
+
+
+def log_of(spark, base):
+    return sorted(map(str, RL.read_log(spark, base + "/log").collect()))
+
+
+def test_stream_writes_what_a_batch_brings(spark, tmp_dir):
+    many = [(i, "t", f"p{i}", "a" * 20 + str(i * 7919)) for i in range(20_000)]
+    drop(spark, tmp_dir + "/in", many)
+    assert run(spark, tmp_dir) is None
+    drop(spark, tmp_dir + "/in", [(20_001, "t", "p5", "new"), (3, "t", "p7", "older"), (20_002, "t", "extra", "x"), (9, None, "p", "loose")])
+    assert run(spark, tmp_dir) is None
+    first, second = (size_of(RL._change_path(tmp_dir + "/log", i)) for i in (0, 1))
+    assert second < first / 10
+    changed = spark.read.parquet(RL._change_path(tmp_dir + "/log", 1)).collect()
+    assert sorted((r.procedure_name, r.event_id) for r in changed) == [("extra", 20_002), ("p5", 20_001), ("p7", 7)]
+    want = U.upsert_results(None, log_rows(spark, [r for r in many if r[0] != 5] + [(20_001, "t", "p5", "new"), (20_002, "t", "extra", "x"), (9, None, "p", "loose")]))
+    assert log_of(spark, tmp_dir) == sorted(map(str, want.collect()))
+
+
+def test_a_replayed_batch_gives_the_same_log(spark, tmp_dir):
+    for i in range(3):
+        drop(spark, tmp_dir + "/in", [(10 * i + 1, "t", "p", f"s{i}"), (10 * i + 2, "t", f"q{i}", "s"), (10 * i + 3, None, "n", "s")])
+        assert run(spark, tmp_dir) is None
+    before = log_of(spark, tmp_dir)
+    for name in ("2", ".2.crc"):  # as if the driver had died after the write of batch 2
+        os.remove(f"{tmp_dir}/c/keyed/commits/{name}")
+    SK.delete(spark, RL._change_path(tmp_dir + "/log", 2))
+    assert log_of(spark, tmp_dir) != before
+    assert run(spark, tmp_dir) is None
+    assert log_of(spark, tmp_dir) == before
+
+
+def test_compacted_changes_give_the_same_log(spark, tmp_dir):
+    for i in range(4):
+        drop(spark, tmp_dir + "/in", [(10 * i + 1, "t", "p", f"s{i}"), (10 * i + 2, "t", f"q{i}", "s"), (3 - i, "t", "down", f"s{i}")])
+        assert run(spark, tmp_dir) is None
+        if i == 1:
+            assert RL.compact(spark, tmp_dir + "/log") == 0
+    before = log_of(spark, tmp_dir)
+    assert RL.compact(spark, tmp_dir + "/log") == 2 and RL.compact(spark, tmp_dir + "/log") == 2
+    assert log_of(spark, tmp_dir) == before and len(before) == 6
+    assert os.listdir(tmp_dir + "/log/changes") == ["batch=000000000003"] and os.listdir(tmp_dir + "/log/folded") == ["upto=000000000002"]
+    drop(spark, tmp_dir + "/in", [(99, "t", "p", "last")])
     assert run(spark, tmp_dir) is None
-    drop(spark, tmp_dir + "/in", [(2, "t", "q", "a")])
-    os.remove(SK.snapshot_path(tmp_dir + "/log", 0) + "/_SUCCESS")
-    with pytest.raises(Exception, match="missing"):
-        run(spark, tmp_dir)
+    assert len(log_of(spark, tmp_dir)) == 6 and any("last" in r for r in log_of(spark, tmp_dir))
 
 
 def test_stream_refuses_a_foreign_log(spark, tmp_dir):
