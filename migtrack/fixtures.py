@@ -139,6 +139,7 @@ TARGET_SCHEMA = "PUBLIC"
 SOURCE_SCHEMA_WORD = "dbo"
 TARGET_SCHEMA_WORD = "PUBLIC"
 OBJECT_PREFIX = "https://blog"
+STORED_PREFIX = "https_blog"
 SEARCH_TERM = "Usp_12"
 EXTRACTED_DIR = "./extracted_procedures"
 

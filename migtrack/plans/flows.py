@@ -27,7 +27,7 @@ from ..operators import results as Q
 from ..operators import upsert as U
 from ..schemas import TEST_LOG_COLUMNS, TEST_LOG_SCHEMA, TRACKING_SCHEMA
 from ..session import checkpoint_dir
-from ..sources import files
+from ..sources import files, log_end
 from ..sources import sinks as SK
 
 # What decides the part of a row: its name and, for rows without one, columns that no step changes.
@@ -219,9 +219,11 @@ def comparison_view(processed: DataFrame, extracted_rows: DataFrame, extracted_d
 
 
 def activity_log(spark: SparkSession, path: str, n: int = 25) -> dict[str, DataFrame]:
-    """Application log: every line parsed, and the last ``n`` lines for display, both with their position."""
-    lines = files.read_log_lines(spark, path)
-    return {"parsed": R.parse_log(lines), "tail": R.tail(lines, n, order_col="pos")}
+    """Application log: every line parsed, and the last ``n`` lines for display, both with their position.
+
+    The last lines are read from the end of the log, whatever its size.
+    """
+    return {"parsed": R.parse_log(files.read_log_lines(spark, path)), "tail": log_end.tail_file(spark, path, n)}
 
 
 def assessment(reports: DataFrame, key: str) -> DataFrame:
@@ -237,10 +239,9 @@ def licence_status(listings: DataFrame, key: str, now=None) -> DataFrame:
 
 
 def converted_cache(spark: SparkSession, root: str, prefix: str) -> dict:
-    """Converter output cache: objects under ``prefix`` (names) and whether any exists."""
-    objects = files.list_object_files(spark, root)
-    return {"objects": R.list_objects(objects, prefix),
-            "exists": not R.list_objects(objects, prefix).isEmpty()}
+    """Converter output cache: objects whose key below ``root`` starts with ``prefix``, and whether any exists."""
+    objects = R.list_objects(files.list_object_files(spark, root, prefix), prefix, path_col="key")
+    return {"objects": objects, "exists": not objects.isEmpty()}
 
 
 __all__ = ["Store", "load_catalogue", "save_flags", "extract", "process", "record_results",

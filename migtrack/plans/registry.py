@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as FX
@@ -24,6 +24,7 @@ from ..operators import upsert as U
 from ..schemas import TRACKING_SCHEMA
 from ..session import scratch_dir
 from ..sources import files as SF
+from ..sources import log_end as LE
 from ..sources import sinks as SK
 
 
@@ -143,6 +144,27 @@ def upload_scan(spark, sf_dir):
     return SF.parse_uploads(files, "UPLOAD_DB", "dbo")
 
 
+@query("upload_rejects", ("upload_folder",), """
+SELECT file_name FROM upload_folder WHERE file_name LIKE '%.sql' AND doc_id % 5 = 2""")
+def upload_rejects(spark, sf_dir):
+    """A3: some uploads, scripts and others, are cut inside a character."""
+    s = _load(spark, sf_dir, "upload_folder")
+    cut = F.when(F.col("doc_id") % 5 == 2, F.concat(F.col("text").cast("binary"), F.unhex(F.lit("E282")))).otherwise(F.col("text").cast("binary"))
+    return SF.upload_rejects(s.select(F.col("file_name").alias("path"), cut.alias("content")))
+
+
+@query("objects_by_prefix", ("objects",), f"""
+SELECT key, key AS name FROM (SELECT DISTINCT regexp_replace(path, '[^A-Za-z0-9]+', '_', 'g') AS key FROM objects)
+WHERE starts_with(key, '{FX.STORED_PREFIX}')""")
+def objects_by_prefix(spark, sf_dir):
+    """A7 on stored objects: the pages as files, listed by a prefix of their keys."""
+    from . import flows
+    root = scratch_dir(spark, "objects")
+    key = F.regexp_replace("path", "[^A-Za-z0-9]+", "_")
+    SK.write_files(_load(spark, sf_dir, "objects").select(key.alias("file_name"), F.col("content").alias("text")).dropDuplicates(["file_name"]), root)
+    return flows.converted_cache(spark, root, FX.STORED_PREFIX)["objects"].select("key", "name")
+
+
 @query("script_scan", ("scripts",), """
 SELECT file_name, regexp_replace(regexp_replace(raw, '^\\x{FEFF}', ''), '\\r\\n?', chr(10), 'g') AS text
 FROM (SELECT file_name, CASE WHEN doc_id % 2 = 0 THEN chr(65279) || replace(text, chr(10), chr(13) || chr(10))
@@ -695,6 +717,25 @@ def log_tail(spark, sf_dir):
     return R.tail(_load(spark, sf_dir, "log_lines"))
 
 
+_ONE_LINE_SQL = "(SELECT line_no, regexp_replace(line, '[\\r\\n]', ' ', 'g') AS line FROM log_lines)"
+
+
+@query("log_file_tail", ("log_lines",), f"""
+SELECT row_number() OVER (ORDER BY line_no) AS place,
+  CASE WHEN line_no = (SELECT max(line_no) FROM {_ONE_LINE_SQL} WHERE regexp_matches(line, '[^\\s]'))
+       THEN regexp_replace(line, '\\s+$', '') ELSE line END AS line
+FROM (SELECT * FROM {_ONE_LINE_SQL}
+      WHERE line_no <= (SELECT max(line_no) FROM {_ONE_LINE_SQL} WHERE regexp_matches(line, '[^\\s]'))
+      ORDER BY line_no DESC LIMIT 25)""")
+def log_file_tail(spark, sf_dir):
+    """G3 on the log as files: only the last bytes of the last files are read."""
+    folder = scratch_dir(spark, "log")
+    lines = _load(spark, sf_dir, "log_lines").orderBy("line_no")
+    lines.select(F.regexp_replace("line", "[\\r\\n]", " ").alias("value")).write.text(folder)
+    found = LE.tail_file(spark, folder)
+    return found.select(F.row_number().over(Window.orderBy("pos")).cast("bigint").alias("place"), "line")
+
+
 # --- 2.9 scalar functions over the corpus ------------------------------------------------
 
 @query("strip_comments", ("scripts",), """

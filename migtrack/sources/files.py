@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +32,11 @@ def parse_uploads(files: DataFrame, dbname: str, schema_name: str,
         T.param_block("_text").alias("parameters"))
 
 
-def upload_rejects(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """A3: uploaded files that could not be decoded (reported, not loaded)."""
+def upload_rejects(files: DataFrame, path_col: str = "path", content_col: str = "content",
+                   suffix: str = P.SCRIPT_EXT) -> DataFrame:
+    """A3: uploaded scripts that could not be decoded (reported, not loaded); other types of files are not uploads."""
     bad = F.try_validate_utf8(F.col(content_col).cast("string")).isNull()
-    return files.where(bad).select(T.base_name(path_col).alias("file_name"))
+    return files.where(F.col(path_col).endswith(suffix) & bad).select(T.base_name(path_col).alias("file_name"))
 
 
 def read_uploads(spark: SparkSession, path: str, dbname: str, schema_name: str, glob: str = "*.sql") -> DataFrame:
@@ -57,10 +61,25 @@ def read_scripts(spark: SparkSession, folder: str, glob: str = "*.sql") -> DataF
     return normalise_script_text(raw)
 
 
-def list_object_files(spark: SparkSession, root: str) -> DataFrame:
-    """A7 source: (path) of every object under ``root``; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root) \
-        .select("path")
+def list_object_files(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    """A7 source: (key, path) of the objects below ``root`` whose key starts with ``prefix``; contents are not read.
+
+    A key is the path relative to ``root``, as in an object store. The prefix goes into the
+    listing: only its longest folder is listed, and there only what begins with the rest. Names that begin with ``_`` or
+    ``.`` are hidden, as in any Spark source. A prefix that nothing has gives no rows.
+    """
+    base = root.rstrip("/")
+    begun = re.sub(r"([\\*?\[\]{}])", r"\\\1", prefix)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    try:
+        found = reader.load(f"{base}/{begun}*" if prefix else base)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "key string, path string")
+    inside = "/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:", "", base).strip("/") + "/"  # the file system may add its name before it
+    return found.select(F.substr("path", F.locate(inside, F.col("path")) + len(inside)).alias("key"), "path") \
+        .where(~F.col("key").rlike("(^|/)[_.]"))
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:

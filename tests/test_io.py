@@ -11,9 +11,11 @@ from conftest import SF_SMALL
 from migtrack import fixtures as FX
 from migtrack.functions import text as T
 from migtrack.operators import catalog as C
+from migtrack.operators import reports as R
 from migtrack.operators import upsert as U
 from migtrack.plans import flows, registry
 from migtrack.sources import files as SF
+from migtrack.sources import log_end as LE
 from migtrack.sources import sinks as SK
 from migtrack.streaming.result_log import replay_log_stream
 
@@ -107,7 +109,7 @@ def test_every_query_has_an_oracle():
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_no_python_udf_in_plans(spark, name):
     if name == "result_stream":
-        pytest.skip("runs a stream while planning")  # its batch function is the one of merge_newest
+        pytest.skip("runs a stream while planning")  # its plan is read from what the stream has written
     plan = registry.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
@@ -148,9 +150,63 @@ def test_viewer_log_and_cache_views(spark, tmp_dir):
     assert [r.line for r in act["tail"].collect()] == ["2024-01-01 10:00:00,000 - INFO - a", "continued"]
     assert act["parsed"].where("level = 'INFO'").count() == 1
     write_files(tmp_dir + "/cache/u1", {"a.sql": b"x"})
-    assert flows.converted_cache(spark, tmp_dir + "/cache", "file:" + tmp_dir + "/cache/u1")["exists"]
-    assert not flows.converted_cache(spark, tmp_dir + "/cache", "file:" + tmp_dir + "/cache/u2")["exists"]
+    assert flows.converted_cache(spark, tmp_dir + "/cache", "u1/")["exists"]
+    assert not flows.converted_cache(spark, tmp_dir + "/cache", "u2/")["exists"]
     rep = spark.createDataFrame([(1, "- Files: 3")], "k long, text string")
     assert flows.assessment(rep, "k").collect()[0].files == "3"
     lic = spark.createDataFrame([(1, "Expiration date: 1/1/2999 0:00:00")], "k long, text string")
     assert flows.licence_status(lic, "k").collect()[0].has_active is True
+
+
+def test_listing_by_a_relative_prefix(spark, tmp_dir):
+    for i in range(40):
+        write_files(f"{tmp_dir}/o/user{i}/job[{i}]", {"out.sql": b"x", "other.txt": b"y"})
+    write_files(tmp_dir + "/o/user1/job[1]/outer/deep", {"z.sql": b"z"})
+    write_files(tmp_dir + "/o/user1/_claimed", {"h.sql": b"h"})
+    keys = lambda prefix, root=tmp_dir + "/o": sorted(r.key for r in SF.list_object_files(spark, root, prefix).collect())
+    every = sorted(f"user{i}/job[{i}]/{n}" for i in range(40) for n in ("out.sql", "other.txt"))
+    assert keys("") == sorted([*every, "user1/job[1]/outer/deep/z.sql"])
+    for prefix in ("user1", "user1/", "user1/job[1]/out", "user1/job[1]/out.sql", "user1/job[1]/outer/d", "user3/job[3]/ot"):
+        for root in (tmp_dir + "/o", tmp_dir + "/o/", "file:" + tmp_dir + "/o"):
+            want = sorted(k for k in keys("") if k.startswith(prefix))
+            assert keys(prefix, root) == want and want
+    assert keys("user1/job[2") == keys("nobody/") == keys("user1/*") == []
+    listed = SF.list_object_files(spark, tmp_dir + "/o", "user1/job[1]/out").inputFiles()
+    assert len(listed) == 2 and all("/user1/" in f for f in listed)  # nothing else was listed
+    views = flows.converted_cache(spark, tmp_dir + "/o", "user1/job[1]/out")
+    assert sorted((r.key, r.name) for r in views["objects"].collect()) == [("user1/job[1]/out.sql", "out.sql"), ("user1/job[1]/outer/deep/z.sql", "z.sql")]
+
+
+def log_files(folder, rng, count):
+    """Files of lines of every length with breaks of every kind; blank ones at the end."""
+    breaks, data = [b"\n", b"\r\n", b"\r", b"\n\n"], {}
+    for i in range(count):
+        lines = [("é" * int(rng.integers(0, 60)) + str(k)).encode() + breaks[rng.integers(0, 4)] for k in range(int(rng.integers(0, 50)))]
+        data[f"app-{i}.log"] = b"".join(lines)
+    data[f"app-{count}.log"] = b"last\n" if rng.random() < 0.5 else b"no break"
+    data[f"app-{count + 1}.log"] = b"\n \n\t\r\n"
+    write_files(folder, data)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_tail_of_files_equals_the_tail_of_all_lines(spark, tmp_dir, seed):
+    import numpy as np
+    log_files(tmp_dir + "/log", np.random.default_rng(seed), 5)
+    write_files(tmp_dir + "/log", {"_hidden": b"no", "empty.log": b""})
+    for n, first in ((3, 1), (25, 7), (25, 1 << 16), (1000, 50)):
+        want = [r.line for r in R.tail(SF.read_log_lines(spark, tmp_dir + "/log"), n, order_col="pos").orderBy("pos").collect()]
+        got = [r.line for r in LE.tail_file(spark, tmp_dir + "/log", n, first).orderBy("pos").collect()]
+        assert got == want and got
+
+
+def test_tail_reads_the_end_only(spark, tmp_dir, monkeypatch):
+    write_files(tmp_dir + "/log", {f"app-{i}.log": b"".join(b"%d line %d\n" % (i, k) for k in range(40_000)) for i in range(5)})
+    reader = LE.EndReader(tmp_dir + "/log", LE.FIRST_BYTES)
+    ranges = reader.partitions()
+    assert [os.path.basename(r.path) for r in ranges] == ["app-4.log"] and ranges[0].end - ranges[0].start == LE.FIRST_BYTES
+    monkeypatch.setattr(LE, "RANGE_BYTES", 1000)
+    several = LE.EndReader(tmp_dir + "/log", 700_000)
+    lines = [line for r in several.partitions() for b in several.read(r) for line in b.column("line").to_pylist()]
+    assert sorted(lines) == sorted({*lines}) and {"4 line 0", "4 line 39999", "3 line 39999"} <= set(lines) and "3 line 0" not in lines
+    assert [r.line for r in LE.tail_file(spark, tmp_dir + "/log").collect()] == [f"4 line {k}" for k in range(39_975, 40_000)]
+    assert LE.tail_file(spark, tmp_dir + "/log/app-0.log", 2).count() == 2 and LE.tail_file(spark, tmp_dir + "/none").count() == 0

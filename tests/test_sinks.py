@@ -67,10 +67,8 @@ def test_list_object_files_without_reading_content(spark, tmp_dir):
     plan = paths._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[-1]
     from migtrack.operators import reports as R
-    names = sorted(r.name for r in R.list_objects(paths, "file:" + tmp_dir + "/o/user1").collect())
-    assert names == ["a.sql", "b.sql"]
-    assert R.any_object(paths.withColumn("path", F.col("path")), "file:" + tmp_dir + "/o/user2") \
-        .collect()[0].any_object is False
+    assert sorted(r.name for r in R.list_objects(paths, "user1", path_col="key").collect()) == ["a.sql", "b.sql"]
+    assert R.any_object(paths, "user2", path_col="key").collect()[0].any_object is False
 
 
 def test_bucketed_tracking_upsert_does_not_shuffle_target(spark, tmp_dir):
