@@ -1,17 +1,16 @@
 """Operator 5: exact top-k search by exhaustive term-at-a-time accumulation.
 
 A vector is a sparse row: its components are terms, floor(1024 * x) the weights,
-zeros are left out. Candidates are dealt by hash into about sqrt(n) / 4 blocks;
-a block keeps one postings list (places, weights) per term. Query rows, packed
-``QUERY_BLOCK`` at a time, meet every block once. For each term the queries that
+zeros are left out. Candidates are dealt by row number into blocks of at most about
+``BLOCK_VALUES`` components, so that equal rows spread as well; a block keeps one postings list
+(places, weights) per term. Query rows, packed ``QUERY_BLOCK`` at a time, stream past every block once. For each term the queries that
 hold it scatter weight times posting into their dense score arrays; a partition
 selection keeps each query's best k of the block, and the blocks' lists are
 merged per query.
 
 Cases: a vector that is null, empty, or holds a null or non-finite component
-takes no part, nor does a null vec_id; rows repeated in id and vector count
-once; different vectors under one id are separate candidates and queries, and
-none of them is a candidate of its own id; vectors of unequal length score over
+takes no part, nor does a null vec_id; every other row is a candidate, repeated ones too, and
+every query row a query; rows that share an id are no candidates of each other; vectors of unequal length score over
 their common components; scores are 64-bit integers (wrapping, as in Java, which
 needs components beyond 2**26); an empty table gives no rows; extra columns are
 ignored.
@@ -30,6 +29,7 @@ from .common import written
 
 SCALE = 1024
 QUERY_BLOCK = 128
+BLOCK_VALUES = 1 << 22   # components of a block's candidates, about 32 MB
 PARTIAL = "query_id long, query_key long, vec_id long, score long"
 
 
@@ -64,15 +64,19 @@ def lists(row: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def score_blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Packed rows by block: the block's candidates come first, its query blocks follow."""
-    ids, index = np.zeros(0, np.int64), {}
+    """Rows by block: the block's candidates come first, one a row by id, its query blocks follow."""
+    block, held, ids, index = None, [], np.zeros(0, np.int64), None
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
+            if row.column("block")[0].as_py() != block:
+                block, held, index = row.column("block")[0].as_py(), [], None
             if not row.column("asking")[0].as_py():
-                ids, _, sizes, values = lists(row)
-                index = {term: (places, w) for term, places, w in postings(values, sizes)}
+                held.append(lists(row))
                 continue
+            if index is None:
+                ids, sizes, values = (np.concatenate([h[c] for h in held]) if held else np.zeros(0, np.int64) for c in (0, 2, 3))
+                index, held = {term: (places, w) for term, places, w in postings(values, sizes)}, []
             qids, qkeys, qsizes, qvalues = lists(row)
             scores = np.zeros((len(qids), len(ids)), dtype=np.int64)
             for term, queries, qw in postings(qvalues, qsizes):
@@ -92,7 +96,7 @@ def score_blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Recor
 
 
 def packed(rows: DataFrame, by: str) -> DataFrame:
-    """One row per block: ids ascending, keys, vector sizes, and the weights end to end."""
+    """One row per block of queries: ids, keys, vector sizes, and the weights end to end."""
     together = F.sort_array(F.collect_list(F.struct("vec_id", "key", "w")))
     return rows.groupBy(by).agg(together.alias("rows")).select(
         by, F.col("rows.vec_id").alias("ids"), F.col("rows.key").alias("keys"),
@@ -108,18 +112,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """
     def taken(df: DataFrame) -> DataFrame:
         rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), weights(F.col("embedding")).alias("w"))
-        return (rows.filter("vec_id IS NOT NULL AND w IS NOT NULL")
-                .withColumn("key", F.xxhash64("vec_id", "w")).dropDuplicates(["vec_id", "key"]))
+        return rows.filter("vec_id IS NOT NULL AND w IS NOT NULL").withColumn("key", F.monotonically_increasing_id())
 
     cands, asked = written(taken(vectors), "vectors"), written(taken(queries), "queries")
-    n, nq = cands.count(), asked.count()
-    blocks = max(1, round(n ** 0.5 / 4))
-    qblocks = max(1, -(-nq // QUERY_BLOCK))
+    n, values = cands.agg(F.count("*"), F.coalesce(F.sum(F.size("w")), F.lit(0))).first()
+    blocks = max(1, round(n ** 0.5 / 4), -(-values // BLOCK_VALUES))
+    qblocks = max(1, -(-asked.count() // QUERY_BLOCK))
     place = lambda many: F.pmod(F.xxhash64("key", F.lit(7)), F.lit(many)).cast("int")
-    here = packed(cands.withColumn("block", place(blocks)), "block").withColumn("asking", F.lit(False))
+    here = cands.select(place(blocks).alias("block"), F.array("vec_id").alias("ids"), F.array("key").alias("keys"),
+                        F.array(F.size("w").cast("long")).alias("sizes"), F.col("w").alias("values"), F.lit(False).alias("asking"))
     asking = (packed(asked.withColumn("qblock", place(qblocks)), "qblock").drop("qblock")
               .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asking", F.lit(True)))
-    met = here.unionByName(asking).repartition("block").sortWithinPartitions("block", "asking")
+    met = here.unionByName(asking).repartition("block").sortWithinPartitions("block", "asking", F.col("ids")[0])
     found = met.mapInArrow(lambda it: score_blocks(it, k), PARTIAL)
     order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     merged = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
