@@ -3,10 +3,11 @@
 Each text is normalised (every run of blanks becomes one space) and digested in
 the JVM. Digests are counted per input partition first, so that a group of
 copies reaches its shard as one entry per partition, then go by digest to
-shards. A shard is a cuckoo filter over fingerprints next to buckets that hold
-the full digests: a filter miss is a new digest, a hit is verified against the
-bucket's digests, an overflow doubles the filter from the stored keys. Entries
-can be deleted, which is how documents leave a live index.
+shards. A shard is a cuckoo filter: a digest has a one-byte fingerprint and two buckets of four
+places, and each place holds the fingerprint together with the digest it stands for. If
+neither bucket has the fingerprint, the digest is new; where one has, the digest in that place
+decides. An overflow doubles the filter from the stored keys. Entries can be deleted,
+which is how documents leave a live index. The number of shards follows the number of rows.
 
 Cases: null text counts as empty and empty texts equal each other; rows that
 agree in doc_id and text are copies too and one of them stays; null doc_id sorts
@@ -17,15 +18,17 @@ like the result's, do not matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, whole_text, written
+from .common import BLANK, lookup, whole_text, written
 
 BUCKET = 4          # entries in a bucket of the filter
 MAX_KICKS = 200     # displacements before the filter counts as full
+SHARD_ROWS = 250_000  # rows to a shard, about 100 MB if all their digests differ
 LAST = (1 << 63) - 1
 FIELDS = ["digest", "doc", "row", "n", "ties"]
 ENTRY = "digest binary, doc long, row long, n long, ties long"
@@ -34,17 +37,19 @@ ENTRY = "digest binary, doc long, row long, n long, ties long"
 class CuckooIndex:
     """Live digests, each with its first row and the number of its copies.
 
-    The filter holds a one-byte fingerprint per digest in one of two buckets of
-    four; ``stored`` holds the digests themselves with (doc, row, n, ties): the
+    ``tags[b]`` are the fingerprints in bucket b, ``content[b]`` the digests there with (doc, row, n, ties): the
     smallest doc_id, the smallest row number at that doc_id, the copies, and how
-    many of them share that doc_id. Both are bounded by the digests of a shard.
+    many of them share that doc_id. Nothing else is kept.
     """
 
     def __init__(self, buckets: int = 1024):
-        self.mask = buckets - 1
-        self.slots = [bytearray() for _ in range(buckets)]
-        self.stored: dict[bytes, tuple[int, int, int, int]] = {}
         self.state = 1
+        self._empty(buckets)
+
+    def _empty(self, buckets: int) -> None:
+        self.mask = buckets - 1
+        self.tags = [bytearray() for _ in range(buckets)]
+        self.content: list[list[tuple[bytes, tuple[int, int, int, int]]]] = [[] for _ in range(buckets)]
 
     def _places(self, digest: bytes) -> tuple[int, int, int]:
         tag = digest[0] or 1
@@ -54,62 +59,76 @@ class CuckooIndex:
     def _other(self, place: int, tag: int) -> int:
         return (place ^ (tag * 0x5BD1E995)) & self.mask
 
-    def find(self, digest: bytes) -> tuple[int, int, int, int] | None:
-        """A filter miss is surely absent; a hit is verified against the stored digests."""
+    def _where(self, digest: bytes) -> tuple[int, int] | None:
+        """Bucket and place of a live digest. Buckets without its fingerprint are not looked into."""
         tag, a, b = self._places(digest)
-        if tag not in self.slots[a] and tag not in self.slots[b]:
-            return None
-        return self.stored.get(digest)
+        for bucket in (a, b) if a != b else (a,):
+            at = self.tags[bucket].find(tag)
+            while at >= 0:
+                if self.content[bucket][at][0] == digest:
+                    return bucket, at
+                at = self.tags[bucket].find(tag, at + 1)
+        return None
+
+    def find(self, digest: bytes) -> tuple[int, int, int, int] | None:
+        at = self._where(digest)
+        return None if at is None else self.content[at[0]][at[1]][1]
 
     def add(self, digest: bytes, entry: tuple[int, int, int, int]) -> bool:
         """Insert, or merge with the live entry; True if the digest is new."""
-        held = self.find(digest)
-        if held is not None:
-            self.stored[digest] = merge(held, entry)
+        at = self._where(digest)
+        if at is not None:
+            bucket = self.content[at[0]]
+            bucket[at[1]] = (digest, merge(bucket[at[1]][1], entry))
             return False
-        self.stored[digest] = entry
-        if not self._place(digest):
-            self._grow()
+        self._insert([(digest, entry)])
         return True
 
     def remove(self, digest: bytes, n: int = 1) -> bool:
         """Take ``n`` copies out; the digest leaves the filter with its last copy."""
-        held = self.find(digest)
-        if held is None:
+        at = self._where(digest)
+        if at is None:
             return False
-        if held[2] > n:
-            self.stored[digest] = (held[0], held[1], held[2] - n, held[3])
-            return True
-        del self.stored[digest]
-        tag, a, b = self._places(digest)
-        self.slots[a if tag in self.slots[a] else b].remove(tag)
+        bucket, place = at
+        doc, row, many, ties = self.content[bucket][place][1]
+        if many > n:
+            self.content[bucket][place] = (digest, (doc, row, many - n, ties))
+        else:
+            del self.tags[bucket][place]
+            del self.content[bucket][place]
         return True
 
-    def _place(self, digest: bytes) -> bool:
-        tag, a, b = self._places(digest)
+    def entries(self) -> Iterator[tuple[bytes, tuple[int, int, int, int]]]:
+        return chain.from_iterable(self.content)
+
+    def _insert(self, waiting: list) -> None:
+        """Place digests that are not live; on overflow the filter is doubled and filled from its own entries."""
+        while waiting:
+            homeless = self._place(waiting.pop())
+            if homeless is not None:
+                waiting += [homeless, *self.entries()]
+                self._empty(2 * (self.mask + 1))
+
+    def _place(self, held: tuple) -> tuple | None:
+        """Put an entry into one of its buckets, moving others on; the entry that finds no place, if any."""
+        tag, a, b = self._places(held[0])
         for place in (a, b):
-            if len(self.slots[place]) < BUCKET:
-                self.slots[place].append(tag)
-                return True
+            if len(self.tags[place]) < BUCKET:
+                self.tags[place].append(tag)
+                self.content[place].append(held)
+                return None
         place = a
         for _ in range(MAX_KICKS):
             self.state = (self.state * 1664525 + 1013904223) & 0xFFFFFFFF
-            slot = self.slots[place]
             victim = (self.state >> 16) % BUCKET
-            tag, slot[victim] = slot[victim], tag
+            tag, self.tags[place][victim] = self.tags[place][victim], tag
+            held, self.content[place][victim] = self.content[place][victim], held
             place = self._other(place, tag)
-            if len(self.slots[place]) < BUCKET:
-                self.slots[place].append(tag)
-                return True
-        return False
-
-    def _grow(self) -> None:
-        """Double the filter and fill it again from the stored keys."""
-        while True:
-            size = 2 * (self.mask + 1)
-            self.mask, self.slots = size - 1, [bytearray() for _ in range(size)]
-            if all(self._place(d) for d in self.stored):
-                return
+            if len(self.tags[place]) < BUCKET:
+                self.tags[place].append(tag)
+                self.content[place].append(held)
+                return None
+        return held
 
 
 def merge(x: tuple, y: tuple) -> tuple[int, int, int, int]:
@@ -155,7 +174,7 @@ def index_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index.add(digest, tuple(entry))
     for digest, n in gone:
         index.remove(digest, n)
-    yield from _entries(index.stored)
+    yield from _entries(dict(index.entries()))
 
 
 def normalised(text: Column) -> Column:
@@ -171,7 +190,7 @@ def ordered(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(LAST))
 
 
-def build_index(entries: DataFrame) -> DataFrame:
+def build_index(entries: DataFrame, rows: int | None = None) -> DataFrame:
     """The live index (digest, doc, row, n, ties) of rows of the same columns.
 
     A row with negative ``n`` deletes that many copies once all inserts of its
@@ -179,7 +198,7 @@ def build_index(entries: DataFrame) -> DataFrame:
     the changes.
     """
     parts = entries.select(*FIELDS).mapInArrow(combine, ENTRY)
-    shards = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(entries.count() if rows is None else rows) // SHARD_ROWS))
     return parts.repartition(shards, "digest").mapInArrow(index_shard, ENTRY)
 
 
@@ -192,14 +211,14 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 def index_of(rows: DataFrame) -> DataFrame:
     one = F.lit(1).cast("long")
     return build_index(rows.select("digest", ordered(F.col("doc_id")).alias("doc"), "row",
-                                   one.alias("n"), one.alias("ties")))
+                                   one.alias("n"), one.alias("ties")), rows.count())
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = digest_rows(docs)
-    index = index_of(rows).withColumnRenamed("row", "keep_row")
-    return rows.join(index, "digest").select(
+    index = written(index_of(rows).withColumnRenamed("row", "keep_row"), "index")
+    return lookup(rows, index, "digest", "n").select(
         "doc_id", F.when(F.col("doc") != LAST, F.col("doc")).alias("keep_id"),
         F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))

@@ -63,9 +63,28 @@ def test_index_against_a_dict():
                 held = want.pop(d)
                 if held[2] > 1:
                     want[d] = (held[0], held[1], held[2] - 1, held[3])
-    assert index.stored == want
+    assert dict(index.entries()) == want
     assert all(index.find(digest(i)) == want.get(digest(i)) for i in range(4000))
-    assert sum(map(len, index.slots)) == len(want)
+    assert sum(map(len, index.tags)) == len(want) and len(index.tags) > 4
+    assert all(len(t) == len(c) <= X.BUCKET and bytes(t) == bytes(d[0] or 1 for d, _ in c) for t, c in zip(index.tags, index.content, strict=True))
+
+
+def test_equal_fingerprints_are_told_apart_by_their_digests():
+    """Digests that agree in fingerprint and buckets, so that only their content tells them apart."""
+    alike = [b"\x07" + b"\x01" * 8 + bytes([i]) * 23 for i in range(6)]
+    index = X.CuckooIndex(buckets=64)
+    assert all(index.add(d, (i, i, 1, 1)) for i, d in enumerate(alike))
+    assert [index.find(d)[0] for d in alike] == list(range(6)) and index.find(b"\x07" + b"\x01" * 8 + b"z" * 23) is None
+    assert index.remove(alike[2]) and index.find(alike[2]) is None and index.find(alike[3])[0] == 3
+
+
+def test_many_digests_in_one_shard():
+    n = 60_000
+    index = X.CuckooIndex()
+    for i in range(n):
+        index.add(digest(i), (i, i, 1, 1))
+    assert all(index.find(digest(i)) == (i, i, 1, 1) for i in range(0, n, 7)) and index.find(digest(n)) is None
+    assert sum(map(len, index.content)) == n
 
 
 def test_index_takes_deletions(spark):
