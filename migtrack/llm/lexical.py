@@ -42,7 +42,7 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK_TERMS = 500_000        # different terms of the items that are searched for at a time
 SHARD_POSTINGS = 1_000_000   # about 100 MB of lists and tables
 SHARD_DOCUMENTS = 1 << 16
-FEW = 64                     # postings of an interval that are scored without splitting it
+FEW = 4096                   # postings of an interval that are scored without splitting it
 LAST = (1 << 63) - 1
 POSTINGS = "doc_id long, size long, terms array<int>, counts array<long>"
 HITS = "item int, doc_id long, score long, task long"
@@ -146,8 +146,9 @@ class Shard:
                 places, back = np.unique(self.place[found], return_inverse=True)
                 scores = np.zeros(len(places), np.int64)
                 np.add.at(scores, back, self.impact[found])
-                for place, score in zip(places.tolist(), scores.tolist(), strict=True):
-                    offer(place, score)
+                least = max(kept[0][0] if len(kept) == k else 1, int(np.partition(scores, -k)[-k]) if len(scores) > k else 1)
+                for i in np.flatnonzero(scores >= least).tolist():
+                    offer(int(places[i]), int(scores[i]))
                 continue
             split = int(self.place[at[np.argmax(self.impact[at])]])
             cut = np.searchsorted(self.keys, terms * self.n + split)

@@ -68,7 +68,7 @@ def test_search_equals_scoring_all(spark, postings, block):
     assert got == sorted(brute(texts, ids, ITEMS), key=key)
 
 
-@pytest.mark.parametrize("few", [1, 64])
+@pytest.mark.parametrize("few", [1, 64, 4096])
 def test_a_shards_search_equals_plain_sums(monkeypatch, few):
     monkeypatch.setattr(lexical, "FEW", few)
     rng = np.random.default_rng(few)
@@ -101,8 +101,9 @@ def test_range_maxima():
         start += len(x)
 
 
-def test_search_leaves_most_documents_unscored():
+def test_search_leaves_most_documents_unscored(monkeypatch):
     """The bounds prune: a rare strong term settles the search long before every document is scored."""
+    monkeypatch.setattr(lexical, "FEW", 16)
     rng = np.random.default_rng(1)
     n = 20_000
     common, rare = np.arange(n), np.sort(rng.choice(n, 60, replace=False))
