@@ -74,9 +74,16 @@ def running_total(df: DataFrame, group: str, order: list[str], spread: str, valu
 
 
 HOT_PARTS = 1000
+SALTS = 64
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, n: str, total: int | None = None) -> DataFrame:
+def _limit(table: DataFrame, n: str, total: int | None) -> float:
+    if total is None:
+        total = table.agg(F.coalesce(F.sum(n), F.lit(0)).alias("t")).first()["t"]
+    return total / HOT_PARTS
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], n: str, total: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``table``, which has one row per ``key`` and, in ``n``, how many of ``rows`` hold it.
 
     A key may hold a third of all rows. Keys above 1 / ``HOT_PARTS`` of them are
@@ -84,8 +91,18 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, n: str, total: int | Non
     meet in a shuffle in which none holds more. ``total``: the sum of ``n``, if known.
     Both frames are read more than once, so they should be written ones.
     """
-    if total is None:
-        total = table.agg(F.coalesce(F.sum(n), F.lit(0)).alias("t")).first()["t"]
-    hot = F.broadcast(table.filter(F.col(n) > total / HOT_PARTS))
-    return rows.join(hot, key).unionByName(
-        rows.join(hot.select(key), key, "left_anti").join(table.filter(F.col(n) <= total / HOT_PARTS), key))
+    keys, limit = [key] if isinstance(key, str) else key, _limit(table, n, total)
+    hot = F.broadcast(table.filter(F.col(n) > limit))
+    return rows.join(hot, keys).unionByName(
+        rows.join(hot.select(*keys), keys, "left_anti").join(table.filter(F.col(n) <= limit), keys))
+
+
+def salted(rows: DataFrame, table: DataFrame, key: str | list[str], n: str, total: int | None = None) -> DataFrame:
+    """As ``lookup``, but ``rows`` is read once: rows of hot keys are dealt over ``SALTS`` copies of their key's row."""
+    keys, limit = [key] if isinstance(key, str) else key, _limit(table, n, total)
+    hot = F.broadcast(table.filter(F.col(n) > limit).select(*keys, F.lit(True).alias("__hot")))
+    some = F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    copies = F.when(F.col(n) > limit, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(
+        F.array(F.lit(0).cast("long")))
+    dealt = rows.join(hot, keys, "left").withColumn("__salt", some).drop("__hot")
+    return dealt.join(table.withColumn("__salt", F.explode(copies)), [*keys, "__salt"]).drop("__salt")

@@ -13,14 +13,16 @@ that can match meets a shard:
 2. A shard is the set of distinct stretches of one minimizer, each with the
    smallest doc_id it occurs in. Its suffix automaton is built in doc_id order;
    each stretch is streamed for matching statistics first, so that every window
-   gets the smallest doc_id it occurs in. A stretch that is alone with its
-   minimizer needs no automaton, and a minimizer with more than ``LARGE``
-   stretches (a phrase in many surroundings) is resolved window by window with
-   the same result, by grouping on the window's words.
+   gets the smallest doc_id it occurs in. The one stretch of a shard that has no other is the
+   same words everywhere; its windows first occur where it does.
+   A minimizer of more than ``SHARD`` stretches, a phrase in many surroundings, is cut
+   again: its stretches are the documents of a new search whose minimizers are longer
+   runs of words (``GRAMS``), which the surroundings tell apart; the last run is a whole window.
 3. The marks go back to the documents, spans of marked words are removed.
 
 Stretches are told apart by two hashes of 64 bits, of the minimizer and of all
-their words; the automaton and the grouping compare words.
+their words; the automaton compares words. Joins on minimizers and stretches, which a common
+phrase may make hot, are salted.
 
 Cases: null text has no words; texts shorter than a window keep every word; rows
 that repeat, or share a doc_id, never remove each other's words, as neither
@@ -39,19 +41,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import lookup, salted, whole_text, written
 from .near_dedup import grouped
 from .shingles import GOLDEN, mixed, odd_numbers, window_hashes, word_hashes, words_of
 
-WINDOW, GRAM = 13, 5
-LARGE = 1000
+WINDOW = 13
+GRAMS = (5, 9, 13)
+SHARD = 1000
 LAST = (1 << 63) - 1
 STRETCHES = "doc long, node long, key long, seq long, spot long"
 # a spot is the first window's place times SPAN plus the number of windows
 SPAN = 16
 
 
-def stretches(lists: list[list[bytes]], window: int = WINDOW, gram: int = GRAM):
+def stretches(lists: list[list[bytes]], window: int = WINDOW, gram: int = GRAMS[0]):
     """(text, first window, windows, minimizer, hash of all words) of every stretch."""
     words, ends = word_hashes(lists)
     sizes = np.diff(ends, prepend=0)
@@ -82,10 +85,10 @@ def stretches(lists: list[list[bytes]], window: int = WINDOW, gram: int = GRAM):
     return doc[head], start - (ends - sizes)[doc[head]], n, best[chosen[head]], seq
 
 
-def stretch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def stretch_batches(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
     for batch, texts in grouped(batches):
         with np.errstate(over="ignore"):
-            text, at, n, key, seq = stretches([words_of(t) for t in texts])
+            text, at, n, key, seq = stretches([words_of(t) for t in texts], gram=gram)
         doc, node = (batch.column(c).to_numpy() for c in ("doc", "node"))
         yield pa.RecordBatch.from_arrays(
             [pa.array(x) for x in (doc[text], node[text], key.view(np.int64), seq.view(np.int64), at * SPAN + n)],
@@ -165,7 +168,7 @@ def first_documents(shard: list[tuple[int, list]], window: int = WINDOW) -> list
 
 
 def shard_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by minimizer and stretch; a minimizer is a shard of at most ``LARGE`` stretches."""
+    """Rows sorted by minimizer and stretch; a minimizer is a shard of at most ``SHARD`` stretches."""
     def solved(rows):
         firsts = first_documents([(doc, words.split(b" ")) for _, _, doc, words in rows])
         return [(key, seq, f) for (key, seq, _, _), f in zip(rows, firsts, strict=True)]
@@ -195,10 +198,14 @@ def shard_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def words_batches(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
-    """The words of the wanted stretches of each text."""
+    """The words of the wanted stretches of each text; of texts that repeat, the first of the task gives them."""
+    seen = set()
     for batch in batches:
         rows = []
-        for text, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "wanted")), strict=True):
+        for node, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("node", "text", "wanted")), strict=True):
+            if node in seen:
+                continue
+            seen.add(node)
             words = words_of(text)
             for w in wanted:
                 at, n = divmod(w["spot"], SPAN)
@@ -246,42 +253,60 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("node", F.xxhash64("doc", "text"))
 
 
-def marks(docs: DataFrame) -> DataFrame:
-    """node, marks: the windows of each document that a smaller document holds too."""
-    rows = keyed(docs)
-    found = rows.select("doc", "node", "text").mapInArrow(stretch_batches, STRETCHES)
-    shared = (found.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-              .filter("low < high").select("key"))
-    shared = written(found.join(shared, "key"), "shared")
+def solved(rows: DataFrame, grams: tuple[int, ...] = GRAMS) -> tuple[DataFrame, DataFrame]:
+    """Of texts (doc, node, text): stretches that may match, and ``key, seq, n, firsts``: per window the first document."""
+    found = rows.select("doc", "node", "text").mapInArrow(lambda it: stretch_batches(it, grams[0]), STRETCHES)
+    held = written(found.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
+                   .filter("low < high").select("key", "n"), "held")
+    shared = written(salted(found, held, "key", "n").select("doc", "node", "key", "seq", "spot"), "shared")
 
     # any occurrence gives the words of a stretch
     distinct = written(shared.groupBy("key", "seq").agg(
-        F.min("doc").alias("doc"), F.first("node").alias("node"), F.first("spot").alias("spot")), "distinct")
-    distinct = distinct.join(distinct.groupBy("key").agg(F.count("*").alias("n_seq")), "key")
+        F.min("doc").alias("doc"), F.first("node").alias("node"), F.first("spot").alias("spot"), F.count("*").alias("n")), "distinct")
+    sizes = written(distinct.groupBy("key").agg(F.count("*").alias("n_seq")), "sizes")
+    distinct = lookup(distinct, sizes, "key", "n_seq")
     alone = distinct.filter("n_seq = 1").select(
         "key", "seq", F.array_repeat("doc", (F.col("spot") % SPAN).cast("int")).alias("firsts"))
 
     wanted = (distinct.filter("n_seq > 1").groupBy("node")
               .agg(F.collect_list(F.struct("key", "seq", "n_seq", "doc", "spot")).alias("wanted")))
-    words = rows.join(wanted, "node").select("text", "wanted").mapInArrow(
+    words = rows.join(wanted, "node").select("node", "text", "wanted").mapInArrow(
         words_batches, "key long, seq long, n_seq long, doc long, words binary")
     words = written(words, "words")
-    small = (words.filter(F.col("n_seq") <= LARGE).repartition("key").sortWithinPartitions("key", "seq")
+    last = len(grams) == 1
+    small = ((words if last else words.filter(F.col("n_seq") <= SHARD)).repartition("key").sortWithinPartitions("key", "seq")
              .mapInArrow(shard_batches, "key long, seq long, firsts array<long>"))
-    parts = F.split(F.col("words").cast("string"), " ")
-    single = words.filter(F.col("n_seq") > LARGE).select(
-        "key", "seq", "doc", F.posexplode(F.transform(
-            F.sequence(F.lit(1), F.size(parts) - WINDOW + 1), lambda i: F.array_join(F.slice(parts, i, F.lit(WINDOW)), " "))).alias("i", "window"))
-    lowest = single.groupBy("window").agg(F.min("doc").alias("low"))
-    large = (single.join(lowest, "window").groupBy("key", "seq")
-             .agg(F.array_sort(F.collect_set(F.struct("i", "low"))).alias("l")).select("key", "seq", F.col("l.low").alias("firsts")))
-    firsts = written(alone.unionByName(small).unionByName(large), "firsts")
+    firsts = alone.unionByName(small)
+    large = words.filter(F.col("n_seq") > SHARD)
+    if not last and not large.isEmpty():
+        firsts = firsts.unionByName(recut(large, grams[1:]))
+    counted = distinct.select("key", "seq", "n")
+    return shared, written(firsts.join(counted, ["key", "seq"]), "firsts")
+
+
+def recut(large: DataFrame, grams: tuple[int, ...]) -> DataFrame:
+    """key, seq, firsts of stretches that are too many for a shard, searched as documents with longer minimizers."""
+    large = large.dropDuplicates(["key", "seq"])  # the same words from repeated rows
+    large = written(large.select("key", "seq", "doc", F.col("words").cast("string").alias("text")).withColumn("node", F.xxhash64("key", "seq")), "large")
+    shared, firsts = solved(large, grams)
+    own = salted(shared, firsts, ["key", "seq"], "n").groupBy("node").agg(
+        F.collect_list(F.struct(F.floor(F.col("spot") / SPAN).alias("at"), "firsts")).alias("found"))
+    windows = F.sequence(F.lit(0), F.size(F.split("text", " ")) - WINDOW)
+    part = lambda i: F.get(F.filter("found", lambda f: (f["at"] <= i) & (i < f["at"] + F.size(f["firsts"]))), F.lit(0))
+    # a window in no part of a shared minimizer is its document's own
+    first = F.transform(windows, lambda i: F.coalesce(F.get(part(i)["firsts"], (i - part(i)["at"]).cast("int")), F.col("doc")))
+    return large.join(own, "node", "left").select("key", "seq", first.alias("firsts"))
+
 
+def marks(docs: DataFrame) -> DataFrame:
+    """node, marks: the windows of each document that a smaller document holds too."""
+    shared, firsts = solved(keyed(docs))
     bits = F.aggregate(F.sequence(F.lit(1), F.size("firsts")), F.lit(0), lambda s, i: s + F.when(
         F.element_at("firsts", i) < F.col("doc"), F.call_function("shiftleft", F.lit(1), i - 1)).otherwise(0))
-    marked = (shared.join(firsts, ["key", "seq"])
+    marked = (salted(shared, firsts, ["key", "seq"], "n")
               .select("node", F.floor(F.col("spot") / SPAN).alias("at"), bits.alias("bits")).filter("bits > 0"))
-    return marked.groupBy("node").agg(F.collect_list(F.struct("at", "bits")).alias("marks"))
+    # a set, as rows that repeat in doc_id and text are one node with the same marks
+    return marked.groupBy("node").agg(F.collect_set(F.struct("at", "bits")).alias("marks"))
 
 
 def deduplicated(docs: DataFrame, texts: bool = True) -> DataFrame:

@@ -41,9 +41,9 @@ def random_texts(n, seed, vocabulary=12):
     return [" ".join(rng.choice([own(), rng.choice(passages)]) for _ in range(rng.randint(0, 6))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("large", [1000, 2])
-def test_equals_brute_force(spark, monkeypatch, large):
-    monkeypatch.setattr(S, "LARGE", large)  # 2: most shards are resolved window by window
+@pytest.mark.parametrize("shard", [1000, 2])
+def test_equals_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(S, "SHARD", shard)  # 2: most shards are cut again, by 9 words and by 13
     same(spark, random_texts(250, 1) + random_texts(100, 2, vocabulary=1))
 
 
@@ -73,3 +73,22 @@ def test_spans_are_maximal(spark):
     rows = rows_of(S.deduplicated(docs(spark, [PROSE, "start here " + PROSE + " end there"])), "doc_id")
     n = len(PROSE.split())
     assert rows[0]["spans"] == [] and rows[1]["spans"] == [2, 2 + n] and rows[1]["kept"] == "start here end there"
+
+
+def test_a_phrase_in_many_surroundings_is_cut_again(spark, monkeypatch):
+    """One minimizer with many stretches, among them long common phrases that the second cut can't tell apart."""
+    monkeypatch.setattr(S, "SHARD", 20)
+    rng = random.Random(3)
+    own = lambda n: " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(n))
+    common = {n: " ".join(f"c{n}_{i}" for i in range(n)) for n in (6, 12, 16)}
+    texts = [f"{own(rng.randint(0, 9))} {common[n]} {own(rng.randint(0, 9))}" for n in common for _ in range(120)]
+    rng.shuffle(texts)
+    same(spark, texts)
+
+
+def test_many_equal_rows_cost_no_square(spark):
+    """Rows that repeat in doc_id and text beside one match (time grows with their number, not its square)."""
+    text = " ".join(f"w{i}" for i in range(301))
+    match = "own words " + " ".join(f"w{i}" for i in range(100, 140))
+    got = S.deduplicated(docs(spark, [match] + [text] * 4000, ids=[1] + [None] * 4000)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(str, got)) == sorted(["Row(doc_id=1, n_words=42, n_removed=0, count=1)", "Row(doc_id=None, n_words=301, n_removed=40, count=4000)"])
