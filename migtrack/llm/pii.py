@@ -12,7 +12,8 @@ the term occurs only with the value. A term that occurs with the value in
 ``SUPPORT`` documents or more and gives away ``DISCLOSURE`` of its information or
 more is a span too, wherever it stands in a document that holds the value: with all
 of it (``REMOVE``) it is removed from the text, with less it is generalised. Terms
-in more documents than can give away so much are not paired with a value at all.
+in more documents than can give away so much are not paired with a value at all. Values that
+the same documents hold are one value to their terms, and terms that the same documents hold are counted as one.
 
 Matches are found with their gaps (extract and split by the same pattern) and
 placed by a running sum of lengths, in code points. The patterns are written so
@@ -33,7 +34,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import lookup, salted, whole_text, written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 TERM_KIND = 4
@@ -139,9 +140,22 @@ def base_spans(scan: DataFrame) -> DataFrame:
                                          F.concat_ws(":", "kind", "value").alias("value"))
 
 
+def members_hash(*cols: str) -> list[Column]:
+    """Aggregates that tell the sets of rows of two groups apart: how many, and two 64-bit sums over them."""
+    return [F.count("*").alias("n_rows"), F.bit_xor(F.xxhash64(*cols)).alias("x"), F.bit_xor(F.xxhash64(*cols, F.lit(7))).alias("y")]
+
+
 def context_terms(base: DataFrame) -> DataFrame:
-    """row, value: the documents whose terms are the context of a value."""
-    return base.select("row", "value").distinct()
+    """row, value, n_value: the documents whose terms are the context of a value.
+
+    Values of the same documents have the same context and disclose by the same terms, so the
+    smallest stands for all of them: a list of addresses is one value, however long.
+    """
+    held = written(base.select("row", "value").distinct(), "held")
+    sets = held.groupBy("value").agg(*members_hash("row"))
+    first = written(sets.groupBy("n_rows", "x", "y").agg(F.min("value").alias("value")).select(
+        "value", F.col("n_rows").alias("n_value")), "first")
+    return salted(held, first, "value", "n_value")
 
 
 def terms_of(words: str) -> Column:
@@ -166,31 +180,37 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return rows.select(F.explode(terms_of("words")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
 
 
-def disclosing(docs: DataFrame, scan: DataFrame, base: DataFrame, near: DataFrame, support: int = SUPPORT,
+def disclosing(docs: DataFrame, scan: DataFrame, near: DataFrame, support: int = SUPPORT,
                disclosure: float = DISCLOSURE) -> DataFrame:
-    """value, term, disclosed: the terms that give away a protected value, and how much of it."""
+    """value, term, disclosed: the terms that give away a protected value of ``near``, and how much of it.
+
+    Terms that the same documents with values hold, and as many documents in all, are counted once for all of them.
+    """
     total = F.lit(scan.count())
-    values = base.select("row", "value").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
-    values = values.withColumn("information", F.log2(total / F.col("n_value"))).filter(
-        (F.col("n_value") >= support) & (F.col("information") > 0))
+    held = near.withColumn("information", F.log2(total / F.col("n_value"))).filter((F.col("n_value") >= support) & (F.col("information") > 0))
     # a term in more documents than this gives away less, even if it occurs in all of the value's
-    values = values.withColumn("most", F.col("n_value") * F.pow(total / F.col("n_value"), F.lit(1 - disclosure + 1e-6)))
-    held = near.join(values, "value")
+    held = written(held.withColumn("most", F.col("n_value") * F.pow(total / F.col("n_value"), F.lit(1 - disclosure + 1e-6))), "held")
+    most = held.agg(F.coalesce(F.max("most"), F.lit(0.0)).alias("most")).first()["most"]
     terms = scan.filter("words IS NOT NULL").join(held.select("row").distinct(), "row", "left_semi").select(
         "row", F.explode(terms_of("words")).alias("term"))
-    terms = terms.join(document_frequency(docs).filter(F.col("n_term") >= support), "term")
-    pairs = (terms.join(held, "row").filter(F.col("n_term") <= F.col("most"))
+    frequent = document_frequency(docs).filter((F.col("n_term") >= support) & (F.col("n_term") <= most))
+    terms = written(terms.join(frequent, "term"), "terms")
+    sets = terms.groupBy("term", "n_term").agg(*members_hash("row")).filter(F.col("n_rows") >= support)
+    sets = written(sets.withColumn("of", F.min("term").over(Window.partitionBy("n_term", "n_rows", "x", "y"))), "sets")
+    kinds = written(sets.filter("term = of").select("term", "n_rows"), "kinds")
+    pairs = (lookup(terms, kinds, "term", "n_rows").join(held, "row").filter(F.col("n_term") <= F.col("most"))
              .groupBy("value", "term", "information", "n_value", "n_term").agg(F.count("*").alias("n_both")))
     both = pairs.filter(F.col("n_both") >= support).withColumn(
         "pmi", F.log2(F.col("n_both") * total / (F.col("n_value") * F.col("n_term"))))
-    return (both.withColumn("disclosed", F.col("pmi") / F.col("information"))
-            .filter(F.col("disclosed") >= disclosure - 1e-9).select("value", "term", "disclosed"))
+    told = (both.withColumn("disclosed", F.col("pmi") / F.col("information"))
+            .filter(F.col("disclosed") >= disclosure - 1e-9).select("value", F.col("term").alias("of"), "disclosed"))
+    return told.join(sets.select("of", "term"), "of").select("value", "term", "disclosed")
 
 
 def told_terms(scan: DataFrame, near: DataFrame, told: DataFrame) -> DataFrame:
     """row, start, end, disclosed: every occurrence of a disclosing term in the documents that hold its value."""
     texts = scan.filter("words IS NOT NULL").select("row", "words")
-    here = (texts.select("row", F.explode(terms_of("words")).alias("term")).join(told, "term").join(near, ["row", "value"])
+    here = (texts.select("row", F.explode(terms_of("words")).alias("term")).join(told, "term").join(near.select("row", "value"), ["row", "value"])
             .groupBy("row", "term").agg(F.max("disclosed").alias("disclosed")))
     here = written(here, "here")
     places = term_places(texts.join(here.select("row").distinct(), "row", "left_semi"))
@@ -202,7 +222,7 @@ def findings(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLO
     scan = scanned(docs)
     base = written(base_spans(scan), "base")
     near = written(context_terms(base), "near")
-    told = written(disclosing(docs, scan, base, near, support, disclosure), "told")
+    told = written(disclosing(docs, scan, near, support, disclosure), "told")
     terms = told_terms(scan, near, told)
     span = lambda kind, much: F.struct("start", kind.alias("kind"), "end", much.alias("disclosed"))
     every = (base.select("row", span(F.col("kind"), F.lit(1.0)).alias("span"))

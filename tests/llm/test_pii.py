@@ -83,7 +83,7 @@ def test_disclosure_is_the_share_of_information(spark):
     df = docs(spark, texts)
     scan = P.scanned(df)
     base_rows = P.base_spans(scan)
-    told = {r["term"]: r["disclosed"] for r in P.disclosing(df, scan, base_rows, P.context_terms(base_rows), disclosure=0.0).collect()}
+    told = {r["term"]: r["disclosed"] for r in P.disclosing(df, scan, P.context_terms(base_rows), disclosure=0.0).collect()}
     n = len(texts)
     assert math.isclose(told["quirke"], 1.0)
     assert math.isclose(told["zebulon"], math.log2(4 * n / (4 * 6)) / math.log2(n / 4))
@@ -108,3 +108,45 @@ def test_repeated_rows_empty_table_and_hot_value(spark):
 def test_no_python_in_the_plan(spark):
     plan = P.digest(P.findings(docs(spark, REVEALING)))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def directories(n):
+    """Four documents that hold the same n addresses and 5 n words, and plain ones."""
+    text = " ".join(f"user{i}@x{i}.org " + " ".join(f"word{i}q{k}" for k in range(5)) for i in range(n))
+    return [text] * 4 + PLAIN
+
+
+def test_values_of_the_same_documents_are_paired_once(spark):
+    df = docs(spark, directories(150))
+    base_rows = P.written(P.base_spans(P.scanned(df)), "base")
+    near = P.context_terms(base_rows)
+    assert near.count() == 4 and base_rows.select("value").distinct().count() == 150
+    told = P.disclosing(df, P.scanned(df), near)
+    assert told.count() == 750
+    got = rows_of(P.digest(P.findings(df)), "doc_id")
+    assert [(r["n_email"], r["spans"].count("term:")) for r in got[:4]] == [(150, 750)] * 4 and {r["spans"] for r in got[4:]} == {""}
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    """All pairs of values and terms, counted one by one, in documents that share them in every way."""
+    rng = random.Random(11)
+    names = [f"name{chr(97 + i)}" for i in range(12)]
+    texts = []
+    for _ in range(160):
+        who = rng.sample(range(12), rng.randint(0, 3))
+        texts.append(" ".join([f"{names[w]} is u{w}@x.org" for w in who] + rng.sample(names, int(rng.random() < 0.05)) + ["common", f"t{rng.randint(0, 30)}xy"]))
+    df = docs(spark, texts)
+    base_rows = P.written(P.base_spans(P.scanned(df)), "base")
+    near = P.context_terms(base_rows)
+    for level in (0.5, 0.9):
+        got = {(r["value"], r["term"]): r["disclosed"] for r in P.disclosing(df, P.scanned(df), near, disclosure=level).collect()}
+        holds = {v: {i for i, t in enumerate(texts) if v in t.split()} for v in {w for t in texts for w in t.split() if "@" in w}}
+        terms = {w: {i for i, t in enumerate(texts) if w in t.split()} for t in texts for w in t.split() if "@" not in w and len(w) >= 3}
+        want = {}
+        for v, dv in holds.items():
+            for t, dt in terms.items():
+                if len(dv) >= 3 and len(dv & dt) >= 3 and len(dv) < len(texts):
+                    much = math.log2(len(dv & dt) * len(texts) / (len(dv) * len(dt))) / math.log2(len(texts) / len(dv))
+                    if much >= level - 1e-9:
+                        want["0:" + v, t] = much
+        assert got.keys() == want.keys() and want and all(math.isclose(got[k], want[k]) for k in want)
