@@ -26,6 +26,7 @@ from itertools import islice
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ CLOSING_ID = 1
 CAPACITY = 4096
 CACHED_WORDS = 500_000   # bound of a Python worker's cache, about 110 MB
 JOINED = 100
-GROUP_CHARS = 1 << 20
+GROUP_BYTES = 1 << 22
+STEP = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -96,12 +98,10 @@ def learn(words: list[str], path: str) -> None:
             start = stop
 
 
-def encoded(texts: list[str], path: str = TOKENIZER) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers.
+def known_ids(words: list[str], path: str) -> list[bytes]:
+    """The ids of words without blanks, as little-endian unsigned 32-bit numbers; words not met before are encoded in batches.
 
-    The tokenizer drops white space and never merges across it, so a text's ids
-    are its words' ids in a row. Words are encoded in batches, once per cache:
-    letters apart from a full stop or comma behind them, which is a word of its
+    Letters are encoded apart from a full stop or comma behind them, which is a word of its
     own to the tokenizer, and ASCII letters in the lower case it gives them.
     """
     t, known, odd = tokenizer(path), known_words(path), odd_words(path)
@@ -112,9 +112,8 @@ def encoded(texts: list[str], path: str = TOKENIZER) -> list[bytes]:
         for word in list(islice(known, len(known) // 2)):
             del known[word]
     known[""] = b""
-    split = [text.replace("\n", " ").split(" ") for text in texts]
     cores, others = {}, []
-    for word in set().union(*split).difference(known):
+    for word in set(words).difference(known):
         tail = word[-1] if word[-1] in ".," else ""
         core = word[:len(word) - len(tail)]
         if core.isalpha():
@@ -129,7 +128,33 @@ def encoded(texts: list[str], path: str = TOKENIZER) -> list[bytes]:
             known[word] = known[core] + known[tail]
     for word, e in zip(others, t.encode_batch_fast(others, add_special_tokens=False), strict=True):
         known[word] = array("I", e.ids).tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    return [known[word] for word in words]
+
+
+def encoded(texts: list[str] | pa.Array, path: str = TOKENIZER) -> list[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit numbers.
+
+    The tokenizer drops white space and never merges across it, so a text's ids
+    are its words' ids in a row. Arrow splits the texts and numbers their distinct
+    words; only those are looked up, and their ids are dealt to the places of the
+    words with numpy, ``STEP`` words at a time.
+    """
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    words = split.flatten().dictionary_encode()
+    found = known_ids(words.dictionary.to_pylist(), path)
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    ids, first = np.frombuffer(b"".join(found), np.uint32), np.cumsum(sizes) - sizes
+    codes, parts, ends = words.indices.to_numpy(), [], np.zeros(len(words) + 1, np.int64)
+    np.cumsum(sizes[codes], out=ends[1:])
+    for at in range(0, len(codes), STEP):
+        some = codes[at:at + STEP]
+        n = sizes[some]
+        begins = ends[at:at + len(some)] - ends[at]
+        parts.append(ids[np.repeat(first[some] - begins, n) + np.arange(n.sum())].tobytes())
+    data, cuts = b"".join(parts), split.offsets.to_numpy()
+    stops = (4 * ends[cuts - cuts[0]]).tolist()
+    return [data[a:b] for a, b in zip(stops, stops[1:])]
 
 
 def cut(ids: bytes, capacity: int = CAPACITY) -> Iterator[tuple[int, int, int, int]]:
@@ -143,14 +168,15 @@ def cut(ids: bytes, capacity: int = CAPACITY) -> Iterator[tuple[int, int, int, i
 def piece_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     closing = array("I", [CLOSING_ID]).tobytes()
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+        sizes = pc.binary_length(texts).to_pylist()
         at = 0
         while at < len(texts):
             end, held = at, 0
-            while end < len(texts) and (end == at or held < GROUP_CHARS):
-                held += len(texts[end])
+            while end < len(texts) and (end == at or held < GROUP_BYTES):
+                held += sizes[end]
                 end += 1
-            rows = [(doc, *p) for doc, found in zip(ids[at:end], encoded(texts[at:end], path), strict=True)
+            rows = [(doc, *p) for doc, found in zip(ids[at:end], encoded(texts.slice(at, end - at), path), strict=True)
                     for p in cut(found + closing, capacity)]
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
