@@ -1,12 +1,12 @@
 """Operator 8: near-duplicate classes by ProbMinHash, banding and verification.
 
-Each distinct text is a set of five-word shingles, all of weight 1, however often
-they repeat. Every shingle is a Poisson process whose rate is its weight: its points
+Each distinct text is a set of five-word shingles, weighted 1 + ln(count) by how often
+the text holds them. Every shingle is a Poisson process whose rate is its weight: its points
 arrive at exponential gaps and each falls on one of ``M`` components of the signature,
 which keeps the shingle that arrives first. A shingle stops once its next point
 would come after every component's first arrival. Two signatures agree in a
-component with the probability Jaccard of the texts, which for equal weights is the
-Jaccard similarity of the sets, the measure that decides on a link.
+component with the probability Jaccard of the texts, the measure that decides on a
+link; where no shingle repeats it is the Jaccard similarity of the sets.
 
 Texts that agree in a band of ``ROWS`` components share a bucket. Its pivot is the
 text that meets most others in all its buckets, as an original does among its
@@ -15,8 +15,8 @@ Where a bucket still holds texts of different classes, those outside its largest
 class are compared with all others. This runs in blocks of a bucket's texts inside
 a task, so that no pair becomes a row unless it is a link: every link between
 texts that share a bucket is implied by a class or was compared. Signatures rule out hopeless pairs; all
-others are verified on their whole shingle sets: a link needs a Jaccard
-similarity of ``SIMILARITY``.
+others are verified on their whole weighted sets: a link needs a probability Jaccard
+of ``SIMILARITY``.
 
 Cases: null text counts as empty; texts with the same words, also those without
 words, are in one class whatever their blanks; a text of 1 to 4 words has one shingle;
@@ -48,6 +48,11 @@ LAST = (1 << 63) - 1
 SIGNED = "doc_id long, text_key long, words_key binary, marks binary, bands array<long>"
 
 
+def weights(count: np.ndarray) -> np.ndarray:
+    """What a shingle weighs by how often the text holds it."""
+    return 1 + np.log(count)
+
+
 def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, m: int = M) -> np.ndarray:
     """(n, m) hashes of the shingles that arrive first; zeros for a document without shingles."""
     first = np.full(n * m, np.inf)
@@ -91,8 +96,8 @@ def sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     turn = odd_numbers(ROWS, 1)
     for batch, texts in grouped(batches):
         lists = [words_of(t) for t in texts]
-        doc, h, _ = shingle_sets(lists)
-        sig = signatures(doc, h, np.ones(len(h)), len(texts))
+        doc, h, count = shingle_sets(lists)
+        sig = signatures(doc, h, weights(count), len(texts))
         with np.errstate(over="ignore"):
             bands = mixed((sig.reshape(len(texts), BANDS, ROWS) * turn).sum(axis=2, dtype=np.uint64)
                           + np.arange(1, BANDS + 1, dtype=np.uint64) * GOLDEN)
@@ -118,13 +123,26 @@ def first_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+def packed(h: np.ndarray, count: np.ndarray) -> bytes:
+    """A text's sorted shingle hashes behind their number; their counts follow if one is above 1."""
+    counts = count.astype(np.uint32).tobytes() if (count > 1).any() else b""
+    return np.array([len(h)], np.uint64).tobytes() + h.tobytes() + counts
+
+
+def unpacked(data) -> tuple[np.ndarray, np.ndarray | None]:
+    """Hashes and weights (None: all 1) of what ``packed`` gave."""
+    n = int(np.frombuffer(data, np.uint64, 1)[0])
+    h, count = np.frombuffer(data, np.uint64, n, 8), np.frombuffer(data, np.uint32, -1, 8 + 8 * n) if len(data) > 8 + 8 * n else None
+    return h, None if count is None else weights(count)
+
+
 def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in grouped(first_batches(batches)):
-        doc, h, _ = shingle_sets([words_of(t) for t in texts])
+        doc, h, count = shingle_sets([words_of(t) for t in texts])
         cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
         yield pa.RecordBatch.from_arrays([
             batch.column("node"), batch.column("repeated"), batch.column("marks"),
-            pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["node", "repeated", "marks", "shingles"])
+            pa.array([packed(h[a:b], count[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["node", "repeated", "marks", "shingles"])
 
 
 def likely_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -135,22 +153,45 @@ def likely_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[
             yield batch.select(["a", "b"]).filter(pa.array(agree >= least))
 
 
-def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
-    """Whether two sorted arrays of distinct hashes have a Jaccard similarity of ``least``."""
-    if len(x) > len(y):
-        x, y = y, x
-    if len(x) < least * len(y) or not len(x):
+def probability_jaccard(wx: np.ndarray, wy: np.ndarray, x_only: float, y_only: float) -> float:
+    """Of two texts with the common shingles' weights ``wx`` and ``wy``, and the sums of the other weights.
+
+    A common shingle adds 1 / sum over all shingles of the larger of their two weights, each in units of
+    its own. The first text has the larger one where the ratio of weights is no larger than its own
+    ratio, so sums in the order of the ratios give all terms at once.
+    """
+    order = np.argsort(wy / wx, kind="stable")
+    wx, wy = wx[order], wy[order]
+    last = np.searchsorted(wy / wx, wy / wx, side="right")
+    first, second = np.append(0, np.cumsum(wx))[last], np.append(0, np.cumsum(wy))
+    return float((1 / ((x_only + first) / wx + (y_only + second[-1] - second[last]) / wy)).sum())
+
+
+def alike(a: tuple, b: tuple, least: float) -> bool:
+    """Whether two texts, as sorted distinct hashes and weights (None: all 1), have a probability Jaccard of ``least``."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    (x, wx), (y, wy) = a, b
+    if not len(x) or wx is None and wy is None and len(x) < least * len(y):
         return False
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
-    both = int((y[at] == x).sum())
-    return both >= least * (len(x) + len(y) - both) - 1e-9
+    same = y[at] == x
+    if wx is None and wy is None:
+        both = int(same.sum())
+        return both >= least * (len(x) + len(y) - both) - 1e-9
+    wx, wy = np.ones(len(x)) if wx is None else wx, np.ones(len(y)) if wy is None else wy
+    cx, cy = wx[same], wy[at[same]]
+    x_sum, y_sum = wx.sum(), wy.sum()
+    if cx.sum() < least * x_sum - 1e-9 or cy.sum() < least * y_sum - 1e-9:  # both bound it from above
+        return False
+    return probability_jaccard(cx, cy, x_sum - cx.sum(), y_sum - cy.sum()) >= least - 1e-9
 
 
 def similar_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sides = zip(batch.column("sa"), batch.column("sb"), strict=True)
-        keep = [alike(*(np.frombuffer(s.as_buffer(), np.uint64) for s in pair), least) for pair in sides]
+        keep = [alike(*(unpacked(s.as_buffer()) for s in pair), least) for pair in sides]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -163,7 +204,7 @@ def block_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[p
                 *(batch.column(c).to_pylist() for c in ("bucket", "block", "asking", "node", "label", "minor", "marks", "shingles")), strict=True):
             if (bucket, block) != held:
                 held, own, marks = (bucket, block), [], None
-            shingles = np.frombuffer(shingles, np.uint64)
+            shingles = unpacked(shingles)
             if not asking:
                 own.append((node, label, minor, np.frombuffer(mark, np.uint8), shingles))
                 continue
@@ -188,7 +229,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, data: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough."""
+    """The pairs (a, b) whose weighted shingle sets are similar enough."""
     side = lambda x, c: data.select(F.col("node").alias(x), F.col(c).alias(c[0] + x))
     marked = pairs.join(side("a", "marks"), "a").join(side("b", "marks"), "b")
     likely = marked.mapInArrow(lambda it: likely_batches(it, LIKELY), "a long, b long")

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 from helpers import CLASHING, PROSE, awkward, docs, rows_of
@@ -8,14 +10,26 @@ from migtrack.llm import near_dedup as N
 from migtrack.llm import shingles as H
 
 
-def shingle_set(text):
+def shingle_weights(text):
     w = tuple((text or "").encode().split())
-    return frozenset(w[i:i + 5] for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([w])
+    counts = Counter(w[i:i + 5] for i in range(len(w) - 4)) if len(w) >= 5 else {w: 1}
+    return {s: 1 + math.log(n) for s, n in counts.items()}
+
+
+def probability_jaccard(a, b):
+    """By its definition: of each common shingle, 1 / the sum of the larger weights in its units."""
+    both, every = a.keys() & b.keys(), a.keys() | b.keys()
+    if sum(a[s] for s in both) < 0.79 * sum(a.values()):  # it bounds the measure from above
+        return 0.0
+    if set(a.values()) | set(b.values()) == {1.0}:
+        return len(both) / len(every)
+    x, y = np.array([a.get(s, 0.0) for s in every]), np.array([b.get(s, 0.0) for s in every])
+    return sum(1 / np.maximum(x / a[s], y / b[s]).sum() for s in both)
 
 
 def brute(texts, ids):
-    """Smallest id of each class: components of all pairs with similarity 0.8 or more."""
-    sets = [shingle_set(t) for t in texts]
+    """Smallest id of each class: components of all pairs with a probability Jaccard of 0.8 or more."""
+    sets = [shingle_weights(t) for t in texts]
     label = list(range(len(texts)))
 
     def find(x):
@@ -24,7 +38,7 @@ def brute(texts, ids):
         return x
     for i, a in enumerate(sets):
         for j in range(i):
-            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+            if a == sets[j] or probability_jaccard(a, sets[j]) >= 0.8 - 1e-9:
                 label[max(find(i), find(j))] = min(find(i), find(j))
     low, size = {}, {}
     for i, d in enumerate(ids):
@@ -55,18 +69,32 @@ def test_classes_equal_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
-def test_repeated_passages_do_not_hide_links(spark):
-    """Pairs with one set similarity (0.82) whose second text repeats a passage 1 to 40 times."""
+def test_repeated_passages_weigh_on_both_sides(spark):
+    """Pairs whose texts repeat a passage equally often, nearly so, or only one of them."""
     texts = []
-    for k, times in enumerate([1, 5, 10, 20, 20, 20, 40, 40, 40]):
+    for k, (one, two) in enumerate([(1, 1), (5, 5), (20, 20), (20, 18), (40, 37), (1, 5), (1, 20), (1, 40), (0, 20)]):
         words, footer = [f"p{k}w{i}" for i in range(204)], [f"p{k}f{i}" for i in range(40)]
-        texts += [" ".join(words), " ".join(words + footer * times)]
+        texts += [" ".join(words + footer * one), " ".join(words[:-1] + ["end"] + footer * two)]
     got = N.classes(docs(spark, texts)).collect()
     want = brute(texts, range(len(texts)))
-    assert {size for _, _, size in want} == {2}
+    assert [size for _, _, size in want] == [2] * 10 + [1] * 8
     assert sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == sorted(want)
 
 
+def test_verification_equals_the_definition():
+    rng = np.random.default_rng(4)
+    for trial in range(300):
+        counts = rng.integers(0, 2 + trial % 5, (2, 40))
+        h = np.sort(rng.integers(0, 2**63, 40).astype(np.uint64))
+        sides = [N.unpacked(N.packed(h[c > 0], c[c > 0])) for c in counts]
+        dicts = [{int(x): 1 + math.log(n) for x, n in zip(h, c, strict=True) if n} for c in counts]
+        both, every = dicts[0].keys() & dicts[1].keys(), dicts[0].keys() | dicts[1].keys()
+        x, y = (np.array([d.get(s, 0.0) for s in every]) for d in dicts)
+        want = sum(1 / np.maximum(x / dicts[0][s], y / dicts[1][s]).sum() for s in both)
+        for least in (want - 1e-6, want + 1e-6):
+            assert N.alike(*sides, least) == N.alike(*sides[::-1], least) == (least < want and bool(both) or least <= 0 and all(map(len, dicts)))
+
+
 def test_repeated_rows_are_one_node(spark, monkeypatch):
     """Hundreds of rows with one text and no doc_id, and a near copy: no pair is made from each of them."""
     texts, ids = [PROSE * 3] * 300 + [PROSE * 3 + " end"] * 200 + ["x y z"], [None] * 300 + [7] * 200 + [8]
