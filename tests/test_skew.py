@@ -59,6 +59,26 @@ def test_upsert_hot_key_counts(spark):
     assert out.count() == tgt.count() + n_new_keys
 
 
+def test_param_list_hot_name_distinct_entries(spark):
+    """A name with a third of 300,000 distinct entries, many of one ordinal, is sorted in several ranges."""
+    entries = spark.range(300_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 5000)).alias("procedure_name"),
+        F.lit("IN").alias("mode"), F.concat(F.lit("@v"), "id").alias("name"), F.lit("INT").alias("data_type"),
+        F.lit(None).cast("int").alias("char_length"), (F.col("id") % 7).cast("int").alias("ordinal_position"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these few MB would be put together again
+    try:
+        sizes = [r.n for r in C.list_parts(entries).select("procedure_name", F.size(F.split("chunk", ", ")).alias("n")).collect()
+                 if r.procedure_name == "hot"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 2 and sum(sizes) == 100_000 and max(sizes) < 60_000
+    got = {r.procedure_name: r.parameters for r in C.param_list(entries).where("procedure_name IN ('hot', 'p1')").collect()}
+    for name, ids in (("hot", range(0, 300_000, 3)), ("p1", [i for i in range(1, 300_000, 5000) if i % 3])):
+        words = [w.split(" ") for w in got[name].split(", ")]
+        want = sorted((i % 7, f"@v{i}") for i in ids)
+        assert [next(x for x in w if x.startswith("@v")) for w in words] == [v for _, v in want]
+
+
 def test_param_list_hot_name_repeated_signature(spark):
     p = spark.range(N).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("p"), (F.col("id") % 50).cast("string")))
