@@ -1,11 +1,12 @@
 """The pipeline against brute force, stage by stage, and the registered queries against SQL."""
 
 import math
+import re
 
 import corpus_pipeline
 import duckdb
 import pytest
-from helpers import words
+from helpers import PROSE, awkward, docs, words
 from test_exact_dedup import brute as exact_brute
 from test_near_dedup import brute as near_brute
 from test_bin_packing import check, ids_of
@@ -73,3 +74,29 @@ def test_query_matches_sql(spark, name):
     got = [tuple(r) for r in df.collect()]
     assert sorted(df.columns) == sorted(want_cols) and len(got) == len(want)
     assert digest(df.columns, got)[0] == digest(want_cols, want)[0]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_run_on_awkward_tables(spark, tmp_dir, empty):
+    """Null, empty, long and repeated texts, null ids and clashing columns; then a table without rows."""
+    texts = awkward(2000) + [PROSE + f" number {i} of many" * 3 for i in range(20)]
+    texts, ids = texts + texts[:8], [None, *range(1, len(texts))] + [None, *range(1, 8)]
+    df = docs(spark, [] if empty else texts, ids=[] if empty else ids)
+    df.write.parquet(f"{tmp_dir}/documents.parquet")
+    spark.read.parquet(f"{SF_SMALL}/labels.parquet").write.parquet(f"{tmp_dir}/labels.parquet")
+    d = spark.read.parquet(f"{tmp_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = corpus_pipeline.written(stage(spark, d, tmp_dir), "test")
+        assert out.columns == df.columns and set(out.collect()) <= set(d.collect())
+        if name != "quality":
+            same = (lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) if name == "exact" else lambda t: " ".join(words(t))
+            left = [same(r["text"]) for r in out.collect()]
+            assert len(left) == len(set(left))
+        d = out
+    rows = corpus_pipeline.run(spark, tmp_dir).collect()
+    assert not (empty and rows) and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in d.collect()}
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert all(e <= 4096 for e in ends.values())
