@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..session import checkpoint_dir
 from .catalog import one_per_file
 
 FACETS = ("procedure_name", "status", "test_case_id", "test_case_name")
@@ -170,34 +169,68 @@ def lookup_params(tests: DataFrame, meta: DataFrame) -> DataFrame:
                          T.call_text("procedure_name", params).alias("call_text"))
 
 
+SAMPLE = 20    # sampled keys per range, of which every SAMPLE-th is a bound
+BLOCK = 10_000  # copies of one row that are made at once
+
+
+def range_bounds(keys: DataFrame, n: int) -> DataFrame:
+    """One row, one array: n - 1 ascending bounds that cut the distinct values of ``_key`` into about equal ranges.
+
+    The sample is the keys of smallest hash, at most ``SAMPLE * n`` of them at any size of
+    the input, so equal inputs have equal bounds.
+    """
+    sample = keys.orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE * n)
+    drawn = sample.agg(F.array_sort(F.collect_list("_key")).alias("_drawn"))
+    at = lambda i: F.floor(i * F.size("_drawn") / n).cast("int")
+    return drawn.select(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("_drawn", at(i))).alias("_bounds"))
+
+
+def range_of(bounds: str, key: str, n: int) -> Column:
+    """How many of n - 1 ascending bounds are not above the key, by binary search; ``n`` is a power of two."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length() - 1))])
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(
+        F.get(bounds, low + step - 1) <= F.col(key), low + step).otherwise(low))
+
+
 def assign_ids(df: DataFrame, order_cols, id_col: str = "test_case_id", start: int = 1,
-               split_ties: bool = True) -> DataFrame:
+               unique: bool = False) -> DataFrame:
     """Running id 1, 2, 3 ... (as text) in the order of ``order_cols``.
 
-    Range-partitioned and sorted by the order, then written once to the
-    checkpoint folder so partition layout and row order are fixed. Each row
-    carries (partition, position); the per-partition counts (one row per
-    partition, so a known small table) give prefix offsets. No global
-    single-partition window over the data. ``split_ties`` adds the scan
-    position as a last sort key, so a value shared by a third of the rows
-    still spreads over many range partitions (rows equal in every order
-    column are numbered in scan order).
+    Nothing runs while the plan is built and no row is written. The rows are cut into ranges
+    of their order columns: one narrow pass samples the bounds, another counts the rows of
+    each range, and the ids are the offset of the range plus the position in it, which a
+    window per range finds. What range a row is in depends on its values alone, so all three
+    passes, and tasks run again after a loss, agree. Bounds and offsets, at most four ranges
+    a shuffle partition, are all that is broadcast.
+
+    Rows equal in every order column go by a hash of all their columns, so a value shared by a third
+    of the rows still spreads over many ranges. Rows equal in every column are one row with a
+    count until they have their ids; one task writes the copies of a row. ``unique``: the order columns tell
+    all rows apart; then only they are read to find and count the ranges, and the other columns are
+    shuffled once instead of twice.
     """
-    checkpoint_dir(df.sparkSession)
-    order_cols = list(order_cols)
-    keys = order_cols + (["_scan"] if split_ties else [])
-    src = df.withColumn("_scan", F.monotonically_increasing_id()) if split_ties else df
-    tagged = (src.repartitionByRange(*keys).sortWithinPartitions(*keys)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
-    part = F.shiftright(F.col("_mid"), 33)
-    pos = F.col("_mid").bitwiseAND((1 << 33) - 1)
-    counts = tagged.groupBy(part.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    joined = tagged.join(F.broadcast(offsets), part == F.col("_pid"))
-    ids = (F.col("_off") + pos + F.lit(start)).cast("string")
-    return joined.select(*df.columns, ids.alias(id_col))
+    spark, order_cols = df.sparkSession, list(order_cols)
+    n = 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    tie = [] if unique else [F.xxhash64(*df.columns).alias("_tie")]
+    keyed = df.withColumn("_key", F.struct(*order_cols, *tie))
+    keys = keyed.select("_key") if unique else keyed.select("_key").distinct()
+    ranged = (keyed.withColumn("_bounds", range_bounds(keys, n).scalar())
+              .withColumn("_range", range_of("_bounds", "_key", n)).drop("_bounds"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+               .select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")))
+    inside = Window.partitionBy("_range").orderBy("_key")
+    if unique:
+        placed = ranged.withColumn("_at", F.row_number().over(inside).cast("long") - 1)
+    else:
+        counted = ranged.groupBy("_range", "_key", *df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+        last = F.sum("_copies").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        placed = (counted.withColumn("_at", last - F.col("_copies"))
+                  .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(BLOCK).cast("long"))))
+                  .withColumn("_copy", F.explode(F.sequence("_block", F.least(F.col("_block") + BLOCK, F.col("_copies")) - 1)))
+                  .withColumn("_at", F.col("_at") + F.col("_copy")))
+    ids = (F.col("_offset") + F.col("_at") + F.lit(start)).cast("string")
+    return placed.join(F.broadcast(offsets), "_range", "left").select(*df.columns, ids.alias(id_col))
 
 
 def numbered_lines(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:

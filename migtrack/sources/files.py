@@ -97,5 +97,5 @@ def number_lines(lines: DataFrame) -> DataFrame:
     """(line_no, line) from positions: a sort of the whole log, for those who need the numbers."""
     from ..operators.results import assign_ids
     flat = lines.select("line", *[F.col(f"pos.{c}").alias(f"_{c}") for c in ("file", "block", "row")])
-    numbered = assign_ids(flat, ["_file", "_block", "_row"], id_col="_line_no", split_ties=False)
+    numbered = assign_ids(flat, ["_file", "_block", "_row"], id_col="_line_no", unique=True)
     return numbered.select(F.col("_line_no").cast("bigint").alias("line_no"), "line")

@@ -104,6 +104,38 @@ def test_assign_ids_with_shared_order_value(spark):
     assert [r.f for r in by_id] == sorted(r.f for r in out)
 
 
+def test_assign_ids_runs_nothing_and_spreads_a_shared_value(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit("same")).when(F.col("id") % 100 == 1, None).otherwise(
+        F.format_string("k%05d", F.col("id"))).alias("f"), F.col("id").alias("other"))
+    df = df.union(df.filter("other = 0").select("f", F.explode(F.array_repeat("other", 20_500)).alias("other")))
+    sc = spark.sparkContext
+    sc.setJobGroup("ids-are-planned", "no job while the plan is built")
+    out = Q.assign_ids(df, ["f"])
+    assert list(sc.statusTracker().getJobIdsForGroup("ids-are-planned")) == []
+    sc.setJobGroup("", "")
+    rows = sorted(out.collect(), key=lambda r: int(r.test_case_id))
+    assert [int(r.test_case_id) for r in rows] == list(range(1, 50_501))
+    names = [(r.f is not None, r.f or "") for r in rows]
+    assert names == sorted(names)
+    assert sorted((r.f or "", r.other) for r in rows) == sorted((r.f or "", r.other) for r in df.collect())
+    keyed = df.distinct().withColumn("_key", F.struct("f", F.xxhash64("f", "other")))
+    bounds = Q.range_bounds(keyed.select("_key"), 32)
+    sizes = [r["count"] for r in keyed.withColumn("b", bounds.scalar()).groupBy(Q.range_of("b", "_key", 32).alias("r")).count().collect()]
+    assert len(sizes) == 32 and max(sizes) < 2.5 * 30_000 / 32
+    assert Q.assign_ids(df.limit(0), ["f"]).count() == 0
+
+
+def test_assign_ids_of_unique_keys_reads_other_columns_once(spark, tmp_dir):
+    path = f"{tmp_dir}/rows"
+    spark.range(5000).select(F.format_string("f%05d", (F.col("id") * 7919) % 5000).alias("f"),
+                             F.repeat(F.lit("wide"), 20).alias("wide")).write.parquet(path)
+    out = Q.assign_ids(spark.read.parquet(path), ["f"], unique=True, start=11)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("== Initial Plan ==")[-1].splitlines() if "FileScan parquet" in line]
+    assert scans and sum("wide" in line.split("ReadSchema")[-1] for line in scans) == 1
+    assert sorted((r.f, int(r.test_case_id)) for r in out.collect()) == [(f"f{i:05d}", i + 11) for i in range(5000)]
+
+
 def partition_sizes(df):
     return [n for n, in df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n")).select("n").collect()]
 
