@@ -27,7 +27,7 @@ from ..operators import results as Q
 from ..operators import upsert as U
 from ..schemas import TEST_LOG_COLUMNS, TEST_LOG_SCHEMA, TRACKING_SCHEMA
 from ..session import checkpoint_dir
-from ..sources import files, log_end
+from ..sources import files, log_end, name_index
 from ..sources import sinks as SK
 
 # What decides the part of a row: its name and, for rows without one, columns that no step changes.
@@ -226,6 +226,34 @@ def activity_log(spark: SparkSession, path: str, n: int = 25) -> dict[str, DataF
     return {"parsed": R.parse_log(files.read_log_lines(spark, path)), "tail": log_end.tail_file(spark, path, n)}
 
 
+NAME_COLUMNS = ("dbname", "schema_name", "procedure_name")
+
+
+def index_names(spark: SparkSession, store: Store) -> str:
+    """Build the substring index over the names of the newest tracking version, if it has none; the index's folder.
+
+    What a build that died has left is replaced. One builder at a time.
+    """
+    version = store.tracking_version(spark)
+    path = _names_path(store, version)
+    if name_index.built_from(spark, path) is None:
+        name_index.write_index(store.read_tracking(spark, version).select(*NAME_COLUMNS), path, stamp=f"version {version}")
+    return path
+
+
+def _names_path(store: Store, version: int | None) -> str:
+    return f"{store.tracking.rstrip('/')}_names/of={-1 if version is None else version}"
+
+
+def search_names(spark: SparkSession, store: Store, term: str) -> DataFrame:
+    """Names of the newest tracking version that contain the term (C2): from its index, or by a scan while it has none."""
+    version = store.tracking_version(spark)
+    path = _names_path(store, version)
+    if name_index.built_from(spark, path) is None:
+        return C.search(store.read_tracking(spark, version).select(*NAME_COLUMNS), term)
+    return name_index.search_index(spark, path, term)
+
+
 def assessment(reports: DataFrame, key: str) -> DataFrame:
     """Converter assessment reports: the six metrics per report."""
     return R.report_table(reports, key)
@@ -246,4 +274,4 @@ def converted_cache(spark: SparkSession, root: str, prefix: str) -> dict:
 
 __all__ = ["Store", "load_catalogue", "save_flags", "extract", "process", "record_results",
            "publish_passed", "dashboard", "comparison_view", "activity_log", "assessment",
-           "licence_status", "converted_cache"]
+           "licence_status", "converted_cache", "index_names", "search_names"]

@@ -25,6 +25,7 @@ from ..schemas import TRACKING_SCHEMA
 from ..session import scratch_dir
 from ..sources import files as SF
 from ..sources import log_end as LE
+from ..sources import name_index as NI
 from ..sources import sinks as SK
 
 
@@ -328,6 +329,15 @@ def name_search(spark, sf_dir):
     return C.search(t, FX.SEARCH_TERM)
 
 
+@query("name_search_index", ("tracking",), f"""
+SELECT dbname, schema_name, procedure_name FROM tracking
+WHERE contains(lower(procedure_name), '{FX.SEARCH_TERM.lower()}') ORDER BY procedure_name""")
+def name_search_index(spark, sf_dir):
+    path = scratch_dir(spark, "name-index")
+    NI.write_index(_load(spark, sf_dir, "tracking").select("dbname", "schema_name", "procedure_name"), path, folders=16)
+    return NI.search_index(spark, path, FX.SEARCH_TERM)
+
+
 FACET_PICK = {
     "procedure_name": ["usp_1", "usp_2", "usp_3", "usp_5", "usp_8", "usp_13", "usp_21", "usp_34"],
     "status": [P.STATUS_FAILED],
@@ -703,7 +713,8 @@ def test_ids(spark, sf_dir):
     methods = F.array(*[F.lit(m) for m in P.TEST_METHODS])
     runs = s.select("file_name", F.posexplode(methods).alias("m", "method"))
     logged = F.when(F.col("m") == 0, F.lit(P.TEST_CREATE)).otherwise(F.lit(P.TEST_EXECUTION))
-    ids = Q.assign_ids(runs.select("file_name", "m", logged.alias("test_case_name")), ["file_name", "m"])
+    ids = Q.assign_ids(runs.select("file_name", "m", logged.alias("test_case_name")), ["file_name", "m"],
+                       unique=True)  # a folder holds a file name once
     return ids.select("file_name", "test_case_name", "test_case_id")
 
 

@@ -32,6 +32,24 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, over one that is there."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def ensure_table(spark: SparkSession, path: str, schema: T_.StructType) -> DataFrame:
     """B1: create an empty parquet table with a fixed schema if none is there; return it.
 
@@ -91,12 +109,7 @@ def parts_of(rows: DataFrame, by, parts: int) -> list[int]:
 
 
 def _parts_file(spark: SparkSession, base: str, version: int) -> list[int]:
-    fs, p = _fs(spark, f"{snapshot_path(base, version)}/{PARTS_FILE}")
-    stream = fs.open(p)
-    try:
-        data = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
+    data = read_text(spark, f"{snapshot_path(base, version)}/{PARTS_FILE}")
     return [int(x) for x in data.split()]
 
 
@@ -137,9 +150,7 @@ def write_parts(df: DataFrame, base: str, version: int, parts: int, by, changed:
     for c in changed:
         held[c] = version if c in written else -1
     for file, text in ((PARTS_FILE, " ".join(map(str, held))), ("_SUCCESS", "")):
-        out = fs.create(_fs(spark, f"{path}/{file}")[1], True)
-        out.write(bytearray(text.encode()))
-        out.close()
+        write_text(spark, f"{path}/{file}", text)
     return path
 
 
