@@ -2,8 +2,10 @@
 
 Texts leave the JVM as Arrow batches, the library encodes them in calls of about
 ``BATCH_BYTES`` each, and only lengths come back. A long text is first split
-where no piece of the vocabulary can span the cut, so that its parts' counts add
-up to the count of the whole text and no call holds one huge text.
+where no piece of the vocabulary can span the cut, at a space or, where none is near,
+between two characters that no piece holds in a row (as in texts without spaces), so that its
+parts' counts add up to the count of the whole text, and its parts go into as many calls as they
+fill. Only a stretch without any such place (one character repeated, say) stays whole.
 
 Cases: null text counts as empty (0 bytes, 0 tokens); repeated rows and null
 doc_id each give their own row; an empty table gives no rows; other columns of
@@ -47,23 +49,54 @@ def encoder(model: str) -> sentencepiece.SentencePieceProcessor:
     return sp
 
 
-def segments(text: str, limit: int = SEGMENT_CHARS) -> list[str]:
-    """Split at single spaces between other characters; the space itself is left out."""
-    out, start = [], 0
+@lru_cache(maxsize=2)
+def neighbours(model: str) -> frozenset[tuple[str, str]]:
+    """The pairs of characters that some piece holds in a row."""
+    sp = encoder(model)
+    plain = (sp.id_to_piece(i) for i in range(sp.get_piece_size())
+             if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)))
+    return frozenset(pair for piece in plain for pair in zip(piece, piece[1:], strict=False))
+
+
+def cut_after(text: str, low: int, limit: int, pairs: frozenset[tuple[str, str]]) -> tuple[int, bool] | None:
+    """The first safe place from ``low`` on, and whether it is a space; spaces go first within ``limit`` characters.
+
+    A space is safe between other characters. A place inside a word is safe if no piece holds the
+    characters around it, nor a space and the second: the part after it gets one token more, its prefix.
+    """
+    def space(i):
+        return text[i] == " " and i + 1 < len(text) and text[i - 1] not in " ▁" and text[i + 1] not in " ▁"
+
+    cut = text.find(" ", low, low + limit)
+    while cut != -1 and not space(cut):
+        cut = text.find(" ", cut + 1, low + limit)
+    if cut != -1:
+        return cut, True
+    for i in range(low, len(text)):
+        if space(i):
+            return i, True
+        if text[i] not in " ▁" and text[i - 1] not in " ▁" and (text[i - 1], text[i]) not in pairs and (SPACE_PIECE, text[i]) not in pairs:
+            return i, False
+    return None
+
+
+def segments(text: str, pairs: frozenset[tuple[str, str]], limit: int = SEGMENT_CHARS) -> tuple[list[str], int]:
+    """The parts of a text, without the spaces they are cut at, and how many of the cuts are inside a word."""
+    out, start, inner = [], 0, 0
     while len(text) - start > limit:
-        cut = text.find(" ", start + limit)
-        while cut != -1 and (cut + 1 == len(text) or text[cut - 1] in " ▁" or text[cut + 1] in " ▁"):
-            cut = text.find(" ", cut + 1)
-        if cut == -1:
+        cut = cut_after(text, start + limit, limit, pairs)
+        if cut is None:
             break
-        out.append(text[start:cut])
-        start = cut + 1
+        place, at_space = cut
+        out.append(text[start:place])
+        start = place + at_space
+        inner += not at_space
     out.append(text[start:])
-    return out
+    return out, inner
 
 
 def count_batches(batches: Iterator[pa.RecordBatch], model: str = MODEL) -> Iterator[pa.RecordBatch]:
-    sp = encoder(model)
+    sp, pairs = encoder(model), neighbours(model)
     for batch in batches:
         texts = batch.column("text").to_pylist()
         counts, sizes = [0] * len(texts), [0] * len(texts)
@@ -77,13 +110,15 @@ def count_batches(batches: Iterator[pa.RecordBatch], model: str = MODEL) -> Iter
 
         for row, text in enumerate(texts):
             sizes[row] = len(text.encode())
-            held += sizes[row]
-            for part in segments(text):
+            pieces, inner = segments(text, pairs)
+            counts[row] -= inner
+            for part in pieces:
                 parts.append(part)
                 owners.append(row)
-            if held >= BATCH_BYTES:
-                flush()
-                held = 0
+                held += sizes[row] if len(pieces) == 1 else len(part.encode())
+                if held >= BATCH_BYTES:  # also inside a text: a long one is many calls
+                    flush()
+                    held = 0
         flush()
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())],

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import sentencepiece
 from helpers import awkward, docs, rows_of
 
@@ -17,10 +18,38 @@ def test_counts_equal_the_library_on_whole_texts(spark):
 
 
 def test_segments_add_up():
-    sp, rng = C.encoder(C.MODEL), random.Random(4)
-    for _ in range(2000):
-        text = "".join(rng.choice("abé▁ .\n\t🙂The ") for _ in range(rng.randint(0, 80)))
-        assert sum(len(x) for x in sp.encode(C.segments(text, 5))) == len(sp.encode(text))
+    sp, pairs, rng = C.encoder(C.MODEL), C.neighbours(C.MODEL), random.Random(4)
+    inside = 0
+    for alphabet in ("abé▁ .\n\t🙂The ", "漢字仮名交じり文の例、한국어テスト", "qXzJ0+/wKvB9=", "аб🙂é漢x\x00\u0301 \u3000"):
+        for _ in range(1000):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80)))
+            parts, inner = C.segments(text, pairs, 5)
+            inside += inner
+            assert sum(len(x) for x in sp.encode(parts)) - inner == len(sp.encode(text))
+    assert inside > 1000
+
+
+def test_a_long_text_is_many_calls(monkeypatch):
+    calls = []
+
+    class Counted:
+        def __init__(self, sp):
+            self.sp = sp
+
+        def encode(self, parts, **kw):
+            calls.append(sum(len(x.encode()) for x in parts))
+            return self.sp.encode(parts, **kw)
+
+    sp, pairs = C.encoder(C.MODEL), C.neighbours(C.MODEL)
+    monkeypatch.setattr(C, "encoder", lambda model: Counted(sp))
+    monkeypatch.setattr(C, "neighbours", lambda model: pairs)
+    monkeypatch.setattr(C, "BATCH_BYTES", 50_000)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("漢字仮名交じり文の例") for _ in range(200_000)), "some words " * 40_000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3], pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    got = next(C.count_batches(iter([batch]))).to_pydict()
+    assert max(calls) < 50_000 + 3 * 4 * C.SEGMENT_CHARS and len(calls) > 15
+    assert got["n_tokens"] == [len(sp.encode(t)) for t in texts]
 
 
 def test_empty_table_repeats_and_null_ids(spark):
