@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from ..sources.sinks import delete
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
@@ -18,14 +22,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside are removed at the end, but for those to be kept.
+
+    An operator's result reads such tables, so it is to be written inside. Outside of any
+    scope they stay until the checkpoint folder is cleared.
+    """
+    paths: list[str] = []
+    token = SCOPE.set(paths)
+    try:
+        yield
+    finally:
+        SCOPE.reset(token)
+        for path in paths:
+            delete(spark, path)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it again.
 
     Cuts the lineage: later steps, and steps repeated after the loss of an
-    executor, read the same rows instead of computing them anew.
+    executor, read the same rows instead of computing them anew. ``keep``: the
+    table outlives the scope that it is made in.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not keep and SCOPE.get() is not None:
+        SCOPE.get().append(path)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # what the write shuffled is not needed once it is written
     try:

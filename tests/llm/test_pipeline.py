@@ -1,6 +1,7 @@
 """The pipeline against brute force, stage by stage, and the registered queries against SQL."""
 
 import math
+import os
 import re
 
 import corpus_pipeline
@@ -13,6 +14,8 @@ from test_bin_packing import check, ids_of
 
 from conftest import SF_SMALL
 from migtrack.llm import queries, quality_rules
+from migtrack.llm.common import scratch, written
+from migtrack.session import checkpoint_dir
 from tools.compare import digest
 
 import __spark_entry__ as E
@@ -100,3 +103,24 @@ def test_run_on_awkward_tables(spark, tmp_dir, empty):
         assert r["offset"] == ends.get(r["sequence_id"], 0)
         ends[r["sequence_id"]] = r["offset"] + r["length"]
     assert all(e <= 4096 for e in ends.values())
+
+
+def test_only_the_stages_tables_stay(spark):
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, SF_SMALL)
+    left = sorted(name.rpartition("-")[0] for name in set(os.listdir(folder)) - before)
+    assert left == sorted(name for name, _ in corpus_pipeline.STAGES)
+    assert out.count() > 0
+
+
+def test_a_failed_scope_removes_its_tables(spark):
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with pytest.raises(RuntimeError), scratch(spark):
+        kept = written(spark.range(3), "kept", keep=True)
+        with scratch(spark):
+            written(kept, "inner")
+        written(kept, "outer")
+        raise RuntimeError
+    assert {name.rpartition("-")[0] for name in set(os.listdir(folder)) - before} == {"kept"} and kept.count() == 3
