@@ -8,7 +8,7 @@
 
 Every stage is judged on its own input and works on all that the one before it
 kept. A stage's rows are written to the shared checkpoint folder and read again,
-so that a lost executor costs the running stage only.
+so that a lost executor costs the running stage only; what the stage wrote besides is then removed.
 
 Cases: what each stage does with nulls, empty and very long texts, repeated rows,
 empty tables and extra columns is stated in its module; the first four return
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from migtrack.llm import bin_packing, exact_dedup, near_dedup, quality_rules, source_mix
-from migtrack.llm.common import table, written
+from migtrack.llm.common import scratch, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, keep=True)
     return docs
