@@ -217,11 +217,13 @@ def export_rows(spark, sf_dir):
 
 
 def _read_back(spark, frame: DataFrame, folder: str) -> DataFrame:
-    """What a sink has left in a folder, as a table; the folder goes."""
+    """What a sink has left in a folder, as a table; the folder goes, its files by the tasks that read their names."""
     out = f"{scratch_dir(spark, 'read-back')}"
     frame.write.parquet(out)
+    found = spark.read.schema(frame.schema).parquet(out)
+    SK.remove_files(found, folder)
     SK.delete(spark, folder)
-    return spark.read.schema(frame.schema).parquet(out)
+    return found
 
 
 _EXPORT_LAST_SQL = f"""SELECT file_name, body FROM (

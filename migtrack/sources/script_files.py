@@ -213,6 +213,29 @@ def finish(spark: SparkSession, folder: str, staging: str) -> int:
     return sum(n for _, n in plan["parts"])
 
 
+def remove_named(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Remove the named files of the folder; those that an earlier attempt has removed are gone."""
+    files, path = opened(folder)
+    for batch in batches:
+        for name in batch.column("file_name").to_pylist():
+            try:
+                files.delete_file(f"{path}/{checked(name)}")
+            except FileNotFoundError:
+                pass
+        yield batch.slice(0, 0)
+
+
+def remove_files(names: DataFrame, folder: str) -> None:
+    """Remove the files of a folder that ``names`` holds as ``file_name``; nothing is to be written there meanwhile.
+
+    A local or mounted file system removes them one by one, so the tasks do it. Other stores remove a folder in
+    one call or in bulk, which is left to whoever removes the folder.
+    """
+    if isinstance(opened(folder)[0], pafs.LocalFileSystem):
+        found = names.select("file_name")
+        found.mapInArrow(lambda it: remove_named(it, folder), found.schema).agg(F.count("*")).collect()
+
+
 def recover(spark: SparkSession, folder: str) -> list[bool]:
     """Finish the decided writes that a dead driver has left for ``folder``, remove the others (call it while none runs).
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T_
 
 from ..functions import patterns as P
 from ..operators.catalog import first_by, one_per_file, row_hash
-from .script_files import read_files, write_files  # noqa: F401 - read_files is part of this module
+from .script_files import read_files, remove_files, write_files  # noqa: F401 - reading and removing files is part of this module
 
 
 def _fs(spark: SparkSession, path: str):

@@ -96,3 +96,24 @@ def test_a_hundred_thousand_files(spark, tmp_dir):
     back = S.read_files(spark, tmp_dir + "/many")
     assert back.rdd.getNumPartitions() > 5
     assert back.join(rows, ["file_name", "text"]).count() == 100_000
+
+
+def test_the_tasks_remove_named_files(spark, tmp_dir):
+    S.write_files(spark.createDataFrame(list(AWKWARD.items()) + [("stays", "x")], KIND), tmp_dir + "/o")
+    names = S.read_files(spark, tmp_dir + "/o").where("file_name <> 'stays'").select("text", "file_name")
+    names = spark.createDataFrame(names.collect() + [("", "gone before")], names.schema)
+    for folder in (tmp_dir + "/o", "file:" + tmp_dir + "/o"):  # again: nothing is left to remove
+        S.remove_files(names, folder)
+        assert contents(tmp_dir + "/o") == {"stays": b"x"}
+    with pytest.raises(Exception, match="name of a file"):
+        S.remove_files(spark.createDataFrame([("../up.sql", "x")], KIND), tmp_dir + "/o")
+
+
+def test_a_folder_that_was_read_back_has_no_files_left_for_the_driver(spark, tmp_dir, monkeypatch):
+    from migtrack.plans import registry
+    left, delete = [], registry.SK.delete
+    monkeypatch.setattr(registry.SK, "delete", lambda s, folder: (left.append(os.listdir(folder)), delete(s, folder)))
+    S.write_files(spark.createDataFrame(list(AWKWARD.items()), KIND), tmp_dir + "/o")
+    found = registry._read_back(spark, S.read_files(spark, tmp_dir + "/o"), tmp_dir + "/o")
+    assert {r.file_name: r.text for r in found.collect()} == AWKWARD
+    assert left == [[]] and not os.path.exists(tmp_dir + "/o")
