@@ -38,7 +38,8 @@ CAPACITY = 4096
 CACHED_WORDS = 500_000   # bound of a Python worker's cache, about 110 MB
 JOINED = 100
 GROUP_BYTES = 1 << 22
-STEP = 1 << 20
+LETTERS = r"^\p{L}+[.,]?$"
+STEP = 1 << 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -98,11 +99,19 @@ def learn(words: list[str], path: str) -> None:
             start = stop
 
 
-def known_ids(words: list[str], path: str) -> list[bytes]:
-    """The ids of words without blanks, as little-endian unsigned 32-bit numbers; words not met before are encoded in batches.
+def dealt(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The ids of the given entries of a list in a row; the list's entries hold ``sizes`` of the ids."""
+    n = sizes[codes]
+    begins = (np.cumsum(sizes) - sizes)[codes] - (np.cumsum(n) - n)
+    return ids[np.repeat(begins, n) + np.arange(n.sum())]
 
-    Letters are encoded apart from a full stop or comma behind them, which is a word of its
-    own to the tokenizer, and ASCII letters in the lower case it gives them.
+
+def known_ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of distinct words without blanks in a row, and each word's number of ids; those not met before are encoded in batches.
+
+    Letters are looked up apart from a full stop or comma behind them, which is a word of its
+    own to the tokenizer, and ASCII letters in the lower case it gives them. Arrow takes such words
+    apart, so that Python sees only the distinct cores.
     """
     t, known, odd = tokenizer(path), known_words(path), odd_words(path)
     if len(odd) > CACHED_WORDS:
@@ -112,23 +121,30 @@ def known_ids(words: list[str], path: str) -> list[bytes]:
         for word in list(islice(known, len(known) // 2)):
             del known[word]
     known[""] = b""
-    cores, others = {}, []
-    for word in set(words).difference(known):
-        tail = word[-1] if word[-1] in ".," else ""
-        core = word[:len(word) - len(tail)]
-        if core.isalpha():
-            cores[word] = (core.lower() if core.isascii() else core, tail)
-        else:
-            others.append(word)
-    learn(list({core for core, _ in cores.values()}.union(".,").difference(known)), path)
-    for word, (core, tail) in cores.items():
-        if core in odd:
-            others.append(word)
-        else:
-            known[word] = known[core] + known[tail]
-    for word, e in zip(others, t.encode_batch_fast(others, add_special_tokens=False), strict=True):
+    plain = pc.match_substring_regex(words, LETTERS)
+    at = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+    tailed = words.filter(plain)
+    cores = pc.ascii_lower(pc.ascii_rtrim(tailed, ".,")).dictionary_encode()
+    codes, names = cores.indices.to_numpy(), cores.dictionary.to_pylist()
+    learn([word for word in (*names, ".", ",") if word not in known], path)
+    entry, tail = np.full(len(words), -1), np.zeros(len(words), np.int64)
+    entry[at] = codes
+    for k, mark in enumerate(".,", 1):
+        tail[at[pc.ends_with(tailed, mark).to_numpy(zero_copy_only=False)]] = k
+    if odd:
+        apart = at[np.array([name in odd for name in names], bool)[codes]]
+        entry[apart], tail[apart] = -1, 0
+    rest = np.flatnonzero(entry < 0)
+    others = words.take(pa.array(rest)).to_pylist()
+    entry[rest] = len(names) + np.arange(len(rest))
+    new = [word for word in others if word not in known]
+    for word, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False), strict=True):
         known[word] = array("I", e.ids).tobytes()
-    return [known[word] for word in words]
+    found = [known[word] for word in [*names, *others, "", ".", ","]]
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    tail += len(found) - 3
+    ids = dealt(np.frombuffer(b"".join(found), np.uint32), sizes, np.stack([entry, tail], 1).ravel())
+    return ids, sizes[entry] + sizes[tail]
 
 
 def encoded(texts: list[str] | pa.Array, path: str = TOKENIZER) -> list[bytes]:
@@ -142,17 +158,16 @@ def encoded(texts: list[str] | pa.Array, path: str = TOKENIZER) -> list[bytes]:
     texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
     split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
     words = split.flatten().dictionary_encode()
-    found = known_ids(words.dictionary.to_pylist(), path)
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    ids, first = np.frombuffer(b"".join(found), np.uint32), np.cumsum(sizes) - sizes
-    codes, parts, ends = words.indices.to_numpy(), [], np.zeros(len(words) + 1, np.int64)
+    ids, sizes = known_ids(words.dictionary, path)
+    codes, ends = words.indices.to_numpy(), np.zeros(len(words) + 1, np.int64)
     np.cumsum(sizes[codes], out=ends[1:])
+    first = np.cumsum(sizes) - sizes
+    out = np.empty(ends[-1], np.uint32)
     for at in range(0, len(codes), STEP):
-        some = codes[at:at + STEP]
-        n = sizes[some]
-        begins = ends[at:at + len(some)] - ends[at]
-        parts.append(ids[np.repeat(first[some] - begins, n) + np.arange(n.sum())].tobytes())
-    data, cuts = b"".join(parts), split.offsets.to_numpy()
+        some, to = codes[at:at + STEP], ends[at:at + STEP + 1]
+        begins = first[some] - to[:-1]
+        out[to[0]:to[-1]] = ids[np.repeat(begins, np.diff(to)) + np.arange(to[0], to[-1])]
+    data, cuts = out.tobytes(), split.offsets.to_numpy()
     stops = (4 * ends[cuts - cuts[0]]).tolist()
     return [data[a:b] for a, b in zip(stops, stops[1:])]
 

@@ -60,6 +60,15 @@ def test_encoding_by_words_equals_encoding_whole_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in B.encoded(texts)] == want
 
 
+def test_a_word_is_kept_once_whatever_its_case_and_mark():
+    B.known_words(B.TOKENIZER).clear()
+    texts = ["Zquvo zquvo. ZQUVO, zQuvo\nÉzquvo Ézquvo. ÉZQUVO, x.. a,b. İa. ., .", "zquvo, Zquvo."]
+    want = [e.ids for e in B.tokenizer(B.TOKENIZER).encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in B.encoded(texts)] == want
+    assert sorted(w for w in B.known_words(B.TOKENIZER) if "quvo" in w) == ["zquvo", "Ézquvo"]
+
+
 def test_fullest_is_the_best_subset_sum():
     rng = random.Random(6)
     for _ in range(300):
