@@ -33,7 +33,7 @@ def java_replacement(s: str) -> str:
 
 def py_strip(c) -> Column:
     """``str.strip()``: drop ``isspace`` characters at both ends."""
-    return F.regexp_replace(_c(c), f"\\A{P.PY_SPACE}+|{P.PY_SPACE}+\\z", "")
+    return F.regexp_extract(_c(c), f"(?s)\\A{P.PY_SPACE}*+(.*[^{P.PY_SPACE_CHARS}])", 1)
 
 
 def norm_ws(c) -> Column:

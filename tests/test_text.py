@@ -263,3 +263,16 @@ def test_clean_script_long_texts(spark):
     values = ["\n".join(lines), "/*" + "x\n" * 100000 + "*/ dbo\n" + MARK + "\n" * 30000 + "after"]
     assert run(spark, lambda c: T.clean_script(c, "dbo", "PUBLIC"), values) == \
         [py_clean(v, "dbo", "PUBLIC") for v in values]
+
+
+def test_strip_takes_one_pass_over_long_runs_of_blanks(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from migtrack.functions import text as T
+    texts = ["a" + " " * 300_000 + "b", " \n\x85" + "\t" * 300_000, " x \U0001f642\u3000\n", "", "\n a\n b \x1c", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(T.py_strip(F.col("text")).alias("s"))
+    began = time.time()
+    assert [r.s for r in df.collect()] == [t if t is None else t.strip() for t in texts]
+    assert time.time() - began < 15
